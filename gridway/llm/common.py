@@ -33,7 +33,7 @@ def salt(n: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
-def id_filter(ids: DataFrame, key: Column, buckets: int = 64) -> DataFrame:
+def id_filter(ids: DataFrame, key: Column, buckets: int = 512) -> DataFrame:
     """A filter of fixed size (buckets x 4 KB) over key's hashes: rows (bucket, bits).
 
     It has no false negatives. Its size does not depend on the number of keys, so it may be broadcast;
@@ -43,7 +43,7 @@ def id_filter(ids: DataFrame, key: Column, buckets: int = 64) -> DataFrame:
     return ids.select(F.bitmap_bucket_number(h).alias("bucket"), F.bitmap_bit_position(h).alias("position")).groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
 
 
-def may_contain(df: DataFrame, flt: DataFrame, key: Column, buckets: int = 64) -> DataFrame:
+def may_contain(df: DataFrame, flt: DataFrame, key: Column, buckets: int = 512) -> DataFrame:
     """df's rows whose key may be among those of id_filter()."""
     h = F.pmod(F.xxhash64(key), F.lit(buckets * 32768))
     position = F.bitmap_bit_position(h)
