@@ -28,8 +28,13 @@ STRETCH = 1 << 20
 
 
 def counts(text: str) -> np.ndarray:
-    """How often each hashed byte pair and triple occurs in the lower-cased text."""
+    """How often each hashed byte pair and triple occurs in the lower-cased words of the text.
+
+    What is between words (ASCII but letters) counts as one space, so that decoration does not drown the language.
+    """
     data = np.frombuffer(text.lower().encode(), np.uint8)
+    data = np.where((data >= 128) | ((data >= 97) & (data <= 122)), data, np.uint8(32))
+    data = data[~((data == 32) & np.concatenate([[False], data[:-1] == 32]))] if len(data) else data
     out = np.zeros(DIMENSIONS, np.float32)
     for at in range(0, max(1, len(data)), STRETCH):
         a = data[at : at + STRETCH + 2].astype(np.uint32)
