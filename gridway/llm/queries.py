@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash, mixing, packing, token_counts
+from . import exact_dedup, language_id, minhash, mixing, packing, personal_data, quality, token_counts
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
+    "op5_personal_data": personal_data.op5_personal_data,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_mixing": mixing.op8_mixing,
+    "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {**exact_dedup.ORACLE}
