@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash, mixing, packing, personal_data, quality, token_counts
+from . import exact_dedup, language_id, minhash, mixing, nearest, packing, personal_data, quality, token_counts
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_personal_data": personal_data.op5_personal_data,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_mixing": mixing.op8_mixing,
+    "op7_nearest_neighbours": nearest.op7_nearest_neighbours,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_token_counts": token_counts.op10_token_counts,
 }
