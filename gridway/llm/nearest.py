@@ -53,7 +53,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 6, probes: int = 32) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 8, probes: int = 40) -> DataFrame:
     """The k nearest of each row whose vec_id is divisible by `every`: query_id, rank, vec_id, score."""
     rows = usable(vectors)
     kinds = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).orderBy(F.desc("c"), "n").first()

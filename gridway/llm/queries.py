@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, minhash, mixing, nearest, packing, personal_data, quality, token_counts
+from . import exact_dedup, language_id, minhash, mixing, nearest, packing, personal_data, quality, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
