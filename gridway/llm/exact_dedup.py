@@ -10,7 +10,7 @@ cannot change the identifier kept. An empty table gives an empty result. Extra c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -57,6 +57,24 @@ def dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
     return plain.join(collisions.select(sha.alias("text_sha256")), "text_sha256", "left_anti").select(*rest.columns).unionByName(rest)
 
 
+def keep_rows(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """docs' rows that stay, with all their columns: one for each text. Only the texts' digests decide here unless the
+    byte verification finds a digest that different texts share."""
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = digested(docs)
+    index = common.checkpoint(build_index(rows, keep))
+    collisions = verified(rows, index)
+    if not collisions.isEmpty():
+        best = {"largest": F.max, "smallest": F.min}[keep]
+        apart = rows.join(collisions.select("digest"), "digest", "left_semi").groupBy("digest", "text").agg(best("doc_id").alias("keep_id"))
+        index = index.join(collisions.select("digest"), "digest", "left_anti").select("digest", "keep_id").unionByName(apart.select("digest", "keep_id"))
+    marked = docs.withColumn("__digest", digest)
+    stays = index.select(F.col("keep_id").alias("__id"), F.col("digest").alias("__key"))
+    kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["__id"]) & (F.col("__digest") == F.col("__key")), "left_semi")
+    once = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy("doc_id"))
+    return kept.withColumn("__n", once).filter("__n = 1").select(*docs.columns)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.documents(spark, sf_dir))
 

@@ -2,8 +2,11 @@
 
 A signature has `coordinates` minima; each (coordinate, value) is a token. Documents that agree on `matches` tokens share
 one among their coordinates - matches + 1 rarest, so only those are posted and the long lists are skipped. Each list
-offers its members the two outermost documents; every document tries the one it collides with most, and links that hold
-on the full sets contract the lists. What is left in lists that still hold several components is compared pair by pair.
+offers its members its most central document (the one with most tokens that others have, too) and its smallest; every
+document tries the two it collides with most, and links that hold on the full sets contract the lists.
+
+In lists that still hold several components, only pairs across them are left. Shingles that no other document of those
+lists has bound what a document can share; together with the sizes that bound excludes most pairs before they arise.
 
 Documents with equal sets are one node from the start. Null and blank texts have empty sets and no links. Rows with a null
 id are components of their own. Rows that share an id and a text count as one document, each of them reported; where rows
@@ -60,12 +63,12 @@ def signatures(docs: DataFrame, coordinates: int) -> DataFrame:
 
 
 def postings(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(token, doc_id) of each node's rarest tokens that others have too."""
+    """(token, doc_id, shared) of each node's rarest tokens that others have too; shared: how many of its tokens others have."""
     posted = nodes.select("doc_id", F.posexplode("signature").alias("k", "value")).select("doc_id", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("value").cast("long")).alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     lists = posted.join(shared, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     spare = F.size("tokens") - matches + 1  # tokens nobody shares are the rarest and have been dropped
-    return lists.filter(spare > 0).select(F.explode(F.slice("tokens", F.lit(1), spare)["token"]).alias("token"), "doc_id")
+    return lists.filter(spare > 0).select(F.explode(F.slice("tokens", F.lit(1), spare)["token"]).alias("token"), "doc_id", F.size("tokens").alias("shared"))
 
 
 def verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -89,6 +92,23 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.select("b", "a", "text_a", "text_b").mapInArrow(held, f"a {kind}, b {kind}")
 
 
+def own_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, own) for ids (doc_id): how many shingles no other of these documents has."""
+    picked = common.may_contain(docs.select("doc_id", "text"), common.id_filter(ids, F.col("doc_id")), F.col("doc_id")).join(ids, "doc_id", "left_semi")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per distinct shingle of a batch's documents: in how many it occurs, and the first of them."""
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            found, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+            document = batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets)))[first]))
+            yield pa.RecordBatch.from_arrays([document, pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "shingle", "n"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = picked.mapInArrow(count, f"doc_id {kind}, shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    return found.filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+
+
 def components(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """Per row of docs (doc_id, text): n_shingles, component_id, kept."""
     signed = common.checkpoint(signatures(docs, coordinates))
@@ -96,23 +116,29 @@ def components(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATE
     nodes = signed.join(groups.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
     posted = common.checkpoint(postings(nodes, coordinates, matches))
 
-    # Each list's outermost members, offered to all of it; a document tries the one offered most often.
-    lists = posted.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
-    offered = posted.join(lists, "token").select(F.explode(F.array("low", "high")).alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
+    lists = posted.groupBy("token").agg(F.min(F.struct((-F.col("shared")).alias("minus"), "doc_id"))["doc_id"].alias("centre"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
+    offered = posted.join(lists, "token").select(F.explode(F.array_distinct(F.array("centre", "low"))).alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
     counted = offered.groupBy("a", "b").agg(F.count("*").alias("n"))
-    tried = counted.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), "b")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("n", (-F.col("a")).alias("minus"))), asc=False), 1, 2)  # a document is offered two for each of its lists
+    tried = counted.groupBy("b").agg(best.alias("best")).select(F.explode("best.minus").alias("minus"), "b").select((-F.col("minus")).alias("a"), "b")
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = common.checkpoint(verify(docs, tried, percent))
     merged = connected_components(first)
 
-    # Lists that still hold several components: pairs across them.
     labelled = posted.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    rest = labelled.join(mixed, "token")
-    across = rest.select("token", F.col("doc_id").alias("a"), F.col("component").alias("ca")).join(rest.select("token", F.col("doc_id").alias("b"), F.col("component").alias("cb")), "token").filter("a < b AND ca <> cb").select("a", "b").distinct()
-    sizes = nodes.select("doc_id", "n_shingles", "signature")
-    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
+    rest = common.checkpoint(labelled.join(mixed, "token"))
+    ids = common.checkpoint(rest.select("doc_id").distinct())
+    sizes = nodes.select("doc_id", "n_shingles", "signature").join(ids, "doc_id", "left_semi").join(own_shingles(docs, ids), "doc_id", "left")
+    sizes = common.checkpoint(sizes.select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most"), "signature"))
+    rest = rest.join(sizes.select("doc_id", "n", "most"), "doc_id").filter(F.col("most") * 100 >= F.col("n") * percent)
+    side = lambda x: rest.select("token", *(F.col(c).alias(c + x) for c in ("doc_id", "component", "n", "most")))
+    # |x and y| is at most the smaller `most`, and has to be percent / (100 + percent) of |x| + |y|.
+    possible = (F.least("most_a", "most_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    across = side("_a").join(side("_b"), "token").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & possible).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    signed_side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("signature").alias(f"s{x}"))
     equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    close = across.join(side("a"), "a").join(side("b"), "b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (equal >= matches)).select("a", "b")
+    close = across.join(signed_side("a"), "a").join(signed_side("b"), "b").filter(equal >= matches).select("a", "b").join(tried, ["a", "b"], "left_anti")
     second = common.checkpoint(verify(docs, common.checkpoint(close), percent))
     merged = connected_components(first.unionByName(second)) if not second.isEmpty() else merged
 
@@ -122,5 +148,11 @@ def components(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATE
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def keep_rows(docs: DataFrame, **options) -> DataFrame:
+    """docs' rows that stay, with all their columns: one document of each component."""
+    stays = components(docs, **options).filter("kept").select("doc_id").distinct()
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(common.documents(spark, sf_dir))

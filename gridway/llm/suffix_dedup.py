@@ -42,7 +42,7 @@ LOW48 = np.uint64((1 << 48) - 2)
 
 def anchors(data: np.ndarray, width: int, gram: int) -> np.ndarray:
     """The smallest hash of the gram-byte strings in each window; data has one window at least."""
-    powers = {1: np.uint64(0x9E3779B97F4A7C15 | 1)}
+    powers = {1: np.array([0x9E3779B97F4A7C15 | 1], np.uint64)}
     h = {1: data.astype(np.uint64) + np.uint64(1)}
     n = 1
     while 2 * n <= gram:

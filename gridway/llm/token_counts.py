@@ -63,10 +63,10 @@ def frequencies(text: str, tok: Tokenizer, special: tuple[str, ...]) -> Counter:
     return Counter(pretokens(text, tok))
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 1024, head: int = 400_000) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 1024, head: int = 200_000) -> DataFrame:
     """Per document: n_bytes, n_tokens, over_limit.
 
-    head: so many of the most frequent pre-tokens are broadcast with their piece counts (a bound of about 30 MB); all
+    head: at most so many of the most frequent pre-tokens are broadcast with their piece counts (a bound of about 15 MB); all
     others are joined by a shuffle.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
@@ -93,8 +93,17 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     distinct = rows.select("text").mapInArrow(vocabulary, "pretoken string, n bigint").groupBy("pretoken").agg(F.sum("n").alias("n"))
     pieces = common.checkpoint(distinct.mapInArrow(encode, "pretoken string, n bigint, pieces bigint"))
-    top = pieces.orderBy(F.desc("n"), "pretoken").limit(head).select("pretoken", "pieces").toPandas()
-    frequent = spark.sparkContext.broadcast(dict(zip(top.pretoken, top.pieces.tolist(), strict=True)))
+    # Whole classes of frequency, of which there are a few hundred, from the most frequent on.
+    often = F.floor(F.log2("n") * 16)
+    level, room = float("inf"), head
+    for r in sorted(pieces.groupBy(often.alias("often")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        level = r.often
+    top = pieces.filter(often >= level).select("pretoken", "pieces").toArrow()
+    frequent = spark.sparkContext.broadcast(dict(zip(*(top.column(c).to_pylist() for c in (0, 1)), strict=True)))
+    del top
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, known = tokenizer(path), frequent.value
