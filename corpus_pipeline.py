@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridway.llm import exact_dedup, minhash, mixing, packing, quality
+from gridway.session import ship
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridway-pipeline-")
+    ship(spark)
     folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES[:-1]):
