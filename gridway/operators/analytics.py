@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp"))
+
+
 def visible(tenant: str, tenant_id: int) -> Column:
     """Global rows and those of the tenant."""
     return F.col(tenant).isNull() | (F.col(tenant) == tenant_id)
@@ -31,14 +35,14 @@ def tenant_stats(projects: DataFrame, findings: DataFrame, tenant_id: int, email
 def sessions(events: DataFrame, minutes: int) -> DataFrame:
     """Heartbeats (user_id, ts) as sessions: a beat extends the open one only if it comes before `minutes` have passed."""
     along = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(along)
+    gap = micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(along)
     number = F.sum(F.when(gap < minutes * 60_000_000, 0).otherwise(1)).over(along)
     return events.withColumn("n", number).groupBy("user_id", "n").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_seen"), F.count("*").alias("hits")).withColumnRenamed("n", "session_no")
 
 
 def users_overview(rows: DataFrame) -> DataFrame:
     """Per user: sessions, hits, active minutes, first and last time."""
-    seconds = F.sum((F.unix_micros("last_seen") - F.unix_micros("started_at")) / 1e6)
+    seconds = F.sum((micros(F.col("last_seen")) - micros(F.col("started_at"))) / 1e6)
     return rows.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("hits").alias("hits"), F.floor(seconds / 60.0 + 0.5).alias("active_min"), F.min("started_at").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
@@ -65,7 +69,7 @@ def stale_sources(sources: DataFrame, runs: DataFrame, obstacles: DataFrame, now
     last = latest_run(runs).select("source_id", F.col("status").alias("last_status"), F.col("started_at").alias("last_run"))
     active = obstacles.filter("aktiv").groupBy("source_id").agg(F.count("*").alias("active_rows"))
     rows = sources.filter(F.col("aktiv") & ~F.col("kind").eqNullSafe(F.lit("manuell"))).join(last, "source_id", "left").join(active, "source_id", "left").withColumn("active_rows", F.coalesce("active_rows", F.lit(0)))
-    age = (F.unix_micros(now) - F.unix_micros("last_run")) / 86_400_000_000
+    age = (micros(now) - micros(F.col("last_run"))) / 86_400_000_000
     why = F.when(F.col("last_run").isNull(), "never ran").when(F.col("last_status").isin("warn", "error"), F.concat(F.lit("last run "), "last_status")).when(F.col("active_rows") == 0, "no active rows").when(F.col("last_run") < now - F.expr(f"INTERVAL {days} DAYS"), "old")
     return rows.withColumns({"age_days": F.floor(age + 0.5), "reason": why}).filter("reason IS NOT NULL").select("source_id", "last_status", "age_days", "active_rows", "reason")
 
@@ -135,7 +139,7 @@ def health(sources: DataFrame, runs: DataFrame) -> DataFrame:
 
 def eta(sources: DataFrame, runs: DataFrame, default_s: float = 8.0) -> DataFrame:
     """One row: seconds that a run of all sources takes, by each one's last good run."""
-    good = latest_run(runs.filter("status = 'ok'")).select("source_id", ((F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6).alias("s"))
+    good = latest_run(runs.filter("status = 'ok'")).select("source_id", ((micros(F.col("finished_at")) - micros(F.col("started_at"))) / 1e6).alias("s"))
     return sources.filter("aktiv").join(good, "source_id", "left").agg(F.sum(F.coalesce("s", F.lit(default_s))).alias("eta_s"))
 
 

@@ -51,7 +51,8 @@ def profile() -> Column:
 
 def group_key() -> Column:
     """Category, name and place to about a hundred metres."""
-    return F.concat_ws("|", F.coalesce("kategorie", F.lit("")), text.norm_name(F.col("name")), F.concat_ws(",", F.format_string("%.3f", "lat"), F.format_string("%.3f", "lng")))
+    thousandths = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("string")
+    return F.concat_ws("|", F.coalesce("kategorie", F.lit("")), text.norm_name(F.col("name")), F.concat_ws(",", thousandths("lat"), thousandths("lng")))
 
 
 def group_duplicates(items: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def transition(items: DataFrame, existing: DataFrame, today: Column, full: bool
     matched = match(accepted(items), existing)
     last = matched.groupBy(F.coalesce(F.concat(F.lit("o"), F.col("target_id").cast("string")), F.concat(F.lit("x"), "externe_id")).alias("key")).agg(F.max_by(F.struct("target_id", "gueltig_bis"), "ord").alias("last"))
     state = existing.select("obstacle_id", "aktiv")
-    seen = last.select("key", "last.*").join(state, F.col("target_id") == F.col("obstacle_id"), "left")
+    seen = last.select("key", "last.*").join(state, F.col("target_id") == F.col("obstacle_id"), "left").persist()
     alive = F.coalesce(F.col("gueltig_bis") >= F.date_sub(today, GRACE_DAYS), F.lit(True))
     action = F.when(F.col("target_id").isNull(), "insert").when(F.lit(full) & ~F.col("aktiv") & alive, "reactivate").otherwise("update")
     changed = seen.select("key", action.alias("action"))

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from gridway.plans import data_queries, geo_queries, rule_queries
+
+QUERIES = {**geo_queries.QUERIES, **rule_queries.QUERIES, **data_queries.QUERIES}
+ORACLES = {**geo_queries.ORACLES, **rule_queries.ORACLES, **data_queries.ORACLES}
