@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridway.functions import rules, text
@@ -13,12 +13,22 @@ from gridway.plans import fixtures as fx
 from gridway.sources import sinks
 from gridway.streaming import beats
 
-TODAY, NOW = F.lit(fx.TODAY).cast("date"), F.expr(fx.NOW)
-STREAM_NOW = F.expr("TIMESTAMP '2024-01-20 12:00:00'")
 O = fx.with_(fx.OBSTACLES)  # noqa: E741
 NAME = "regexp_replace(lower(trim(name)), '\\s+', ' ', 'g')"
 
 
+def today() -> Column:
+    return F.lit(fx.TODAY).cast("date")
+
+
+def now() -> Column:
+    return F.expr(fx.NOW)
+
+
+def stream_now() -> Column:
+    return F.expr("TIMESTAMP '2024-01-20 12:00:00'")
+
+
 # Ingest
 
 
@@ -209,12 +219,12 @@ QUERIES = {
     "segment_merge": lambda s, d: ingest.merge_segments(fx.obstacles(s, d).withColumns({"beschreibung": F.concat(F.lit("Projektnummer: P"), (F.col("ord") % 97 + 1000).cast("string")), "name": F.concat(F.lit("A"), (F.col("ord") % 9 + 1).cast("string"))})),
     "upsert_exact": lambda s, d: ingest.match(next_feed(s, d), fx.obstacles(s, d)).filter("exact_id IS NOT NULL").select("ord", "target_id"),
     "upsert_fuzzy": upsert_fuzzy,
-    "reconcile_anti": lambda s, d: ingest.transition(next_feed(s, d), fx.obstacles(s, d), TODAY),
-    "reconcile_guard": lambda s, d: ingest.transition(next_feed(s, d, 1).filter("ord < 0").unionByName(next_feed(s, d).filter("ord % 3 = 0")), fx.obstacles(s, d), TODAY).groupBy("action").agg(F.count("*").alias("n")),
+    "reconcile_anti": lambda s, d: ingest.transition(next_feed(s, d), fx.obstacles(s, d), today()),
+    "reconcile_guard": lambda s, d: ingest.transition(next_feed(s, d, 1).filter("ord < 0").unionByName(next_feed(s, d).filter("ord % 3 = 0")), fx.obstacles(s, d), today()).groupBy("action").agg(F.count("*").alias("n")),
     "run_status": lambda s, d: ingest.run_status(run_rows(s, d)).select("run_id", "status"),
-    "expire": lambda s, d: ingest.expired(fx.obstacles(s, d), TODAY).select("obstacle_id", "gueltig_bis"),
-    "purge": lambda s, d: ingest.purged(fx.obstacles(s, d), NOW).select("obstacle_id"),
-    "prune_runs": lambda s, d: ingest.pruned_runs(fx.runs(s, d), NOW).select("run_id", "source_id"),
+    "expire": lambda s, d: ingest.expired(fx.obstacles(s, d), today()).select("obstacle_id", "gueltig_bis"),
+    "purge": lambda s, d: ingest.purged(fx.obstacles(s, d), now()).select("obstacle_id"),
+    "prune_runs": lambda s, d: ingest.pruned_runs(fx.runs(s, d), now()).select("run_id", "source_id"),
     "orphan_findings": lambda s, d: ingest.orphans(fx.findings(s, d), projects_with_routes(s, d)).select("ord", "project_id", "route_id"),
     "renumber_ids": lambda s, d: ingest.renumbered(fx.obstacles(s, d)),
     "future_dedupe": future_dedupe,
@@ -223,7 +233,7 @@ QUERIES = {
     "sessions_gap": sessions(360),
     "sessions_gap_5": sessions(5),
     "sessions_day_gapfill": lambda s, d: analytics.daily_series(sessions(360)(s, d), F.lit("2024-02-03").cast("date")),
-    "online_window": lambda s, d: analytics.online(sessions(360)(s, d), STREAM_NOW, 180),
+    "online_window": lambda s, d: analytics.online(sessions(360)(s, d), stream_now(), 180),
     "events_per_day": lambda s, d: fx.events(s, d).groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")),
     "latest_run": lambda s, d: analytics.latest_run(fx.runs(s, d)).select("source_id", "run_id", "status", "found"),
     "stale_sources": lambda s, d: analytics.stale_sources(fx.sources(s, d), fx.runs(s, d), fx.obstacles(s, d), F.expr("TIMESTAMP '1998-12-01 00:00:00'"), 60),
@@ -233,7 +243,7 @@ QUERIES = {
     "notifications_visible": lambda s, d: analytics.notices_for(notice_rows(s, d), fx.projects(s, d), prefs(s), "u1@example.com").select("ord", "severity"),
     "hidden_counts": lambda s, d: analytics.hidden_counts(hidden(s, d)),
     "hidden_excluded": lambda s, d: analytics.without_hidden(with_key(fx.findings(s, d)), hidden(s, d), F.col("finding_key")).groupBy("kategorie").agg(F.count("*").alias("n")),
-    "presence_counts": lambda s, d: analytics.presence(sessions(360)(s, d), STREAM_NOW),
+    "presence_counts": lambda s, d: analytics.presence(sessions(360)(s, d), stream_now()),
     "project_counts": lambda s, d: analytics.project_counts(fx.projects(s, d), fx.findings(s, d).filter("project_id % 10 <> 3")).withColumn("avg_km", F.round("avg_km", 6)),
     "severity_by_category": lambda s, d: analytics.severity_by_category(fx.findings(s, d)),
     "mail_events": lambda s, d: fx.events(s, d).filter("event_type = 'signup'").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_at")),

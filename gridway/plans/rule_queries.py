@@ -11,10 +11,13 @@ from gridway.functions import rules, text
 from gridway.operators import findings
 from gridway.plans import fixtures as fx
 
-TODAY = F.lit(fx.TODAY).cast("date")
 RULED = fx.with_(fx.VEHICLES)
 
 
+def today() -> Column:
+    return F.lit(fx.TODAY).cast("date")
+
+
 def by_rule(category: tuple[str, ...], rank: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         rows = fx.obstacles(spark, d, vehicle=True).filter(F.col("kategorie").isin(*category))
@@ -63,7 +66,7 @@ FORCE = "coalesce(gueltig_bis >= von, true) AND coalesce(coalesce(gueltig_von, r
 
 def evaluated(window: bool) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        rows = rules.evaluate(fx.obstacles(spark, d, vehicle=True, window=window), TODAY)
+        rows = rules.evaluate(fx.obstacles(spark, d, vehicle=True, window=window), today())
         return rows.select("obstacle_id", "kategorie", F.col("rank").cast("int").alias("rank"), rules.severity(F.col("rank")).alias("severity"))
 
     return query
