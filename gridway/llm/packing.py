@@ -15,10 +15,12 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from . import common
 from .token_counts import DIGIT, LETTER, SPACE, UNUSUAL, tokenizer
@@ -30,11 +32,42 @@ SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 REMEMBERED = 500_000
 
 
+_KNOWN: dict[str, dict[str, bytes]] = {}
+
+
+def last_pieces(tok: Tokenizer) -> np.ndarray:
+    """For each id whether its piece ends a word."""
+    if id(tok) not in _LAST:
+        vocabulary = tok.get_vocab()
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        _LAST[id(tok)] = out
+    return _LAST[id(tok)]
+
+
+_LAST: dict[int, np.ndarray] = {}
+
+
+def encoded(words: list[str], tok: Tokenizer) -> dict[str, bytes]:
+    """The ids of each word, as little-endian 32-bit numbers. Words are encoded as one text: white space keeps them apart."""
+    plain = [w for w in words if not SPECIAL.fullmatch(w)]
+    out = {w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words if SPECIAL.fullmatch(w)}
+    if not plain:
+        return out
+    e = tok.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0]
+    ids = np.array(e.ids, "<u4")
+    at, ids = np.concatenate([[0], np.flatnonzero(last_pieces(tok)[ids]) + 1]), ids.tobytes()
+    if len(at) != len(plain) + 1:  # a word that the library takes apart
+        return out | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(plain, tok.encode_batch_fast(plain, add_special_tokens=False), strict=True)}
+    at = (4 * at).tolist()
+    return out | {w: ids[a:b] for w, a, b in zip(plain, at, at[1:], strict=False)}
+
+
 def piece_table(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, known = tokenizer(path), {}
+        tok, known = tokenizer(path), _KNOWN.setdefault(path, {})
         end = end_id.to_bytes(4, "little")
 
         def words(text: str) -> list[str] | None:
@@ -46,14 +79,12 @@ def piece_table(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataF
             return [w for part in SPECIAL.split(text) for w in ([part] if SPECIAL.fullmatch(part) else SPLIT.findall(part.lower()))]
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
                 split = [words(x or "") for x in part.column(1).to_pylist()]
                 if len(known) > REMEMBERED:
                     known.clear()
-                fresh = list({w for x in split if x for w in x} - known.keys())
-                for w, e in zip(fresh, tok.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                    known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+                known.update(encoded([w for w in set().union(*(x for x in split if x)) if w not in known], tok))
                 out = defaultdict(list)
                 for k, (doc, x) in enumerate(zip(part.column(0).to_pylist(), split, strict=True)):
                     if x is None:
