@@ -5,8 +5,9 @@ one among their coordinates - matches + 1 rarest, so only those are posted and t
 offers its members its most central document (the one with most tokens that others have, too) and its smallest; every
 document tries the two it collides with most, and links that hold on the full sets contract the lists.
 
-In lists that still hold several components, only pairs across them are left. Shingles that no other document of those
-lists has bound what a document can share; together with the sizes that bound excludes most pairs before they arise.
+In lists that still hold several components, only pairs across them are left. Such a pair shares a shingle that few of
+those documents have, and then meets in a list of at most `rare` documents; or it shares frequent ones alone, and then
+their number and the sizes exclude nearly all pairs before they arise.
 
 Documents with equal sets are one node from the start. Null and blank texts have empty sets and no links. Rows with a null
 id are components of their own. Rows that share an id and a text count as one document, each of them reported; where rows
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -92,55 +93,82 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.select("b", "a", "text_a", "text_b").mapInArrow(held, f"a {kind}, b {kind}")
 
 
-def own_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, own) for ids (doc_id): how many shingles no other of these documents has."""
+def few_shingles(docs: DataFrame, ids: DataFrame, rare: int) -> DataFrame:
+    """(doc_id, shingle, df) for documents ids (doc_id): their shingles that at most `rare` of these documents have."""
     picked = common.may_contain(docs.select("doc_id", "text"), common.id_filter(ids, F.col("doc_id")), F.col("doc_id")).join(ids, "doc_id", "left_semi")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per distinct shingle of a batch's documents: in how many it occurs, and the first of them."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
-            found, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
-            document = batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets)))[first]))
-            yield pa.RecordBatch.from_arrays([document, pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "shingle", "n"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [shingles(t.as_py()) for t in part.column(1)]
+                document = part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets)))))
+                yield pa.RecordBatch.from_arrays([document, pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = picked.mapInArrow(count, f"doc_id {kind}, shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    return found.filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+    found = picked.mapInArrow(spread, f"doc_id {kind}, shingle bigint")
+    few = found.groupBy("shingle").agg(F.count("*").alias("df")).filter(F.col("df") <= rare)
+    return found.join(few, "shingle").select("doc_id", "shingle", "df")
 
 
-def components(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def components(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, rare: int = 32) -> DataFrame:
     """Per row of docs (doc_id, text): n_shingles, component_id, kept."""
     signed = common.checkpoint(signatures(docs, coordinates))
     groups = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"))
     nodes = signed.join(groups.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
     posted = common.checkpoint(postings(nodes, coordinates, matches))
 
-    lists = posted.groupBy("token").agg(F.min(F.struct((-F.col("shared")).alias("minus"), "doc_id"))["doc_id"].alias("centre"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
-    offered = posted.join(lists, "token").select(F.explode(F.array_distinct(F.array("centre", "low"))).alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
-    counted = offered.groupBy("a", "b").agg(F.count("*").alias("n"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("n", (-F.col("a")).alias("minus"))), asc=False), 1, 2)  # a document is offered two for each of its lists
-    tried = counted.groupBy("b").agg(best.alias("best")).select(F.explode("best.minus").alias("minus"), "b").select((-F.col("minus")).alias("a"), "b")
-    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = common.checkpoint(verify(docs, tried, percent))
-    merged = connected_components(first)
-
-    labelled = posted.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    rest = common.checkpoint(labelled.join(mixed, "token"))
+    def offered(lists: DataFrame, central: Column) -> DataFrame:
+        """Pairs (a, b): each document with the two it is offered most often, of its lists' most central and smallest ones."""
+        heads = lists.groupBy("token").agg(F.min(F.struct((-central).alias("minus"), "doc_id"))["doc_id"].alias("centre"), F.min("doc_id").alias("low"))
+        pairs = lists.join(heads, "token").select(F.explode(F.array_distinct(F.array("centre", "low"))).alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
+        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct("n", (-F.col("a")).alias("minus"))), asc=False), 1, 2)  # a document is offered two for each of its lists
+        chosen = counted.groupBy("b").agg(best.alias("best")).select(F.explode("best.minus").alias("minus"), "b").select((-F.col("minus")).alias("a"), "b")
+        return common.checkpoint(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def still_mixed(lists: DataFrame, merged: DataFrame) -> DataFrame:
+        """The lists that hold several components, with each document's."""
+        labelled = lists.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+        return common.checkpoint(labelled.join(mixed, "token"))
+
+    tried = offered(posted, F.col("shared"))
+    links = common.checkpoint(verify(docs, tried, percent))
+    merged = connected_components(links)
+    rest = still_mixed(posted, merged)
     ids = common.checkpoint(rest.select("doc_id").distinct())
-    sizes = nodes.select("doc_id", "n_shingles", "signature").join(ids, "doc_id", "left_semi").join(own_shingles(docs, ids), "doc_id", "left")
-    sizes = common.checkpoint(sizes.select("doc_id", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("most"), "signature"))
-    rest = rest.join(sizes.select("doc_id", "n", "most"), "doc_id").filter(F.col("most") * 100 >= F.col("n") * percent)
-    side = lambda x: rest.select("token", *(F.col(c).alias(c + x) for c in ("doc_id", "component", "n", "most")))
-    # |x and y| is at most the smaller `most`, and has to be percent / (100 + percent) of |x| + |y|.
-    possible = (F.least("most_a", "most_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    across = side("_a").join(side("_b"), "token").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & possible).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    few = common.checkpoint(few_shingles(docs, ids, rare))
+    bounds = few.groupBy("doc_id").agg(F.count("*").alias("few"), F.count_if(F.col("df") == 1).alias("own"))
+    less = lambda c: (F.col("n_shingles") - F.coalesce(c, F.lit(0))).alias({"few": "frequent", "own": "most"}[c])
+    sizes = nodes.select("doc_id", "n_shingles", "signature").join(ids, "doc_id", "left_semi").join(bounds, "doc_id", "left")
+    sizes = common.checkpoint(sizes.select("doc_id", F.col("n_shingles").alias("n"), less("few"), less("own"), "signature"))
+
+    rest = rest.join(sizes.select("doc_id", "n", "frequent"), "doc_id")
+
+    def possible(bound: str) -> Column:
+        """What two documents share is at most the smaller bound, and has to be percent / (100 + percent) of both sizes."""
+        enough = F.least(f"{bound}_a", f"{bound}_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+        return (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & enough & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+    def meeting(lists: DataFrame, key: str, bound: str, more: Column | None = None, *carried: str) -> DataFrame:
+        """Pairs across components that stand in a list together."""
+        side = lambda x: lists.select(key, *(F.col(c).alias(c + x) for c in ("doc_id", "component", "n", bound, *carried)))
+        pairs = side("_a").join(side("_b"), key).filter(possible(bound) if more is None else possible(bound) & more)
+        return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+
+    # Two documents share a rare shingle, whose lists are short, or share no more than their frequent ones.
+    frequent = rest.filter(F.col("frequent") * 100 >= F.col("n") * percent)
+    labels = rest.select("doc_id", "component").distinct().join(sizes.select("doc_id", "n", "most"), "doc_id").filter(F.col("most") * 100 >= F.col("n") * percent)
+    # A pair meets in the first list it shares; a document stands in at most coordinates - matches + 1 lists.
+    frequent = frequent.join(frequent.groupBy("doc_id").agg(F.collect_list("token").alias("tokens")), "doc_id")
+    first = F.array_min(F.array_intersect("tokens_a", "tokens_b")) == F.col("token")
+    across = meeting(frequent, "token", "frequent", first, "tokens").unionByName(meeting(few.filter("df > 1").join(labels, "doc_id"), "shingle", "most")).distinct()
     signed_side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("signature").alias(f"s{x}"))
     equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     close = across.join(signed_side("a"), "a").join(signed_side("b"), "b").filter(equal >= matches).select("a", "b").join(tried, ["a", "b"], "left_anti")
     second = common.checkpoint(verify(docs, common.checkpoint(close), percent))
-    merged = connected_components(first.unionByName(second)) if not second.isEmpty() else merged
+    merged = connected_components(links.unionByName(second)) if not second.isEmpty() else merged
 
     names = groups.join(merged, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("set_key")).alias("set_key")).join(names, "set_key", "left")
