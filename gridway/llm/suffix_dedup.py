@@ -199,7 +199,10 @@ class Batch:
         self.ids = table["doc_id"].to_numpy()[order]
         data = table["data"]
         parts = [data[int(i)].as_py() for i in order]
-        self.copy = np.isin(self.ids, messages["copy"].drop_null().to_numpy())
+        # Rows with different texts can share an id, so a copy is a row with this id and this text.
+        copies = {(i, d) for i, d in zip(messages["copy"].to_pylist(), messages["digest"].to_pylist(), strict=True) if d is not None}
+        named = {i for i, _ in copies}
+        self.copy = np.fromiter((i in named and (i, hashlib.sha256(x).digest()) in copies for i, x in zip(self.ids.tolist(), parts, strict=True)), bool, len(parts))
         self.bounds = np.cumsum([0, *map(len, parts)])
         self.bytes = b"".join(parts)
         first, last, value = runs(np.frombuffer(self.bytes, np.uint8), self.bounds)
@@ -242,7 +245,9 @@ def from_six(blob: bytes) -> np.ndarray:
 
 
 def cut_at(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    heads = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+    if not len(sorted_keys):
+        return
+    heads = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
     for a, b in zip(heads, np.append(heads[1:], len(sorted_keys)), strict=True):
         yield int(sorted_keys[a]), int(a), int(b)
 
@@ -412,7 +417,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # Copies of a whole text with a smaller id lose everything and are nowhere the first to hold a string.
     digests = dealt.select("batch", "doc_id", F.unhex(F.sha2("data", 256)).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = common.checkpoint(digests.join(first, "digest").filter("doc_id > first").select(F.col("batch").alias("to"), F.col("doc_id").alias("copy")))
+    copies = common.checkpoint(digests.join(first, "digest").filter("doc_id > first").select(F.col("batch").alias("to"), F.col("doc_id").alias("copy"), "digest").distinct())
     # One job from here on, so that the texts are dealt once and the three steps at the batches share that exchange.
     by_batch = dealt.groupBy("batch")
 

@@ -62,6 +62,22 @@ def test_suffix_dedup(docs, corpus):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_of_null_and_shared_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (sentence(rng, 20) for _ in range(5))
+    # Texts a and c come again under ids that other texts have too; b and d are unique, and 9 repeats b.
+    rows = [(3, a), (5, a), (5, b), (4, c), (None, c), (None, d), (None, e), (None, e), (9, b + " " + e)]
+    wanted = Counter((i, len(t), n) for (i, t), n in zip(rows, (0, len(a), 0, 0, len(c), 0, len(e), len(e), len(b)), strict=True))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect()) == wanted
+
+
+def test_suffix_dedup_without_repeats(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, sentence(rng, 20)) for i in range(5)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect()} == {(i, 0) for i in range(5)}
+
+
 def test_merge_of_transforms_equals_sorting():
     rng = np.random.default_rng(3)
     stretches = [bytes(rng.integers(97, 99, rng.integers(12, 40)).astype(np.uint8)) for _ in range(30)]
