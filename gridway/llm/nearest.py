@@ -5,8 +5,10 @@ assigns them to the nearest signed axis. Vectors are posted under their axis in
 nearest axes. Within an axis, queries meet vectors block by block and keep their best, scored exactly in double
 precision; what all axes found is ranked once more.
 
-For inner products of vectors of unequal length, one coordinate is added that gives all vectors the same length; it is 0
-for queries, so their nearest direction is their largest product.
+For inner products of vectors of unequal length, vectors are cut into bands of at most STEP powers of two of length. In
+each band one coordinate is added that gives all its vectors the length of its longest; it is 0 for queries, so their
+nearest direction is their largest product. Each query probes its axes in every band. Of a band with few vectors a query
+may need a large share, which its axes would miss; such bands, but never the largest, are met whole, as one more axis.
 
 Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those whose length differs from
 the commonest. Rows that share an id count as one candidate with its best score. Ties go to the smaller id. An empty table
@@ -26,6 +28,10 @@ from . import common
 
 #: Vectors and queries that meet in one group.
 BLOCK, QUERIES = 4096, 2048
+#: Logarithms to base 2: how far the lengths of a band may differ, and the bins the bands are made of.
+STEP, BIN = 0.5, 1 / 16
+#: Bands of at most so many vectors for each wanted neighbour are met whole.
+FEW = 50
 
 
 def width_of(n: int) -> int:
@@ -46,6 +52,43 @@ def rotated(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and the logarithms to base 2 of the lengths; neither overflows."""
+    most = np.abs(x).max(axis=1)
+    x = x / most[:, None]
+    norm = np.linalg.norm(x, axis=1)
+    return x / norm[:, None], np.log2(most) + np.log2(norm)
+
+
+def nearest_axes(y: np.ndarray, table: int, n: int) -> np.ndarray:
+    """The n nearest signed axes of each row."""
+    if not len(y):
+        return np.zeros((0, n), np.int64)
+    y = rotated(y, table)
+    y = np.concatenate([y, -y], axis=1)
+    return np.argpartition(-y, n - 1, axis=1)[:, :n]
+
+
+def bands_of(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bands of rows (v): their greatest lengths (logarithms), ascending, and how many vectors each has."""
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, length = directions(batch.column(0).flatten().to_numpy().reshape(-1, size))
+            yield pa.RecordBatch.from_pydict({"bin": np.floor(length / BIN).astype(np.int64), "length": length})
+
+    # One row per bin; doubles have lengths for some 34,000 bins at most.
+    bins = rows.select("v").mapInArrow(binned, "bin bigint, length double").groupBy("bin").agg(F.max("length").alias("top"), F.count("*").alias("n")).collect()
+    tops: list[float] = []
+    counts: list[int] = []
+    for one in sorted(bins, key=lambda r: -r.bin):
+        if not tops or one.bin * BIN < tops[-1] - STEP:
+            tops.append(one.top)
+            counts.append(0)
+        counts[-1] += one.n
+    return np.array(tops[::-1]), np.array(counts[::-1])
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of the vectors that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -56,13 +99,15 @@ def usable(vectors: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 8, probes: int = 40) -> DataFrame:
     """The k nearest of each row whose vec_id is divisible by `every`: query_id, rank, vec_id, score."""
     rows = usable(vectors)
-    kinds = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).orderBy(F.desc("c"), "n").first()
+    kinds = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     result = "query_id bigint, rank int, vec_id bigint, score double"
     if kinds is None:
         return vectors.sparkSession.createDataFrame([], result)
-    size, longest = kinds.n, float(kinds.most) ** 0.5
+    size = kinds.n
     width = width_of(size)
     rows = rows.filter(F.size("v") == size)
+    tops, counts = bands_of(rows, size)
+    whole = (counts <= FEW * k) & (np.arange(len(counts)) != counts.argmax())
 
     def axes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,29 +115,38 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 8, pr
                 part = batch.slice(start, 1024)
                 ids = part.column(0).to_numpy()
                 x = part.column(1).flatten().to_numpy().reshape(-1, size)
-                flat = np.zeros((len(x), width))
-                flat[:, :size] = x / longest
-                asks = ids % every == 0
-                query = flat[asks] / np.linalg.norm(flat[asks], axis=1, keepdims=True)
-                flat[:, size] = np.sqrt(np.maximum(0, 1 - (flat**2).sum(axis=1)))
+                unit, length = directions(x)
+                band = np.minimum(np.searchsorted(tops, length - 1e-9), len(tops) - 1)
                 posted = [row.tobytes() for row in x]
-                out: dict[str, list] = {c: [] for c in ("t", "axis", "asks", "vec_id", "v")}
-                for t in range(tables):
-                    for is_query, own, n, vs, y in ((False, ids, 1, posted, flat), (True, ids[asks], min(probes, 2 * width), [v for v, a in zip(posted, asks, strict=True) if a], query)):
-                        if not len(own):
-                            continue
-                        y = rotated(y, t)
-                        y = np.concatenate([y, -y], axis=1)
-                        best = np.argpartition(-y, n - 1, axis=1)[:, :n]
+                asks = np.flatnonzero(ids % every == 0)
+                query = np.zeros((len(asks), width))
+                query[:, :size] = unit[asks]
+                probed = [nearest_axes(query, t, min(probes, 2 * width)) for t in range(tables)]
+
+                def post(parts: list[tuple[int, bool, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+                    """Rows of (table, is a query, vectors, axes of each)."""
+                    out: dict[str, list] = {c: [] for c in ("t", "axis", "asks", "vec_id", "v")}
+                    for t, is_query, own, best in parts:
                         out["t"].append(np.full(best.size, t, np.int32))
                         out["axis"].append(best.ravel().astype(np.int32))
                         out["asks"].append(np.full(best.size, is_query))
-                        out["vec_id"].append(np.repeat(own, n))
-                        out["v"] += [v for v in vs for _ in range(n)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(out[c])) for c in ("t", "axis", "asks", "vec_id")), pa.array(out["v"], pa.binary())], ["t", "axis", "asks", "vec_id", "v"])
+                        out["vec_id"].append(np.repeat(ids[own], best.shape[1]))
+                        out["v"] += [posted[i] for i in own.tolist() for _ in range(best.shape[1])]
+                    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(out[c])) for c in ("t", "axis", "asks", "vec_id")), pa.array(out["v"], pa.binary())], ["t", "axis", "asks", "vec_id", "v"])
+
+                if whole.any():
+                    own = np.flatnonzero(whole[band])
+                    yield post([(0, False, own, np.full((len(own), 1), -1)), (0, True, asks, np.full((len(asks), 1), -1))])
+                for b in np.flatnonzero(~whole).tolist():
+                    own = np.flatnonzero(band == b)
+                    flat = np.zeros((len(own), width))
+                    flat[:, :size] = unit[own] * np.exp2(np.minimum(length[own] - tops[b], 0))[:, None]
+                    flat[:, size] = np.sqrt(np.maximum(0, 1 - (flat**2).sum(axis=1)))
+                    first = b * 2 * width
+                    yield post([x for t in range(tables) for x in ((t, False, own, first + nearest_axes(flat, t, 1)), (t, True, asks, first + probed[t]))])
 
     posted = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(axes, "t int, axis int, asks boolean, vec_id bigint, v binary")
-    # An axis that many share is cut into blocks; each of its queries goes to every block. At most tables x axes rows.
+    # An axis that many share is cut into blocks; each of its queries goes to every block. At most bands x tables x axes rows.
     rows_in = posted.filter("NOT asks").groupBy("t", "axis").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     asks_in = posted.filter("asks").groupBy("t", "axis").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     cuts = F.broadcast(rows_in.join(asks_in, ["t", "axis"]))

@@ -278,6 +278,27 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["outlier", "outliers", "long tail"])
+def test_nearest_with_uneven_norms(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "long tail":
+        x *= 1 + rng.pareto(1.5, (2000, 1))
+    else:
+        x[17 : 18 if kind == "outlier" else 57] *= 20
+    found = {}
+    for r in nearest.search(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q in range(0, 2000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert len(found[q]) == 20
+        recall.append(len(found[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
 def test_quality(spark):
     rng = random.Random(6)
     good = [" ".join(rng.choice(WORDS) for _ in range(60)).capitalize() + "." for _ in range(200)]
