@@ -1,13 +1,13 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Learning takes a bounded sample of trusted documents (`sample`, those with the smallest hash of their id). Their character
+Learning takes all trusted documents but the quarter that sets the limits. Their character
 n-grams are counted in tables dealt by n-gram; discounts, continuation counts and back-off weights are group sums over those
 tables. The corpus is scored against them by one of two joins on n-gram and context with equal results: while the tables
 have at most `broadcast_entries` entries (12 bytes each) they are sent to all tasks, beyond that documents' distinct
 n-grams are shuffled to them.
 
 A document is rejected when its perplexity, smoothed towards its language's mean by `prior` characters, lies above what nearly
-all trusted documents of its language reach. The limits come from trusted documents outside the sample; languages with
+all trusted documents of its language reach. The limits come from trusted documents that did not train; languages with
 few of them, and null languages, use those of all languages.
 
 Null and blank texts have no perplexity and are rejected. Rows that share an id are scored each by itself. Without trusted
@@ -86,11 +86,10 @@ def smoothed(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return alpha, sums.select(F.col("context").alias("key"), (F.col("back") / F.col("total")).alias("v"))
 
 
-def train(docs: DataFrame, trusted: DataFrame, sample: int = 2000) -> tuple[np.ndarray, dict[str, DataFrame], np.ndarray] | None:
+def train(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, dict[str, DataFrame], np.ndarray] | None:
     """Ids by character, tables and unigrams of docs (doc_id, text) whose id is trusted (doc_id); None without any character."""
     spark = docs.sparkSession
-    ids = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    text = common.checkpoint(docs.join(F.broadcast(ids), "doc_id", "left_semi").filter("text IS NOT NULL").select("text").repartition(common.partitions(spark)))
+    text = common.checkpoint(docs.join(trusted, "doc_id", "left_semi").filter("text IS NOT NULL").select("text").repartition(common.partitions(spark)))
 
     def count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,10 +218,10 @@ def calibrates() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: int = 2000, quantile: float = 0.995, prior: int = 60, slack: float = 0.2, least: int = 30, broadcast_entries: int = 4_000_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, prior: int = 60, slack: float = 0.2, least: int = 30, broadcast_entries: int = 4_000_000) -> DataFrame:
     """Per row of docs (doc_id, text, lang): n_chars, perplexity, limit, kept. labels: (doc_id, quality, toxic)."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
-    trained = train(docs.select("doc_id", "text"), good.filter(~calibrates()), sample)
+    trained = train(docs.select("doc_id", "text"), good.filter(~calibrates()))
     if trained is None:
         n = F.coalesce(F.length(F.trim("text")), F.lit(0)).cast("long")
         return docs.select("doc_id", n.alias("n_chars"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("limit"), (n > 0).alias("kept"))

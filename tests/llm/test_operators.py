@@ -312,6 +312,14 @@ def test_quality(spark):
     assert all(other[i].kept == one[i].kept and (other[i].perplexity or 0) == pytest.approx(one[i].perplexity or 0, rel=1e-4) for i in range(212))
 
 
+def test_quality_learns_from_all_trusted_texts(spark):
+    # One character for each two texts: all that train must be seen for all of them to be known.
+    texts = [f"{chr(0x4E00 + i // 2)} ab" for i in range(6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    vocabulary, _, _ = quality.train(df, df.select("doc_id"))
+    assert (vocabulary[0x4E00 : 0x4E00 + 3000] > 0).all()
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for found in (suffix_dedup.remove_repeats(empty), exact_dedup.dedup(empty), minhash.components(empty), packing.pack(empty), token_counts.count_tokens(empty), mixing.copies(empty), mixing.mix(empty), personal_data.find(empty, personal_data.fit(empty)), quality.judge(empty, labels), language_id.predict(empty, language_id.fit(empty))):
