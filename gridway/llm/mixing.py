@@ -2,16 +2,19 @@
 
 Each source's target is its weight's part of the wanted total, no more than `cap` times its size; the excess goes to the
 others by weight. Within a source every document expects target / size copies; the expected copies are summed along the
-documents in order of size, one random offset is added, and a document is emitted once for each integer that its stretch
-crosses. Order by size keeps the emitted words near the target whatever the offset; of a few random offsets each source
-uses the one that comes nearest.
+documents, one random offset is added, and a document is emitted once for each integer that its stretch crosses. The order
+goes up through every second size and down through the others, so that the emitted words are near the target wherever the
+offset falls: both ends hold the smallest documents.
 
-Null texts have size 0; null sources form one source, the last. Rows that share an id are sampled each by itself. A
-source of size 0 has target 0 and is not emitted. An empty table gives an empty result. Extra columns are ignored.
+Null texts have size 0; null sources form one source, the last. Rows that share an id are sampled each by itself; rows that
+share id, source and text are interchangeable. A source of size 0 has target 0 and is not emitted. An empty table gives an
+empty result. Extra columns are ignored by copies() and kept by mix(), whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,41 +45,56 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return rows.select("source", "source_size", F.least(F.col("most"), level * F.col("weight")).alias("target"))
 
 
-def copies(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2, seed: int = 7, offsets: int = 16) -> DataFrame:
-    """Per row of docs (doc_id, text, source): size, source_size, target, copies, taken."""
+KEY = ("id", "source", "size", "hash", "crc")
+
+
+def key_of(docs: DataFrame) -> Column:
+    """What tells rows apart that are not interchangeable."""
+    text = F.col("text")
+    return F.struct(F.col("doc_id").alias("id"), F.col("source").alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("hash"), F.crc32(text.cast("binary")).alias("crc"))
+
+
+def copies(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2, seed: int = 7) -> DataFrame:
+    """Per row of docs (doc_id, text, source): size, source_size, target, copies, taken. hash and crc are of the text; rows with all
+    this in common are numbered nth `of` so many."""
     n = common.partitions(docs.sparkSession)
-    sized = common.checkpoint(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    same = Window.partitionBy(*KEY)
+    numbered = docs.select(key_of(docs).alias("row")).select("row.*").withColumns({"of": F.count("*").over(same), "nth": F.row_number().over(same.orderBy(F.lit(0)))})
+    sized = common.checkpoint(numbered.withColumnRenamed("id", "doc_id"))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap).withColumn("key", key).drop("source")
     # Parts of a source: size classes of an eighth of an octave, each in n shares. Ranks within parts follow from the parts' counts.
-    rows = sized.withColumns({"class": F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"), "part": common.salt(n, "doc_id"), "key": key})
+    rows = sized.withColumns({"class": F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"), "part": common.salt(n, "doc_id", "hash", "nth"), "key": key})
     parts = rows.groupBy("key", "class", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("key").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    begin = parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(goals, "key").select("key", "class", "part", "before", "source_size", "target")
-    ranked = rows.withColumn("own", F.row_number().over(Window.partitionBy("key", "class", "part").orderBy("size", "doc_id")))
-    placed = common.checkpoint(ranked.join(begin, ["key", "class", "part"]).select("doc_id", "source", "key", "size", "source_size", "target", (F.col("own") + F.col("before")).alias("rank")))
+    begin = parts.withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("key"))}).join(goals, "key").select("key", "class", "part", "before", "all", "source_size", "target")
+    ranked = rows.withColumn("own", F.row_number().over(Window.partitionBy("key", "class", "part").orderBy("size", "doc_id", "hash", "crc", "nth")))
+    placed = ranked.join(begin, ["key", "class", "part"]).withColumn("rank", F.col("own") + F.col("before"))
+    place = F.when(F.col("rank") % 2 == 1, (F.col("rank") + 1) / 2).otherwise(F.col("all") + 1 - F.col("rank") / 2)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    draws = [(F.pmod(F.xxhash64("key", F.lit(seed), F.lit(k)), F.lit(1 << 20)) + 0.5) / float(1 << 20) for k in range(offsets)]
-
-    def emitted(offset: Column) -> Column:
-        crossed = F.floor(F.col("rank") * each + offset) - F.floor((F.col("rank") - 1) * each + offset)
-        return F.least(crossed, F.ceil(each)).cast("long")
-
-    # Of a few random offsets each source uses the one whose words come nearest to its target.
-    off = placed.groupBy("key").agg(*(F.sum(emitted(o) * F.col("size")).alias(f"words{k}") for k, o in enumerate(draws)), F.first("target").alias("goal"))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"words{k}") - F.col("goal")).alias("off"), o.alias("offset")) for k, o in enumerate(draws))))["offset"]
-    placed = placed.join(off.select("key", best.alias("offset")), "key")
-    return placed.withColumn("copies", emitted(F.col("offset"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    offset = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    crossed = F.floor(place * each + offset) - F.floor((place - 1) * each + offset)
+    out = placed.withColumn("copies", F.least(crossed, F.ceil(each)).cast("long"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "hash", "crc", "nth", "of")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs' rows, each as often as the mix takes it."""
-    n = "__n"
-    times = copies(docs, **options).filter("copies > 0").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size"))).select(F.col("doc_id").alias("__id"), F.col(n).alias("__m"), "copies")
-    rows = docs.withColumn("__size", size_of(F.col("text")))
-    unique = rows.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "__size")))
-    out = unique.join(times, unique["doc_id"].eqNullSafe(times["__id"]) & (F.col(n) == F.col("__m")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    found = copies(docs, **options).withColumnRenamed("doc_id", "id")
+    times = common.checkpoint(found.select(*(F.col(c).alias(f"__mix_{c}") for c in (*KEY, "nth", "of", "copies"))))
+    rows = docs.withColumn("__mix", key_of(docs))
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return functools.reduce(Column.__and__, (left[f"__mix.{c}"].eqNullSafe(right[f"__mix_{c}"]) for c in KEY))
+
+    alone, several = times.filter("__mix_of = 1 AND __mix_copies > 0"), times.filter("__mix_of > 1")
+    once = rows.join(alone, same(rows, alone)).select(*docs.columns, "__mix_copies")
+    # Interchangeable rows are few: only they are numbered, and each takes the copies of its number.
+    names = several.filter("__mix_nth = 1")
+    again = rows.join(names, same(rows, names), "left_semi").withColumn("__mix_row", F.row_number().over(Window.partitionBy(*(f"__mix.{c}" for c in KEY)).orderBy(F.lit(0))))
+    again = again.join(several, same(again, several) & (again["__mix_row"] == several["__mix_nth"])).select(*docs.columns, "__mix_copies")
+    out = once.unionByName(again).filter("__mix_copies > 0")
+    return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
