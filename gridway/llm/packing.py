@@ -28,6 +28,8 @@ from .token_counts import DIGIT, LETTER, SPACE, UNUSUAL, tokenizer
 # The word split pattern, spelled out for the code points up to U+017F.
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
+#: Ranks that meet their slots in one group.
+CHUNK = 1000
 #: A worker remembers the ids of so many words.
 REMEMBERED = 500_000
 
@@ -164,8 +166,12 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
     places = spark.createDataFrame(slots, "length bigint, rank0 bigint, count bigint, first bigint, offset bigint")
     within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
     ranked = pieces.withColumn("own", F.row_number().over(within) - 1).join(begin, ["length", "part"]).withColumn("rank", F.col("own") + F.col("before"))
-    taken = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("count")))
-    return taken.select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("first") + F.col("rank") - F.col("rank0")).alias("sequence_id"), "offset")
+    # Slots and pieces meet by length and thousands of ranks; a run of slots is there once for each thousand it reaches into.
+    chunk = lambda rank: F.floor(rank / CHUNK).cast("long")
+    places = places.withColumn("chunk", F.explode(F.sequence(chunk(F.col("rank0")), chunk(F.col("rank0") + F.col("count") - 1))))
+    ranked = ranked.withColumn("chunk", chunk(F.col("rank")))
+    taken = ranked.join(places, ["length", "chunk"]).filter((F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("count")))
+    return taken.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("rank0")).alias("sequence_id"), "offset")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
