@@ -71,8 +71,12 @@ def fit(labelled: DataFrame, per_language: int = 2000, clusters: int = 4, quanti
     """Learn from rows (doc_id, text, lang). The sample is bounded by per_language; so is all that is collected."""
     spark = labelled.sparkSession
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("doc_id", "lang")
+    # A language that most texts have is ranked in parts first, each of which passes on per_language rows at most.
+    ids, order = usable.select("doc_id", "lang"), [F.xxhash64("doc_id"), "doc_id"]
+    ids = ids.withColumn("part", common.salt(common.partitions(spark), "doc_id"))
+    for group in (("lang", "part"), ("lang",)):
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("n") <= per_language)
+    ids = ids.select("doc_id", "lang").distinct()
     sample = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
