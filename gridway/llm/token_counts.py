@@ -3,8 +3,8 @@
 Byte-pair merges never cross a pre-token, so a document's token count is the sum over its pre-tokens of the pieces each
 has. The corpus' distinct pre-tokens are encoded once; documents only bring pre-token frequencies.
 
-Null texts count as empty. Tied or repeated rows are counted each by itself only if their ids differ: rows that share an
-id are summed. Extra columns are ignored.
+Null texts count as empty. Rows that share an id are counted each by itself. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
@@ -111,12 +111,13 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids, tokens, times, counted, sizes = [], [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids, own, tokens, times, counted, sizes = [], [], [], [], [], []
+                for doc, text, row in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
                     total = 0
                     for token, n in frequencies(text, tok, special).items():
                         if (k := known.get(token)) is None:
-                            ids.append(doc)
+                            ids.append(None)
+                            own.append(row)
                             tokens.append(token)
                             times.append(n)
                             counted.append(0)
@@ -124,19 +125,20 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         else:
                             total += k * n
                     ids.append(doc)
+                    own.append(row)
                     tokens.append(None)
                     times.append(0)
                     counted.append(total)
                     sizes.append(len(text.encode()))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, part.schema.field(0).type), "pretoken": pa.array(tokens, pa.string()), "times": pa.array(times, pa.int64()), "counted": pa.array(counted, pa.int64()), "n_bytes": pa.array(sizes, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, part.schema.field(0).type), "row": pa.array(own, pa.int64()), "pretoken": pa.array(tokens, pa.string()), "times": pa.array(times, pa.int64()), "counted": pa.array(counted, pa.int64()), "n_bytes": pa.array(sizes, pa.int64())})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(per_document, f"doc_id {kind}, pretoken string, times bigint, counted bigint, n_bytes bigint")
+    found = rows.mapInArrow(per_document, f"doc_id {kind}, row bigint, pretoken string, times bigint, counted bigint, n_bytes bigint")
     # A document's own row has no partner; a key of its own keeps such rows from meeting in one task.
-    found = found.withColumn("pretoken", F.coalesce("pretoken", F.concat(F.lit("\u0000\u0000"), F.col("doc_id").cast("string"))))
+    found = found.withColumn("pretoken", F.coalesce("pretoken", F.concat(F.lit("\u0000\u0000"), F.col("row").cast("string"))))
     joined = found.join(pieces.select("pretoken", "pieces"), "pretoken", "left")
     n_tokens = F.sum(F.col("counted") + F.col("times") * F.coalesce("pieces", F.lit(0)))
-    return joined.groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), n_tokens.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
+    return joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), n_tokens.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit).drop("row")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
