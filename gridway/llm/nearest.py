@@ -1,14 +1,18 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each table turns unit vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and
-assigns them to the nearest signed axis. Vectors are posted under their axis in every table; queries probe their `probes`
-nearest axes. Within an axis, queries meet vectors block by block and keep their best, scored exactly in double
-precision; what all axes found is ranked once more.
+A hash function turns unit vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and
+assigns them to the nearest signed axis. Each table joins several functions, more of them the more vectors there are, so
+that its buckets stay small; vectors are posted in one bucket of every table, and queries probe the `probes` best of the
+product of their nearest axes, best sums first. Vectors and queries meet by the first function's axis, are compared within
+equal buckets only, and scored exactly in double precision; what all tables found is ranked once more.
+
+A sample of `sample` vectors, compared with all queries, gives each query a bound that its best `k` reach for certain;
+candidates below it need not leave their task. The sample itself is searched for neighbours like a bucket.
 
 For inner products of vectors of unequal length, vectors are cut into bands of at most STEP powers of two of length. In
 each band one coordinate is added that gives all its vectors the length of its longest; it is 0 for queries, so their
-nearest direction is their largest product. Each query probes its axes in every band. Of a band with few vectors a query
-may need a large share, which its axes would miss; such bands, but never the largest, are met whole, as one more axis.
+nearest direction is their largest product. Each query probes its buckets in every band. Of a band with few vectors a query
+may need a large share, which its buckets would miss; such bands, but never the largest, are met whole, as one more bucket.
 
 Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those whose length differs from
 the commonest. Rows that share an id count as one candidate with its best score. Ties go to the smaller id. An empty table
@@ -17,6 +21,7 @@ gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
-
 #: Vectors and queries that meet in one group.
 BLOCK, QUERIES = 4096, 2048
+#: Axes of one function that best-first probing considers.
+POOL = 24
 #: Logarithms to base 2: how far the lengths of a band may differ, and the bins the bands are made of.
 STEP, BIN = 0.5, 1 / 16
 #: Bands of at most so many vectors for each wanted neighbour are met whole.
 FEW = 50
 
 
-def width_of(n: int) -> int:
-    """The power of two that holds n numbers and the added coordinate."""
-    return 1 << n.bit_length()
-
-
 def rotated(x: np.ndarray, seed: int) -> np.ndarray:
     """Three rounds of random signs and a Hadamard transform."""
     n, d = x.shape
@@ -60,17 +60,51 @@ def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x / norm[:, None], np.log2(most) + np.log2(norm)
 
 
-def nearest_axes(y: np.ndarray, table: int, n: int) -> np.ndarray:
-    """The n nearest signed axes of each row."""
-    if not len(y):
-        return np.zeros((0, n), np.int64)
-    y = rotated(y, table)
-    y = np.concatenate([y, -y], axis=1)
-    return np.argpartition(-y, n - 1, axis=1)[:, :n]
-
-
-def bands_of(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bands of rows (v): their greatest lengths (logarithms), ascending, and how many vectors each has."""
+class Functions:
+    """The hash functions of all tables, as one matrix: `count` for each table."""
+
+    def __init__(self, size: int, added: int, tables: int, count: int):
+        width = 1 << (size + added - 1).bit_length()
+        self.width, self.tables, self.count = width, tables, count
+        self.axes = min(width, 1 << (size - 1).bit_length())  # coordinates that are looked at; each has two signs
+        turned = [rotated(np.eye(width), f)[: size + added, : self.axes] for f in range(tables * count)]
+        self.matrix = np.concatenate(turned, axis=1)
+
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        """(row, table, function, signed axis) -> how near x lies to it."""
+        y = (x @ self.matrix[: x.shape[1]]).reshape(len(x), self.tables, self.count, self.axes)
+        return np.concatenate([y, -y], axis=3)
+
+    def buckets(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, table) -> the first function's axis, and the number that the other functions' axes make."""
+        axis = self.turned(x).argmax(axis=3)
+        rest = np.zeros(axis.shape[:2], np.int64)
+        for f in range(1, self.count):
+            rest = rest * 2 * self.axes + axis[:, :, f]
+        return axis[:, :, 0], rest
+
+    def probed(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, table, probe) -> the same for the best buckets of the product, by the sum over the functions."""
+        y = self.turned(x)
+        pool = min(POOL, 2 * self.axes)
+        best = np.argpartition(-y, pool - 1, axis=3)[..., :pool]
+        near = np.take_along_axis(y, best, axis=3)
+        first, rest, total = best[:, :, 0], np.zeros_like(best[:, :, 0]), near[:, :, 0]
+        for f in range(1, self.count):
+            shape = (*total.shape, pool)
+            total = (total[..., None] + near[:, :, f, None, :]).reshape(*shape[:2], -1)
+            first = np.broadcast_to(first[..., None], shape).reshape(*shape[:2], -1)
+            rest = (rest[..., None] * 2 * self.axes + best[:, :, f, None, :]).reshape(*shape[:2], -1)
+            keep = probes if f == self.count - 1 else 4 * probes
+            if total.shape[2] > keep:
+                at = np.argpartition(-total, keep - 1, axis=2)[..., :keep]
+                total, first, rest = (np.take_along_axis(z, at, axis=2) for z in (total, first, rest))
+        return first, rest
+
+
+def bands_of(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The bands of rows (v): their greatest lengths (logarithms), ascending, how many vectors each has, and whether lengths
+    differ within bands."""
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,15 +112,17 @@ def bands_of(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"bin": np.floor(length / BIN).astype(np.int64), "length": length})
 
     # One row per bin; doubles have lengths for some 34,000 bins at most.
-    bins = rows.select("v").mapInArrow(binned, "bin bigint, length double").groupBy("bin").agg(F.max("length").alias("top"), F.count("*").alias("n")).collect()
+    bins = rows.select("v").mapInArrow(binned, "bin bigint, length double").groupBy("bin").agg(F.max("length").alias("top"), F.min("length").alias("low"), F.count("*").alias("n")).collect()
     tops: list[float] = []
     counts: list[int] = []
+    uneven = False
     for one in sorted(bins, key=lambda r: -r.bin):
         if not tops or one.bin * BIN < tops[-1] - STEP:
             tops.append(one.top)
             counts.append(0)
         counts[-1] += one.n
-    return np.array(tops[::-1]), np.array(counts[::-1])
+        uneven |= one.low < tops[-1] - 1e-3
+    return np.array(tops[::-1]), np.array(counts[::-1]), uneven
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -96,7 +132,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 8, probes: int = 40) -> DataFrame:
+def best_of(ids: np.ndarray, x: np.ndarray, query: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of x for q, exactly: ids and scores, best first, ties to the smaller id."""
+    own = ids != query
+    ids, exact = ids[own], (x[own] * q).sum(axis=1)
+    best = np.lexsort((ids, -exact))[:k]
+    return ids[best], exact[best]
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 32, probes: int = 120, sample: int = 512) -> DataFrame:
     """The k nearest of each row whose vec_id is divisible by `every`: query_id, rank, vec_id, score."""
     rows = usable(vectors)
     kinds = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
@@ -104,78 +148,114 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 8, pr
     if kinds is None:
         return vectors.sparkSession.createDataFrame([], result)
     size = kinds.n
-    width = width_of(size)
-    rows = rows.filter(F.size("v") == size)
-    tops, counts = bands_of(rows, size)
+    # Single-precision vectors travel as such, which loses nothing.
+    narrow = np.dtype("<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8")
+    rows = rows.filter(F.size("v") == size).withColumn("vec_id", F.col("vec_id").cast("long"))
+    tops, counts, uneven = bands_of(rows, size)
     whole = (counts <= FEW * k) & (np.arange(len(counts)) != counts.argmax())
+    signed = 2 << (size - 1).bit_length()
+    functions = Functions(size, int(uneven), tables, max(2, int(math.log(counts.max()) / math.log(signed))))
+    parts = -(-int(counts.max()) // (signed * BLOCK))
+    seen = {r.vec_id: r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()}  # one of each id
+    shared = vectors.sparkSession.sparkContext.broadcast((functions, np.array(list(seen)), np.array(list(seen.values()))))
+
+    def bound(query: int, q: np.ndarray) -> float:
+        """A score that the k best of this query reach; a little less, as products of equal vectors differ in their last bits."""
+        _, found = best_of(*shared.value[1:], query, q, k)
+        return found[-1] - 1e-9 * abs(found[-1]) if len(found) == k else -np.inf
+
+    def from_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for query, q in zip(batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, size), strict=True):
+                ids, score = best_of(*shared.value[1:], query, q, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    columns = ["t", "axis", "part", "asks", "vec_id", "least", "rest", "v"]
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        functions = shared.value[0]
+
+        def made(x: np.ndarray, ids: np.ndarray, least: np.ndarray, asks: bool, row: np.ndarray, t: np.ndarray, axis: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+            """One row for each vector, table, axis and part, with all that it has to do with of the rest."""
+            part = rest % parts
+            order = np.lexsort((part, axis, t, row))
+            row, t, axis, part, rest = (z[order] for z in (row, t, axis, part, rest))
+            at = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(t) != 0) | (np.diff(axis) != 0) | (np.diff(part) != 0)])) if len(row) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)), pa.array(rest.astype(np.int64)))
+            v = pa.array([z.astype(narrow).tobytes() for z in x], pa.binary()).take(pa.array(row[at]))
+            numbers = [pa.array(z[at].astype(np.int32)) for z in (t, axis, part)]
+            return pa.RecordBatch.from_arrays([*numbers, pa.array(np.full(len(at), asks)), pa.array(ids[row[at]]), pa.array(least[row[at]]), lists, v], columns)
 
-    def axes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                ids = part.column(0).to_numpy()
-                x = part.column(1).flatten().to_numpy().reshape(-1, size)
+            for start in range(0, batch.num_rows, 512):
+                piece = batch.slice(start, 512)
+                ids = piece.column(0).to_numpy()
+                x = piece.column(1).flatten().to_numpy().reshape(-1, size)
                 unit, length = directions(x)
                 band = np.minimum(np.searchsorted(tops, length - 1e-9), len(tops) - 1)
-                posted = [row.tobytes() for row in x]
                 asks = np.flatnonzero(ids % every == 0)
-                query = np.zeros((len(asks), width))
-                query[:, :size] = unit[asks]
-                probed = [nearest_axes(query, t, min(probes, 2 * width)) for t in range(tables)]
-
-                def post(parts: list[tuple[int, bool, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-                    """Rows of (table, is a query, vectors, axes of each)."""
-                    out: dict[str, list] = {c: [] for c in ("t", "axis", "asks", "vec_id", "v")}
-                    for t, is_query, own, best in parts:
-                        out["t"].append(np.full(best.size, t, np.int32))
-                        out["axis"].append(best.ravel().astype(np.int32))
-                        out["asks"].append(np.full(best.size, is_query))
-                        out["vec_id"].append(np.repeat(ids[own], best.shape[1]))
-                        out["v"] += [posted[i] for i in own.tolist() for _ in range(best.shape[1])]
-                    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(out[c])) for c in ("t", "axis", "asks", "vec_id")), pa.array(out["v"], pa.binary())], ["t", "axis", "asks", "vec_id", "v"])
-
-                if whole.any():
-                    own = np.flatnonzero(whole[band])
-                    yield post([(0, False, own, np.full((len(own), 1), -1)), (0, True, asks, np.full((len(asks), 1), -1))])
-                for b in np.flatnonzero(~whole).tolist():
-                    own = np.flatnonzero(band == b)
-                    flat = np.zeros((len(own), width))
-                    flat[:, :size] = unit[own] * np.exp2(np.minimum(length[own] - tops[b], 0))[:, None]
+                least = np.zeros(len(ids))
+                least[asks] = [bound(ids[i], x[i]) for i in asks]
+                flat = np.zeros((len(x), size + int(uneven)))
+                flat[:, :size] = unit * np.exp2(np.minimum(length - tops[band], 0))[:, None]
+                if uneven:
                     flat[:, size] = np.sqrt(np.maximum(0, 1 - (flat**2).sum(axis=1)))
-                    first = b * 2 * width
-                    yield post([x for t in range(tables) for x in ((t, False, own, first + nearest_axes(flat, t, 1)), (t, True, asks, first + probed[t]))])
-
-    posted = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(axes, "t int, axis int, asks boolean, vec_id bigint, v binary")
-    # An axis that many share is cut into blocks; each of its queries goes to every block. At most bands x tables x axes rows.
-    rows_in = posted.filter("NOT asks").groupBy("t", "axis").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asks_in = posted.filter("asks").groupBy("t", "axis").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    cuts = F.broadcast(rows_in.join(asks_in, ["t", "axis"]))
-    cut = posted.join(cuts, ["t", "axis"])
-    base = cut.filter("NOT asks").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    asked = cut.filter("asks").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = ["t", "axis", "block", "part"]
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in (*key, "vec_id", "v")))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, queries = left["vec_id"].to_numpy(), right["q_vec_id"].to_numpy()
-        x, q = (np.frombuffer(b"".join(v.to_pylist())).reshape(-1, size) for v in (left["v"], right["q_v"]))
-        out: list[list] = [[], [], []]
-        if len(ids) and len(queries):
-            near = q @ x.T
-            near[queries[:, None] == ids[None, :]] = -np.inf
-            for i, row in enumerate(near):
-                # All that may belong to the best k; products of equal vectors can differ in their last bits here.
-                least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                close = np.flatnonzero((row >= least - 1e-9 * abs(least)) & np.isfinite(row)) if np.isfinite(least) else np.flatnonzero(np.isfinite(row))
-                exact = (x[close] * q[i]).sum(axis=1)
-                best = np.lexsort((ids[close], -exact))[:k]
-                out[0].append(np.full(len(best), queries[i]))
-                out[1].append(ids[close][best])
-                out[2].append(exact[best])
-        empty = np.zeros(0)
-        return pa.table({n: pa.array(np.concatenate(c) if c else empty, kind) for n, c, kind in zip(("query_id", "vec_id", "score"), out, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
-
-    found = base.groupBy(*key).cogroup(asked.groupBy(*(f"q_{c}" for c in key))).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+                axis, rest = functions.buckets(flat)
+                hashed = ~whole[band]
+                axis = axis + band[:, None] * 2 * functions.axes
+                own = np.broadcast_to(np.arange(len(x))[:, None], axis.shape)[hashed]
+                table = np.broadcast_to(np.arange(tables)[None, :], axis.shape)[hashed]
+                yield made(x, ids, least, False, own.ravel(), table.ravel(), axis[hashed].ravel(), rest[hashed].ravel())
+                first, rest = functions.probed(unit[asks], probes)
+                row = np.broadcast_to(asks[:, None, None], first.shape).ravel()
+                table = np.broadcast_to(np.arange(tables)[None, :, None], first.shape).ravel()
+                for b in np.flatnonzero(~whole).tolist():
+                    yield made(x, ids, least, True, row, table, first.ravel() + b * 2 * functions.axes, rest.ravel())
+                if whole.any():
+                    for is_query, own in ((False, np.flatnonzero(whole[band])), (True, asks)):
+                        zero = np.zeros(len(own), np.int64)
+                        yield made(x, ids, least, is_query, own, zero, zero - 1, zero)
+
+    posted = rows.mapInArrow(post, "t int, axis int, part int, asks boolean, vec_id bigint, least double, rest array<bigint>, v binary")
+    # Where many vectors or queries share an axis and part, both are cut, and each piece meets each.
+    key = ["t", "axis", "part"]
+    sums = posted.groupBy(*key).agg(F.ceil(F.count_if(~F.col("asks")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("asks") / QUERIES).cast("int").alias("pieces"))
+    cut = posted.join(sums.filter("blocks > 1 OR pieces > 1"), key, "left").fillna(1, ["blocks", "pieces"])
+    place = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = cut.filter("NOT asks").withColumn("block", place("blocks")).withColumn("piece", every_one("pieces"))
+    asked = cut.filter("asks").withColumn("piece", place("pieces")).withColumn("block", every_one("blocks"))
+    meeting = base.unionByName(asked).select(*columns, "block", "piece")
+
+    def meet(table: pa.Table) -> pa.Table:
+        is_query = table["asks"].to_numpy()
+        ids, least = table["vec_id"].to_numpy(), table["least"].to_numpy()
+        lists = table["rest"].combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        bucket, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lengths)
+        order = np.argsort(bucket, kind="stable")
+        bucket, owner = bucket[order], owner[order]
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0])) if len(bucket) else []
+        v = np.frombuffer(b"".join(table["v"].to_pylist()), narrow).reshape(-1, size).astype(float)
+        queries, found = [], []
+        for a, b in zip(heads, [*heads[1:], len(bucket)], strict=True):
+            own = owner[a:b]
+            q, x = own[is_query[own]], own[~is_query[own]]
+            if len(q) and len(x):
+                near = v[q] @ v[x].T
+                i, j = np.nonzero((near >= least[q][:, None]) & (ids[q][:, None] != ids[x][None, :]))
+                queries.append(q[i])
+                found.append(x[j])
+        queries, found = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (queries, found))
+        exact = (v[found] * v[queries]).sum(axis=1)
+        order = np.lexsort((ids[found], -exact, queries))
+        queries, found, exact = queries[order], found[order], exact[order]
+        head = np.flatnonzero(np.concatenate([[True], np.diff(queries) != 0])) if len(queries) else np.zeros(0, np.int64)
+        rank = np.arange(len(queries)) - np.repeat(head, np.diff(np.append(head, len(queries))))
+        return pa.table({"query_id": ids[queries[rank < k]], "vec_id": ids[found[rank < k]], "score": exact[rank < k]})
+
+    scored = "query_id bigint, vec_id bigint, score double"
+    found = meeting.groupBy(*key, "block", "piece").applyInArrow(meet, scored).unionByName(rows.filter(F.col("vec_id") % every == 0).mapInArrow(from_sample, scored))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
