@@ -1,7 +1,8 @@
 """Routes, their segments, and what lies in their corridor.
 
-A route is rows (route_id, i, lat, lng). Spatial joins are equi-joins on grid cells as wide as the search radius, so they
-never become a nested loop; the exact distance decides afterwards.
+A route is rows (route_id, i, lat, lng). Spatial joins are equi-joins on grid cells, so they never become a nested loop; the
+exact distance decides afterwards. Points, of which there are many, stand in one cell; what they are held against, in every
+cell that its padded box touches.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from gridway.functions import geo
 
+#: A degree of a great circle.
+KM_PER_DEGREE = geo.EARTH_KM * math.pi / 180
+
 
 def cumulative(routes: DataFrame) -> DataFrame:
     """routes with cum_km, the length from the start."""
@@ -32,36 +36,58 @@ def segments(routes: DataFrame) -> DataFrame:
 
 def cell_size(radius_m: float, max_lat: float = 56.0) -> float:
     """Degrees that span the radius in both directions up to the latitude."""
-    return max(0.002, radius_m / (geo.METRES_PER_DEGREE * math.cos(math.radians(max_lat))))
+    return max(0.0005, radius_m / (geo.METRES_PER_DEGREE * math.cos(math.radians(max_lat))))
 
 
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def segment_cells(segs: DataFrame, size: float) -> DataFrame:
-    """segs, once for each cell of its bounding box."""
-    span = lambda a, b: F.sequence(cell(F.least(a, b), size), cell(F.greatest(a, b), size))
-    return segs.withColumn("cx", F.explode(span("a_lng", "b_lng"))).withColumn("cy", F.explode(span("a_lat", "b_lat")))
+def box_cells(rows: DataFrame, west: Column, east: Column, south: Column, north: Column, size: float) -> DataFrame:
+    """rows, once for each cell (cx, cy) of a box."""
+    spans = rows.withColumn("cx", F.explode(F.sequence(cell(west, size), cell(east, size))))
+    return spans.withColumn("cy", F.explode(F.sequence(cell(south, size), cell(north, size))))
+
+
+def segment_cells(segs: DataFrame, size: float, pad: float) -> DataFrame:
+    """segs, once for each cell that is within `pad` degrees of its box."""
+    low, high = (lambda x: F.least(f"a_{x}", f"b_{x}") - pad), (lambda x: F.greatest(f"a_{x}", f"b_{x}") + pad)
+    return box_cells(segs, low("lng"), high("lng"), low("lat"), high("lat"), size)
 
 
-def point_cells(points: DataFrame, size: float) -> DataFrame:
-    """points (lat, lng), once for their own cell and each of its eight neighbours."""
-    around = lambda x: F.sequence(cell(F.col(x), size) - 1, cell(F.col(x), size) + 1)
-    return points.withColumn("cx", F.explode(around("lng"))).withColumn("cy", F.explode(around("lat")))
+def in_cells(points: DataFrame, size: float) -> DataFrame:
+    """points (lat, lng) with their cell."""
+    return points.withColumns({"cx": cell(F.col("lng"), size), "cy": cell(F.col("lat"), size)})
+
+
+def candidates(points: DataFrame, routes: DataFrame, radius_m: float, how: str = "inner") -> DataFrame:
+    """points with the segments that may be within radius_m; of their own route only, if they have a route_id."""
+    reach = cell_size(radius_m) if radius_m > 0 else 0.0
+    size = 2 * reach
+    own = ["route_id"] if "route_id" in points.columns else []
+    return in_cells(points, size).join(segment_cells(segments(routes), size, reach), [*own, "cx", "cy"], how)
 
 
 def near(points: DataFrame, routes: DataFrame, radius_m: float, keys: list[str]) -> DataFrame:
     """For each point (keys, lat, lng) and route within radius_m: dist_m, km, seg, the nearest segment, the first on ties.
 
-    km is rounded to 20 metres.
+    km is rounded to 20 metres. Points with a route_id are held against that route only.
     """
-    size = cell_size(radius_m)
-    candidates = point_cells(points.select(*keys, "lat", "lng"), size).join(segment_cells(segments(routes), size), ["cx", "cy"])
+    by = [*keys, *(["route_id"] if "route_id" not in keys else [])]
+    own = ["route_id"] if "route_id" in points.columns and "route_id" not in keys else []
+    dist, t = geo.on_segment(*(F.col(c) for c in ("lat", "lng", "a_lat", "a_lng", "b_lat", "b_lng")))
+    found = candidates(points.select(*keys, *own, "lat", "lng"), routes, radius_m).select(*by, "i", dist.alias("dist_m"), (F.col("a_km") + t * (F.col("b_km") - F.col("a_km"))).alias("km")).filter(F.col("dist_m") <= radius_m)
+    best = found.groupBy(*by).agg(F.min(F.struct("dist_m", "i", "km")).alias("best"))
+    return best.select(*by, F.col("best.dist_m").alias("dist_m"), geo.half_up(F.col("best.km"), 50).alias("km"), F.col("best.i").alias("seg"))
+
+
+def placed(points: DataFrame, routes: DataFrame, radius_m: float, keys: list[str], carried: list[str]) -> DataFrame:
+    """Each point (keys, carried, route_id, lat, lng) with dist_m and km on its route, both null beyond radius_m."""
     dist, t = geo.on_segment(*(F.col(c) for c in ("lat", "lng", "a_lat", "a_lng", "b_lat", "b_lng")))
-    found = candidates.select(*keys, "route_id", "i", dist.alias("dist_m"), (F.col("a_km") + t * (F.col("b_km") - F.col("a_km"))).alias("km")).filter(F.col("dist_m") <= radius_m)
-    best = found.groupBy(*keys, "route_id").agg(F.min(F.struct("dist_m", "i", "km")).alias("best"))
-    return best.select(*keys, "route_id", F.col("best.dist_m").alias("dist_m"), geo.half_up(F.col("best.km"), 50).alias("km"), F.col("best.i").alias("seg"))
+    by = [*keys, "route_id"]
+    tried = candidates(points.select(*by, *carried, "lat", "lng"), routes, radius_m, "left").withColumns({"dist_m": dist, "km": F.col("a_km") + t * (F.col("b_km") - F.col("a_km"))})
+    best = F.min(F.when(F.col("dist_m") <= radius_m, F.struct("dist_m", "i", "km"))).alias("best")
+    return tried.groupBy(*by).agg(best, *(F.first(c).alias(c) for c in carried)).select(*by, *carried, F.col("best.dist_m").alias("dist_m"), geo.half_up(F.col("best.km"), 50).alias("km"))
 
 
 def corridor_match(obstacles: DataFrame, vertices: DataFrame, routes: DataFrame, radius_m: float = 20.0) -> DataFrame:
@@ -86,30 +112,29 @@ def boxes(routes: DataFrame, metres: float) -> DataFrame:
 def point_at_km(routes: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (route_id, km, any other columns) with lat and lng on the route; before the start its first point, beyond the end its last."""
     segs = segments(routes)
-    ends = segs.groupBy("route_id").agg(F.max("b_km").alias("total"), F.min_by(F.struct("a_lat", "a_lng"), "i").alias("head"), F.max_by(F.struct("b_lat", "b_lng"), "i").alias("tail"))
+    ends = segs.groupBy("route_id").agg(F.max("b_km").alias("total"), F.min("i").alias("first_i"), F.min_by(F.struct("a_lat", "a_lng"), "i").alias("head"), F.max_by(F.struct("b_lat", "b_lng"), "i").alias("tail"))
     # A whole kilometre is an equi-join key: each segment stands in every kilometre that it touches.
     slots = segs.withColumn("slot", F.explode(F.sequence(F.floor("a_km"), F.floor("b_km"))))
     place = wanted.join(ends, "route_id").withColumn("at", F.least(F.greatest("km", F.lit(0.0)), "total"))
-    inner = place.withColumn("slot", F.floor("at")).join(slots, ["route_id", "slot"], "left").filter((F.col("at") <= 0) | (F.col("at") >= F.col("total")) | ((F.col("a_km") < F.col("at")) & (F.col("b_km") >= F.col("at"))))
+    # A place is on the one segment that ends at it or beyond; the start is on the first.
+    on = ((F.col("a_km") < F.col("at")) & (F.col("b_km") >= F.col("at"))) | ((F.col("at") <= 0) & (F.col("i") == F.col("first_i")))
+    inner = place.withColumn("slot", F.floor("at")).join(slots, ["route_id", "slot"]).filter(on)
     t = F.when(F.col("b_km") == F.col("a_km"), 0.0).otherwise((F.col("at") - F.col("a_km")) / (F.col("b_km") - F.col("a_km")))
     pick = lambda head, tail, x: F.when(F.col("at") <= 0, F.col(head)).when(F.col("at") >= F.col("total"), F.col(tail)).otherwise(x)
     lat = pick("head.a_lat", "tail.b_lat", F.col("a_lat") + t * (F.col("b_lat") - F.col("a_lat")))
     lng = pick("head.a_lng", "tail.b_lng", F.col("a_lng") + t * (F.col("b_lng") - F.col("a_lng")))
-    return inner.select(*wanted.columns, lat.alias("lat"), lng.alias("lng")).dropDuplicates(wanted.columns)
+    return inner.select(*wanted.columns, lat.alias("lat"), lng.alias("lng"))
 
 
 def course_at_km(routes: DataFrame, wanted: DataFrame, window_km: float = 0.3) -> DataFrame:
-    """wanted (route_id, km, ...) with the route's local course; null where the route does not move."""
-    keys = wanted.columns
-    sides = []
-    for name, shift in (("back", -window_km), ("ahead", window_km)):
-        moved = wanted.select("route_id", (F.col("km") + shift).alias("km"), F.struct(*keys).alias("key"))
-        at = point_at_km(routes, moved)
-        sides.append(at.select("key", F.struct("lat", "lng").alias(name)))
-    both = sides[0].join(sides[1], "key")
-    args = [F.col(c) for c in ("back.lat", "back.lng", "ahead.lat", "ahead.lng")]
-    course = F.when(geo.haversine_km(*args) >= 1e-4, geo.bearing(*args))
-    return both.select("key.*", course.alias("course"))
+    """wanted (route_id, km; distinct) with the route's local course; null where the route does not move."""
+    sides = F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")
+    moved = wanted.select("route_id", F.col("km").alias("own_km"), sides).withColumn("km", F.col("own_km") + F.col("side") * window_km)
+    at = point_at_km(routes, moved)
+    one = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    both = at.groupBy("route_id", F.col("own_km").alias("km")).agg(one(-1, "lat").alias("back_lat"), one(-1, "lng").alias("back_lng"), one(1, "lat").alias("ahead_lat"), one(1, "lng").alias("ahead_lng"))
+    args = [F.col(c) for c in ("back_lat", "back_lng", "ahead_lat", "ahead_lng")]
+    return both.select("route_id", "km", F.when(geo.haversine_km(*args) >= 1e-4, geo.bearing(*args)).alias("course"))
 
 
 def downsample(routes: DataFrame, most: int) -> DataFrame:
@@ -121,22 +146,34 @@ def downsample(routes: DataFrame, most: int) -> DataFrame:
     return rows.filter(F.col("n") <= most).select(*routes.columns).unionByName(rows.join(picks, ["route_id", "i"], "left_semi").select(*routes.columns))
 
 
-def zone_violations(routes: DataFrame, zones: DataFrame) -> DataFrame:
-    """(route_id, zone_id, km_from_centre): the first zone, in order of ord, that each route enters.
-
-    zones (zone_id, ord, lat, lng, radius_km) are at most a handful.
-    """
+def zone_violations(routes: DataFrame, zones: DataFrame, size: float = 0.1) -> DataFrame:
+    """(route_id, zone_id, km_from_centre): the first zone, in order of ord, that each route enters, of any number of zones
+    (zone_id, ord, lat, lng, radius_km). Points and zones meet in cells of `size` degrees."""
+    lat, lng = F.col("z_lat"), F.col("z_lng")
+    high = F.col("radius_km") / KM_PER_DEGREE
+    wide = high / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.abs(lat) + high, F.lit(90.0)))))
     z = zones.select("zone_id", "ord", F.col("lat").alias("z_lat"), F.col("lng").alias("z_lng"), "radius_km")
-    dist = routes.join(F.broadcast(z.limit(8))).groupBy("route_id", "zone_id", "ord", "radius_km").agg(F.min(geo.haversine_km(F.col("lat"), F.col("lng"), F.col("z_lat"), F.col("z_lng"))).alias("km"))
+    met = in_cells(routes.select("route_id", "lat", "lng"), size).join(box_cells(z, lng - wide, lng + wide, lat - high, lat + high, size), ["cx", "cy"])
+    dist = met.groupBy("route_id", "zone_id", "ord", "radius_km").agg(F.min(geo.haversine_km(F.col("lat"), F.col("lng"), lat, lng)).alias("km"))
     return dist.filter("km < radius_km").groupBy("route_id").agg(F.min_by(F.struct("zone_id", "km"), "ord").alias("z")).select("route_id", "z.zone_id", F.col("z.km").alias("km_from_centre"))
 
 
-def nodes_between(nodes: DataFrame, trips: DataFrame, slack_km: float = 60.0, most: int = 120) -> DataFrame:
-    """For each trip the `most` nodes whose detour over them is at most slack_km: (trip_id, node_id, detour_km, n)."""
-    pairs = trips.join(F.broadcast(nodes.limit(10_000)))
+def nodes_between(nodes: DataFrame, trips: DataFrame, slack_km: float = 60.0, most: int = 120, size: float = 0.5) -> DataFrame:
+    """For each trip the `most` nodes whose detour over them is at most slack_km: (trip_id, node_id, detour_km, n).
+
+    Such nodes lie in an ellipse around both ends; trips stand in all cells of its box, nodes in one. They are ranked by
+    detours to a tenth of a kilometre, then by id. A trip that ends where it starts has none.
+    """
+    from_to = [F.col(c) for c in ("from_lat", "from_lng", "to_lat", "to_lng")]
+    half = (geo.haversine_km(*from_to) + slack_km) / 2
+    mid_lat, mid_lng = (F.col("from_lat") + F.col("to_lat")) / 2, (F.col("from_lng") + F.col("to_lng")) / 2
+    high = half / KM_PER_DEGREE
+    wide = high / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.abs(mid_lat) + high, F.lit(90.0)))))
+    moving = trips.filter((F.col("from_lat") != F.col("to_lat")) | (F.col("from_lng") != F.col("to_lng")))
+    pairs = in_cells(nodes.select("node_id", "lat", "lng"), size).join(box_cells(moving, mid_lng - wide, mid_lng + wide, mid_lat - high, mid_lat + high, size), ["cx", "cy"])
     to = lambda a, b: geo.haversine_km(F.col(f"{a}_lat"), F.col(f"{a}_lng"), F.col(f"{b}lat"), F.col(f"{b}lng"))
     detour = to("from", "") + to("to", "") - to("from", "to_")
-    rank = F.row_number().over(Window.partitionBy("trip_id").orderBy("detour_km", "node_id"))
+    rank = F.row_number().over(Window.partitionBy("trip_id").orderBy(geo.half_up(F.col("detour_km"), 10), "node_id"))
     return pairs.withColumn("detour_km", detour).filter(F.col("detour_km") <= slack_km).withColumn("n", rank).filter(F.col("n") <= most).select("trip_id", "node_id", "detour_km", "n")
 
 
@@ -165,8 +202,9 @@ def loops(routes: DataFrame, close_m: float = 60.0, apart_km: float = 1.0, least
     """(route_id, first_i, samples): runs of at least `least` points in a row that come close to an earlier stretch of their route."""
     size = cell_size(close_m)
     at = cumulative(routes)
-    left = point_cells(at, size)
-    right = at.select(F.col("route_id"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), F.col("cum_km").alias("o_km"), cell(F.col("lng"), size).alias("cx"), cell(F.col("lat"), size).alias("cy"))
+    left = in_cells(at, size)
+    other = at.select("route_id", F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), F.col("cum_km").alias("o_km"))
+    right = box_cells(other, F.col("o_lng") - size, F.col("o_lng") + size, F.col("o_lat") - size, F.col("o_lat") + size, size)
     back = left.join(right, ["route_id", "cx", "cy"]).filter((F.col("cum_km") - F.col("o_km") >= apart_km) & (geo.haversine_km(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng")) * 1000 <= close_m)).select("route_id", "i").distinct()
     island = F.col("i") - F.row_number().over(Window.partitionBy("route_id").orderBy("i"))
     runs = back.withColumn("island", island).groupBy("route_id", "island").agg(F.min("i").alias("first_i"), F.count("*").alias("samples"))

@@ -31,18 +31,18 @@ def samples(lines: DataFrame, step_m: float = 12.0) -> DataFrame:
     return rows.select("obstacle_id", "j", "s", at("lat").alias("lat"), at("lng").alias("lng"), (F.col("km") / (F.col("steps") + 1)).alias("weight_km"), "course")
 
 
-def placed(points: DataFrame, pairs: DataFrame, routes: DataFrame, radius_m: float, keys: list[str]) -> DataFrame:
-    """points (keys, lat, lng, ...) for each of their pairs, with dist_m, km and the route's course there, null beyond the radius."""
+def placed(points: DataFrame, pairs: DataFrame, routes: DataFrame, radius_m: float, keys: list[str], carried: list[str]) -> DataFrame:
+    """points (keys, carried, lat, lng) for each of their pairs, with dist_m, km and the route's course there, null beyond the radius."""
     wanted = points.join(pairs.select("obstacle_id", "route_id").distinct(), "obstacle_id")
-    found = corridor.near(points, routes, radius_m, keys)
-    courses = corridor.course_at_km(routes, found.select("route_id", "km").distinct()).withColumnRenamed("course", "route_course")
-    return wanted.join(found.drop("seg"), [*keys, "route_id"], "left").join(courses, ["route_id", "km"], "left")
+    found = corridor.placed(wanted, routes, radius_m, keys, carried)
+    courses = corridor.course_at_km(routes, found.select("route_id", "km").filter("km IS NOT NULL").distinct()).withColumnRenamed("course", "route_course")
+    return found.join(courses, ["route_id", "km"], "left")
 
 
 def relation(lines: DataFrame, pairs: DataFrame, routes: DataFrame, same_m: float = 8.0, reach_m: float = 60.0, opposite: float = 120.0, least_km: float = 0.1) -> DataFrame:
     """(obstacle_id, route_id, relation): parallel if it runs on the route, opposite if beside it the other way, else none."""
     mids = pieces(lines).select("obstacle_id", "j", ((F.col("a_lat") + F.col("b_lat")) / 2).alias("lat"), ((F.col("a_lng") + F.col("b_lng")) / 2).alias("lng"), F.col("km").alias("piece_km"), "course")
-    at = placed(mids, pairs, routes, reach_m, ["obstacle_id", "j"])
+    at = placed(mids, pairs, routes, reach_m, ["obstacle_id", "j"], ["piece_km", "course"])
     beside = F.col("dist_m").between(same_m, reach_m) & (F.col("dist_m") > same_m)
     delta = geo.angle_delta(F.col("course"), F.col("route_course"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("piece_km"))), F.lit(0.0))
@@ -54,7 +54,7 @@ def relation(lines: DataFrame, pairs: DataFrame, routes: DataFrame, same_m: floa
 def alignment(lines: DataFrame, pairs: DataFrame, routes: DataFrame, near_m: float = 20.0, same_m: float = 8.0, far_m: float = 60.0, along: float = 40.0, across: float = 50.0) -> DataFrame:
     """Per pair the kilometres that run on the route, along it, across it, and far from it, and the verdicts drawn from them."""
     far = max(far_m, 3 * near_m)
-    at = placed(samples(lines), pairs, routes, far, ["obstacle_id", "j", "s"])
+    at = placed(samples(lines), pairs, routes, far, ["obstacle_id", "j", "s"], ["weight_km", "course"])
     folded = geo.folded_angle(F.col("course"), F.col("route_course"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("weight_km"))), F.lit(0.0))
     inside = F.col("dist_m") <= near_m
@@ -87,8 +87,7 @@ def clip(lines: DataFrame, pairs: DataFrame, routes: DataFrame, corridor_m: floa
     tail = last.select("obstacle_id", (F.col("p.j") + 1).alias("j"), F.lit(0).alias("s"), "p.lat", "p.lng", "p.step")
     points = body.unionByName(tail).withColumn("k", F.row_number().over(Window.partitionBy("obstacle_id").orderBy("j", "s")) - 1)
     wanted = points.join(pairs.select("obstacle_id", "route_id").distinct(), "obstacle_id")
-    found = corridor.near(points, routes, reach, ["obstacle_id", "k"]).select("obstacle_id", "k", "route_id", F.lit(True).alias("inside"))
-    flagged = wanted.join(found, ["obstacle_id", "k", "route_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    flagged = corridor.placed(wanted, routes, reach, ["obstacle_id", "k"], ["step"]).withColumn("inside", F.col("dist_m").isNotNull())
     line = Window.partitionBy("obstacle_id", "route_id").orderBy("k")
     turn = F.when(F.lag("inside").over(line) == F.col("inside"), 0).otherwise(1)
     islands = flagged.withColumn("turn", turn).withColumn("island", F.sum("turn").over(line))

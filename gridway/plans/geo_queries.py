@@ -129,7 +129,7 @@ ALIGNED = f"""{LINE_GEO}, hit AS MATERIALIZED {nearest('sample', 'obstacle_id, j
 
 
 def zones(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, 8 - k, 47.5 + k * 0.9, 7.6 + k * 0.11, 3.0 + k) for k in range(6)], "zone_id int, ord int, lat double, lng double, radius_km double")
+    return spark.createDataFrame([(k, (k * 7) % 40, 47.5 + k * 0.17, 7.0 + (k * 11 % 40) * 0.05, 0.5 + k % 9) for k in range(40)], "zone_id int, ord int, lat double, lng double, radius_km double")
 
 
 def zone_violation(spark: SparkSession, d: str) -> DataFrame:
@@ -137,9 +137,9 @@ def zone_violation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nodes_in_corridor(spark: SparkSession, d: str) -> DataFrame:
-    nodes = fx.routes(spark, d).filter("i % 40 = 0").select((F.col("route_id") * 1000 + F.col("i")).alias("node_id"), "lat", "lng")
+    nodes = fx.routes(spark, d).select((F.col("route_id") * 1000 + F.col("i")).alias("node_id"), "lat", "lng")
     trips = fx.routes(spark, d).filter("i IN (0, 400)").groupBy("route_id").agg(F.min_by("lat", "i").alias("from_lat"), F.min_by("lng", "i").alias("from_lng"), F.max_by("lat", "i").alias("to_lat"), F.max_by("lng", "i").alias("to_lng")).withColumnRenamed("route_id", "trip_id")
-    return corridor.nodes_between(nodes, trips, most=20).select("trip_id", "node_id", R3("detour_km"), "n")
+    return corridor.nodes_between(nodes, trips).select("trip_id", "node_id", R3("detour_km"), "n")
 
 
 def blockers_on_edge(spark: SparkSession, d: str) -> DataFrame:
@@ -246,11 +246,11 @@ ORACLES = {
     "detour_factor": f"""{fx.with_(fx.ROUTES, CUM)}, e AS (SELECT route_id, max(cum_km) AS length_km, {hav('arg_min(lat, i)', 'arg_min(lng, i)', 'arg_max(lat, i)', 'arg_max(lng, i)')} AS air_km FROM cum GROUP BY 1)
         SELECT route_id, round(length_km, 3) AS length_km, round(air_km, 3) AS air_km, round(CASE WHEN air_km > 1 THEN length_km / air_km END, 3) AS factor FROM e""",
     "downsample": f"{fx.with_(fx.ROUTES)} SELECT route_id, i FROM route WHERE i IN (SELECT CAST(floor(k * 400::DOUBLE / 149 + 0.5) AS INT) FROM (SELECT range AS k FROM range(150)))",
-    "zone_violation": f"""{fx.with_(fx.ROUTES)}, zone AS (SELECT CAST(range AS INT) AS zone_id, 8 - range AS ord, 47.5::DOUBLE + range * 0.9::DOUBLE AS z_lat, 7.6::DOUBLE + range * 0.11::DOUBLE AS z_lng, 3 + range AS radius FROM range(6)),
+    "zone_violation": f"""{fx.with_(fx.ROUTES)}, zone AS (SELECT CAST(range AS INT) AS zone_id, (range * 7) % 40 AS ord, 47.5::DOUBLE + range * 0.17::DOUBLE AS z_lat, 7.0::DOUBLE + (range * 11 % 40) * 0.05::DOUBLE AS z_lng, 0.5::DOUBLE + range % 9 AS radius FROM range(40)),
         dist AS (SELECT route_id, zone_id, ord, radius, min({hav('lat', 'lng', 'z_lat', 'z_lng')}) AS km FROM route, zone GROUP BY ALL) SELECT route_id, arg_min(zone_id, ord) AS zone_id, round(arg_min(km, ord), 3) AS km_from_centre FROM dist WHERE km < radius GROUP BY 1""",
-    "nodes_in_corridor": f"""{fx.with_(fx.ROUTES)}, node AS (SELECT route_id * 1000 + i AS node_id, lat, lng FROM route WHERE i % 40 = 0), trip AS (SELECT route_id AS trip_id, arg_min(lat, i) AS f_lat, arg_min(lng, i) AS f_lng, arg_max(lat, i) AS t_lat, arg_max(lng, i) AS t_lng FROM route GROUP BY 1),
+    "nodes_in_corridor": f"""{fx.with_(fx.ROUTES)}, node AS (SELECT route_id * 1000 + i AS node_id, lat, lng FROM route), trip AS (SELECT route_id AS trip_id, arg_min(lat, i) AS f_lat, arg_min(lng, i) AS f_lng, arg_max(lat, i) AS t_lat, arg_max(lng, i) AS t_lng FROM route GROUP BY 1),
         x AS (SELECT trip_id, node_id, {hav('f_lat', 'f_lng', 'lat', 'lng')} + {hav('t_lat', 't_lng', 'lat', 'lng')} - {hav('f_lat', 'f_lng', 't_lat', 't_lng')} AS detour FROM trip, node)
-        SELECT trip_id, node_id, round(detour, 3) AS detour_km, CAST(n AS INT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY detour, node_id) AS n FROM x WHERE detour <= 60) WHERE n <= 20""",
+        SELECT trip_id, node_id, round(detour, 3) AS detour_km, CAST(n AS INT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY floor(detour * 10 + 0.5), node_id) AS n FROM x WHERE detour <= 60) WHERE n <= 120""",
     "blockers_on_edge": f"{GEO}, block AS (SELECT * FROM obstacle WHERE kategorie = 'sperrung'), hit AS {nearest('block', 'obstacle_id', 150, False)} SELECT route_id, count(*) AS blockers, round(min(km), 3) AS first_km FROM hit GROUP BY 1",
     "point_in_polygon": f"""{fx.with_(fx.OBSTACLES)}, e AS (SELECT n_nationkey AS polygon_id, n_nationkey * 7 % 25 AS ord, CAST(n_nationkey AS DOUBLE) * 0.3::DOUBLE + 47.3::DOUBLE + {CORNER(0)} AS a_lat, 7.2::DOUBLE + CAST(n_nationkey AS DOUBLE) * 0.01::DOUBLE + {CORNER(2)} AS a_lng,
           CAST(n_nationkey AS DOUBLE) * 0.3::DOUBLE + 47.3::DOUBLE + {CORNER(1)} AS b_lat, 7.2::DOUBLE + CAST(n_nationkey AS DOUBLE) * 0.01::DOUBLE + {CORNER(3)} AS b_lng FROM nation, (SELECT range AS c FROM range(5)) WHERE n_nationkey < 25),
