@@ -63,13 +63,13 @@ def padded_box(min_lat: Column, max_lat: Column, min_lng: Column, max_lng: Colum
 
 
 def utm_to_wgs84(east: Column, north: Column, zone: Column) -> tuple[Column, Column]:
-    """Latitude and longitude of UTM coordinates on the GRS80 ellipsoid, by the usual series in the footpoint latitude."""
-    a, f, k0 = 6378137.0, 1 / 298.257222101, 0.9996
+    """Latitude and longitude of UTM coordinates on the WGS84 ellipsoid, by the usual series in the footpoint latitude."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
     e2 = f * (2 - f)
     ep2 = e2 / (1 - e2)
     e1 = (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
     mu = north / k0 / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu)
     sin, cos, tan = F.sin(foot), F.cos(foot), F.tan(foot)
     c, t = ep2 * cos * cos, tan * tan
     n = a / F.sqrt(1 - e2 * sin * sin)
@@ -81,12 +81,15 @@ def utm_to_wgs84(east: Column, north: Column, zone: Column) -> tuple[Column, Col
     return F.degrees(lat), F.degrees(lng) + zone * 6 - 183
 
 
-def inside_germany(lat: Column, lng: Column) -> Column:
-    # The bounds within which coordinates are taken to be right.
-    return lat.between(47.2, 55.1) & lng.between(5.8, 15.1)
+# The bounds of plausible positions (south, north, west, east), and the wider ones that tell swapped coordinates.
+PLAUSIBLE, NATIONWIDE = (47.2, 55.1, 5.8, 15.1), (46.0, 56.0, 4.0, 16.0)
+
+
+def within(lat: Column, lng: Column, bounds: tuple[float, float, float, float] = PLAUSIBLE) -> Column:
+    return F.coalesce(lat.between(*bounds[:2]) & lng.between(*bounds[2:]), F.lit(False))
 
 
 def swapped_right(lat: Column, lng: Column) -> tuple[Column, Column]:
-    """Latitude and longitude in their right order; null where neither order lies within the bounds."""
-    straight, crossed = inside_germany(lat, lng), inside_germany(lng, lat)
+    """Latitude and longitude in their right order; null where neither order lies within the nationwide bounds."""
+    straight, crossed = within(lat, lng, NATIONWIDE), within(lng, lat, NATIONWIDE)
     return F.when(straight, lat).when(crossed, lng), F.when(straight, lng).when(crossed, lat)

@@ -44,7 +44,11 @@ FEED = f"""feed AS (SELECT * REPLACE (CASE WHEN ord % 53 <> 1 THEN externe_id EN
     CASE WHEN ord % 53 = 4 THEN 'unbekannt' ELSE kategorie END AS kategorie, CASE WHEN ord % 53 = 5 THEN DATE '1980-01-01' ELSE gueltig_bis END AS gueltig_bis) FROM obstacle)"""
 REASON = """CASE WHEN externe_id IS NULL THEN 'no id' WHEN kategorie = 'unbekannt' THEN 'unknown category' WHEN lat IS NULL THEN 'no position' WHEN length(trim(name)) < 3 THEN 'no name' WHEN gueltig_bis < gueltig_von THEN 'ends before it starts' END"""
 BARE = "coalesce(max_hoehe_m, 0) <= 0 AND coalesce(max_breite_m, 0) <= 0 AND coalesce(max_gewicht_t, 0) <= 0 AND coalesce(max_laenge_m, 0) <= 0 AND coalesce(restbreite_m, 0) <= 0 AND coalesce(verkehrsverbot_t, 0) <= 0 AND NOT vollsperrung AND NOT coalesce(gesperrt_komplett, false) AND NOT gst_sperre AND (kategorie IN ('bruecke', 'tunnel', 'sonstige') OR gst_route)"
-LIVE = "regexp_matches(lower(concat_ws(' ', name, beschreibung)), 'stau|stockender verkehr|unfall|pannenfahrzeug|falschfahrer|gegenstände auf der fahrbahn') OR (regexp_matches(lower(concat_ws(' ', name, beschreibung)), 'gefahr|behinderung') AND NOT regexp_matches(lower(concat_ws(' ', name, beschreibung)), 'baustelle|bauarbeiten|sanierung|erneuerung|brückenarbeiten'))"
+#: Messages of the moment and notices of works, by order key.
+MESSAGES = ("Stau nach Unfall", "Bauarbeiten, Gefahr", "Sanierung von Fahrbahnschäden", "Straßenschäden", "Ölspur", "defekter LKW", "defektes Fahrzeug", "Rückstau vor Brückenarbeiten", "Ortskundige bitte umfahren", "Ortskundige. Bitte umfahren", "Panne", "Pannenbucht gesperrt", "Unfallschwerpunkt: Erneuerung der Decke", "Straßenglätte", "glatte Fahrbahn", "Brennender Pkw", "Vollsperrung der Fahrbahn", "Tiere auf der Fahrbahn", "Staustufe", "Notfall-Umfahrung")
+LIVE = """regexp_matches(lower(said), 'gefahr durch|liegen ?geblieb|bergung|geborgen|umgestürzt|ölspur|falschfahrer|glätte|glatteis|fahrzeugbrand|tiere? auf der|notfall-?umfahr|ortskundige[^.]{0,20}umfahr|(^|[^a-z])panne([^a-z]|$)|defekte[ns]? (pkw|lkw|kfz|fahrzeug)|brennende[sr]? (pkw|lkw|fahrzeug)')
+    OR (regexp_matches(lower(said), '(^|[^a-z])(unfall|defekt|stau([^a-z]|$))|straßenschäden|fahrbahnschäden') AND NOT regexp_matches(lower(said), 'baustelle|bauarbeit|sanierung|erneuerung|brücke|vollsperrung'))"""
+LIVE_SQL = LIVE.replace("said", "concat_ws(' ', name, beschreibung)")
 
 
 def next_feed(spark: SparkSession, d: str, keep: int = 10) -> DataFrame:
@@ -71,7 +75,7 @@ def upsert_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transition_sql(keep: int) -> str:
-    return f"""{fx.with_(fx.OBSTACLES, next_feed_sql(keep), MATCHED)}, ok AS (SELECT * FROM matched WHERE NOT ({BARE}) AND NOT ({LIVE})),
+    return f"""{fx.with_(fx.OBSTACLES, next_feed_sql(keep), MATCHED)}, ok AS (SELECT * FROM matched WHERE NOT ({BARE}) AND NOT ({LIVE_SQL})),
     last AS (SELECT coalesce('o' || CAST(target_id AS VARCHAR), 'x' || externe_id) AS key, arg_max(target_id, ord) AS target_id, arg_max(gueltig_bis, ord) AS bis0, max(ord) AS ord FROM ok GROUP BY 1),
     seen AS (SELECT l.key, l.target_id, (SELECT gueltig_bis FROM ok WHERE ok.ord = l.ord) AS bis, o.aktiv FROM last l LEFT JOIN obstacle o ON o.obstacle_id = l.target_id),
     gone AS (SELECT obstacle_id FROM obstacle WHERE aktiv AND obstacle_id NOT IN (SELECT target_id FROM seen WHERE target_id IS NOT NULL)), c AS (SELECT (SELECT count(*) FROM obstacle WHERE aktiv) AS a, (SELECT count(*) FROM gone) AS g, (SELECT count(*) FROM seen) AS s)
@@ -214,7 +218,7 @@ LATEST = "lastrun AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY
 QUERIES = {
     "validate_obstacles": lambda s, d: feed(s, d).select("ord", ingest.reason().alias("reason")).filter("reason IS NOT NULL"),
     "infra_filter": lambda s, d: fx.obstacles(s, d).filter(rules.infrastructure_only()).select("obstacle_id", "kategorie"),
-    "live_filter": lambda s, d: fx.obstacles(s, d).filter(ingest.live_message()).select("obstacle_id", "beschreibung"),
+    "live_filter": lambda s, d: fx.obstacles(s, d).withColumn("beschreibung", F.get(F.array(*map(F.lit, MESSAGES)), (F.col("obstacle_id") % len(MESSAGES)).cast("int"))).filter(ingest.live_message()).select("obstacle_id", "beschreibung"),
     "group_duplicates": lambda s, d: ingest.group_duplicates(fx.obstacles(s, d)).select("group_key", "members", "restbreite_m", "max_hoehe_m", "vollsperrung", "gst_sperre", "gueltig_von", "gueltig_bis"),
     "segment_merge": lambda s, d: ingest.merge_segments(fx.obstacles(s, d).withColumns({"beschreibung": F.concat(F.lit("Projektnummer: P"), (F.col("ord") % 97 + 1000).cast("string")), "name": F.concat(F.lit("A"), (F.col("ord") % 9 + 1).cast("string"))})),
     "upsert_exact": lambda s, d: ingest.match(next_feed(s, d), fx.obstacles(s, d)).filter("exact_id IS NOT NULL").select("ord", "target_id"),
@@ -277,7 +281,7 @@ REFS = "[upper(regexp_replace(x, '^([a-z]+) ?0*', '\\1')) FOR x IN regexp_extrac
 ORACLES = {
     "validate_obstacles": f"{fx.with_(fx.OBSTACLES, FEED)} SELECT ord, {REASON} AS reason FROM feed WHERE {REASON} IS NOT NULL",
     "infra_filter": f"{O} SELECT obstacle_id, kategorie FROM obstacle WHERE {BARE}",
-    "live_filter": f"{O} SELECT obstacle_id, beschreibung FROM obstacle WHERE {LIVE}",
+    "live_filter": f"{O}, message AS (SELECT obstacle_id, name, {list(MESSAGES)!r}[1 + obstacle_id % {len(MESSAGES)}] AS beschreibung FROM obstacle) SELECT obstacle_id, beschreibung FROM message WHERE {LIVE_SQL}",
     "group_duplicates": f"""{O} SELECT concat_ws('|', kategorie, {NAME}, concat_ws(',', CAST(CAST(floor(lat * 1000 + 0.5) AS BIGINT) AS VARCHAR), CAST(CAST(floor(lng * 1000 + 0.5) AS BIGINT) AS VARCHAR))) AS group_key, count(*) AS members, min(restbreite_m) AS restbreite_m, min(max_hoehe_m) AS max_hoehe_m, bool_or(vollsperrung) AS vollsperrung, bool_or(gst_sperre) AS gst_sperre, min(gueltig_von) AS gueltig_von, max(gueltig_bis) AS gueltig_bis FROM obstacle GROUP BY 1""",
     "segment_merge": f"""{O} SELECT 'P' || CAST(ord % 97 + 1000 AS VARCHAR) AS project, 'A' || CAST(ord % 9 + 1 AS VARCHAR) AS road, coalesce(richtung, '') AS direction, kategorie, count(*) AS parts, min(restbreite_m) AS restbreite_m, min(gueltig_von) AS gueltig_von, max(gueltig_bis) AS gueltig_bis FROM obstacle GROUP BY 1, 2, 3, 4""",
     "upsert_exact": f"{fx.with_(fx.OBSTACLES, next_feed_sql())} SELECT f.ord, o.obstacle_id AS target_id FROM nextfeed f JOIN obstacle o USING (externe_id)",

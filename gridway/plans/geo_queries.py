@@ -168,12 +168,12 @@ def utm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def utm_sql() -> str:
-    f = 1 / 298.257222101
+    f = 1 / 298.257223563
     e2 = f * (2 - f)
     ep, e1 = e2 / (1 - e2), (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
     mu = f"(north / 0.9996 / {6378137.0 * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)!r}::DOUBLE)"
     return f"""WITH o AS (SELECT o_orderkey AS obstacle_id, 300000 + CAST((o_orderkey * 977) % 400000 AS DOUBLE) AS east, 5200000 + CAST((o_orderkey * 7919) % 900000 AS DOUBLE) AS north, 32 + o_orderkey % 2 AS zone FROM orders),
-    m AS (SELECT *, {mu} + {3 * e1 / 2 - 27 * e1**3 / 32!r}::DOUBLE * sin(2 * {mu}) + {21 * e1**2 / 16 - 55 * e1**4 / 32!r}::DOUBLE * sin(4 * {mu}) + {151 * e1**3 / 96!r}::DOUBLE * sin(6 * {mu}) + {1097 * e1**4 / 512!r}::DOUBLE * sin(8 * {mu}) AS f FROM o),
+    m AS (SELECT *, {mu} + {3 * e1 / 2 - 27 * e1**3 / 32!r}::DOUBLE * sin(2 * {mu}) + {21 * e1**2 / 16 - 55 * e1**4 / 32!r}::DOUBLE * sin(4 * {mu}) + {151 * e1**3 / 96!r}::DOUBLE * sin(6 * {mu}) AS f FROM o),
     n AS (SELECT *, {ep!r}::DOUBLE * pow(cos(f), 2) AS c, pow(tan(f), 2) AS t, 6378137 / sqrt(1 - {e2!r}::DOUBLE * pow(sin(f), 2)) AS n, 6378137 * {1 - e2!r}::DOUBLE / pow(1 - {e2!r}::DOUBLE * pow(sin(f), 2), 1.5) AS r FROM m),
     x AS (SELECT *, (east - 500000) / (n * 0.9996::DOUBLE) AS d FROM n)
     SELECT obstacle_id, round(degrees(f - n * tan(f) / r * (pow(d, 2) / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * {ep!r}::DOUBLE) * pow(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * {ep!r}::DOUBLE - 3 * c * c) * pow(d, 6) / 720)), 7) AS lat,
