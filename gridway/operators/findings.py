@@ -1,8 +1,9 @@
 """Findings: obstacles on routes, their duplicates, and what changed between two runs.
 
 Findings are rows with route_id, kategorie, titel, km, rank (3 kritisch to 1 hinweis) and ord, their canonical order. The
-greedy passes compare each finding with the representatives so far, whose place moves as severer ones replace them; they
-run as grouped maps over keys that bound their groups to one route and category.
+greedy passes compare each finding with the representatives so far, whose place moves as severer ones replace them. They run
+over stretches: a route and category is cut where no two findings lie close enough to be compared, so that no group holds more
+than what is crowded in one place.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridway.functions import geo, text
+from gridway.operators.grouped import each_group, stretches
 
 # How close two findings of the same place lie.
 SAME_KM, SAME_M, SAME_WIDTH_M = 0.15, 25.0, 0.01
@@ -22,6 +24,12 @@ def title_key() -> Column:
     return text.norm_name(F.col("titel"))
 
 
+def crowded(findings: DataFrame, keys: list[str], pick) -> DataFrame:
+    """pick() over the stretches of each key, whose findings lie within SAME_KM of a neighbour, in order of ord."""
+    cut = stretches(findings, keys, F.col("km"), SAME_KM + 1e-9)
+    return each_group(cut, [*keys, "__stretch"], ["ord"], pick, cut.schema, lambda rows: rows).drop("__stretch")
+
+
 def dedupe_points(findings: DataFrame) -> DataFrame:
     """Drops findings of the same route, category and title within SAME_KM of a kept one, in order of ord.
 
@@ -29,7 +37,6 @@ def dedupe_points(findings: DataFrame) -> DataFrame:
     """
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
         kept: list[dict] = []
         for f in rows.to_dict("records"):
             twin = next((k for k in kept if abs(k["km"] - f["km"]) <= SAME_KM and (not k["geom"] or not f["geom"] or k["geom"] == f["geom"])), None)
@@ -39,7 +46,7 @@ def dedupe_points(findings: DataFrame) -> DataFrame:
                 twin.update(f)
         return pd.DataFrame(kept, columns=rows.columns)
 
-    return findings.withColumn("__key", title_key()).groupBy("route_id", "kategorie", "__key").applyInPandas(pick, findings.withColumn("__key", title_key()).schema).drop("__key")
+    return crowded(findings.withColumn("__key", title_key()), ["route_id", "kategorie", "__key"], pick).drop("__key")
 
 
 def dedupe_places(findings: DataFrame) -> DataFrame:
@@ -47,7 +54,7 @@ def dedupe_places(findings: DataFrame) -> DataFrame:
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
-        for f in rows.sort_values("ord").to_dict("records"):
+        for f in rows.to_dict("records"):
             twin = None
             if not f["geom"] and np.isfinite(f["lat"]) and np.isfinite(f["lng"]):
                 for k in kept:
@@ -64,14 +71,13 @@ def dedupe_places(findings: DataFrame) -> DataFrame:
                 twin.update(f)
         return pd.DataFrame(kept, columns=rows.columns)
 
-    return findings.groupBy("route_id", "kategorie").applyInPandas(pick, findings.schema)
+    return crowded(findings, ["route_id", "kategorie"], pick)
 
 
 def dedupe_sources(findings: DataFrame) -> DataFrame:
     """Of findings of different sources within SAME_KM on a route and category, drops the less severe; a dropped one drops no other."""
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord").reset_index(drop=True)
         source = rows.quelle.fillna("").str.strip().str.lower().str.replace(r"\s+", " ", regex=True)
         gone = np.zeros(len(rows), bool)
         own = (rows.herkunft == "eigen").to_numpy()
@@ -88,7 +94,7 @@ def dedupe_sources(findings: DataFrame) -> DataFrame:
                     gone[j] = True
         return rows[~gone]
 
-    return findings.groupBy("route_id", "kategorie").applyInPandas(pick, findings.schema)
+    return crowded(findings, ["route_id", "kategorie"], pick)
 
 
 def dedupe_points_by_gap(findings: DataFrame) -> DataFrame:
@@ -150,12 +156,13 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def signature(findings: DataFrame) -> DataFrame:
-    """(route_id, n, signature): a hash over a route's sorted finding keys, equal whatever the partitioning.
+    """(route_id, n, signature): a hash of all of a route's finding keys, equal whatever their order and partitioning.
 
-    A route's keys meet in one row; they are as many as one route has findings.
+    The keys' hashes are summed, so no route's keys have to meet in one row.
     """
-    keys = F.sort_array(F.collect_list(stable_key()))
-    return findings.groupBy("route_id").agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", keys), 256).alias("signature"))
+    part = F.conv(F.substring(F.sha2(stable_key(), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = findings.groupBy("route_id").agg(F.count("*").alias("n"), F.sum(part).alias("total"))
+    return sums.select("route_id", "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("total").cast("string")), 256).alias("signature"))
 
 
 def stats(findings: DataFrame) -> DataFrame:
@@ -165,18 +172,22 @@ def stats(findings: DataFrame) -> DataFrame:
 
 
 def groups_within(findings: DataFrame, metres: float = 600.0) -> DataFrame:
-    """findings with a group: members of one key within `metres` of any member so far, in order of ord."""
+    """findings with a group, named by the ord of its first member: same route, category and title, and within `metres` of a member.
+
+    In order of ord, a finding joins the earliest group that has a member close by. Findings further apart than that in
+    latitude alone never meet, which cuts crowded keys.
+    """
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord").reset_index(drop=True)
-        at = np.radians(rows[["lat", "lng"]].to_numpy())
-        number: list[int] = []
+        at = np.radians(rows[["lat", "lng"]].to_numpy(float))
+        number = np.zeros(len(rows), np.int64)
         for i in range(len(rows)):
             h = np.sin((at[:i, 0] - at[i, 0]) / 2) ** 2 + np.cos(at[:i, 0]) * np.cos(at[i, 0]) * np.sin((at[:i, 1] - at[i, 1]) / 2) ** 2
-            close = np.flatnonzero(2 * geo.EARTH_KM * np.arcsin(np.sqrt(h)) * 1000 <= metres)
-            number.append(number[close[0]] if len(close) else max(number, default=-1) + 1)
+            close = 2 * geo.EARTH_KM * np.arcsin(np.sqrt(h)) * 1000 <= metres
+            number[i] = number[:i][close].min() if close.any() else rows.ord.iloc[i]
         return rows.assign(group=number)
 
-    keyed = findings.withColumn("title_key", title_key())
-    schema = keyed.withColumn("group", F.lit(0)).schema
-    return keyed.groupBy("kategorie", "title_key").applyInPandas(group, schema).drop("title_key")
+    keys = ["route_id", "kategorie", "title_key"]
+    cut = stretches(findings.withColumn("title_key", title_key()), keys, F.col("lat"), metres / 1000 / geo.EARTH_KM * 57.3)
+    schema = cut.withColumn("group", F.lit(0).cast("long")).schema
+    return each_group(cut, [*keys, "__stretch"], ["ord"], group, schema, lambda rows: rows.assign(group=rows.ord)).drop("title_key", "__stretch")

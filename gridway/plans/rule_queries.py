@@ -147,7 +147,7 @@ QUERIES = {
     "dedupe_findings_greedy": lambda s, d: findings.dedupe_points(spread(s, d)),
     "dedupe_location_greedy": lambda s, d: findings.dedupe_places(spread(s, d)),
     "cross_source_greedy": lambda s, d: findings.dedupe_sources(spread(s, d)),
-    "notification_groups": lambda s, d: findings.groups_within(fx.findings(s, d)).select("ord", "kategorie", "group"),
+    "notification_groups": lambda s, d: findings.groups_within(fx.findings(s, d)).select("ord", "route_id", "kategorie", "group"),
     "route_ids": lambda s, d: findings.route_sets(fx.findings(s, d)).select("obstacle_id", F.array_join(F.transform("route_ids", lambda x: x.cast("string")), ",").alias("route_ids")),
     "finding_diff": lambda s, d: findings.diff(fx.findings(s, d), later(s, d)),
     "finding_signature": lambda s, d: findings.signature(fx.findings(s, d)),
@@ -187,7 +187,7 @@ ORACLES = {
     "route_ids": f"{F1} SELECT obstacle_id, array_to_string(list_sort(list(DISTINCT route_id)), ',') AS route_ids FROM finding WHERE obstacle_id IS NOT NULL GROUP BY 1",
     "finding_diff": f"""{fx.with_(fx.FINDINGS, LATER)}, b AS (SELECT {KEY} AS key, max(rank) AS rank_before FROM finding GROUP BY 1), a AS (SELECT {KEY} AS key, max(rank) AS rank_after FROM later GROUP BY 1)
         SELECT key, CASE WHEN rank_before IS NULL THEN 'neu' ELSE 'geaendert' END AS change, rank_before, rank_after FROM a LEFT JOIN b USING (key) WHERE rank_before IS NULL OR rank_before <> rank_after""",
-    "finding_signature": f"{F1}, k AS (SELECT route_id, {KEY} AS key FROM finding) SELECT route_id, count(*) AS n, sha256(string_agg(key, chr(10) ORDER BY key)) AS signature FROM k GROUP BY 1",
+    "finding_signature": f"{F1}, k AS (SELECT route_id, {KEY} AS key FROM finding) SELECT route_id, count(*) AS n, sha256(count(*) || '|' || sum(CAST('0x' || substr(sha256(key), 1, 15) AS BIGINT))) AS signature FROM k GROUP BY 1",
     "finding_key": f"{F1} SELECT ord, {KEY} AS key FROM finding",
     "finding_stats": f"{F1} SELECT route_id, count(*) AS n, count(*) FILTER (WHERE rank = 3) AS kritisch, count(*) FILTER (WHERE rank = 2) AS warnung, count(*) FILTER (WHERE rank = 1) AS hinweis, min(km) FILTER (WHERE rank = 3) AS first_critical_km FROM finding GROUP BY 1",
 }

@@ -58,5 +58,42 @@ def test_signature_does_not_depend_on_partitions(spark):
 
 
 def test_groups_chain(make):
-    out = findings.groups_within(make({}, {"lat": 50.005}, {"lat": 50.010}, {"lat": 50.5})).orderBy("ord").collect()
-    assert [r.group for r in out] == [0, 0, 0, 1]
+    out = findings.groups_within(make({}, {"lat": 50.005}, {"lat": 50.010}, {"lat": 50.5}, {"route_id": 2})).orderBy("ord").collect()
+    assert [r.group for r in out] == [0, 0, 0, 3, 4]
+
+
+def test_groups_take_the_earliest_group(make):
+    # The third is close to both; the last is closer to the second group's first member, but joins the first group by the third.
+    out = findings.groups_within(make({"lat": 50.0}, {"lat": 50.009}, {"lat": 50.0045}, {"lat": 50.0089})).orderBy("ord").collect()
+    assert [r.group for r in out] == [0, 1, 0, 0]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_greedy_passes_equal_a_plain_loop(spark, parts):
+    from gridway.plans import rule_queries
+
+    df = rule_queries.spread(spark, "/root/testdata/sf0.001").repartition(parts)
+    rows = [r.asDict() for r in df.orderBy("ord").collect()]
+    norm = lambda s: " ".join((s or "").strip().lower().split())
+    kept: dict = {}
+    for f in (dict(r) for r in rows):
+        group = kept.setdefault((f["route_id"], f["kategorie"], norm(f["titel"])), [])
+        twin = next((k for k in group if abs(k["km"] - f["km"]) <= 0.15 and (not k["geom"] or not f["geom"] or k["geom"] == f["geom"])), None)
+        if twin is None:
+            group.append(f)
+        elif f["rank"] > twin["rank"] or (f["rank"] == twin["rank"] and f["geom"] and not twin["geom"]):
+            twin.update(f)
+    assert sorted(r.ord for r in findings.dedupe_points(df).collect()) == sorted(f["ord"] for g in kept.values() for f in g)
+    gone = set()
+    for i in rows:
+        if i["herkunft"] == "eigen" or i["ord"] in gone:
+            continue
+        for j in rows:
+            if i is j or j["herkunft"] == "eigen" or j["ord"] in gone or (i["route_id"], i["kategorie"]) != (j["route_id"], j["kategorie"]) or abs(i["km"] - j["km"]) > 0.15 or norm(i["quelle"]) == norm(j["quelle"]):
+                continue
+            if i["rank"] < j["rank"]:
+                gone.add(i["ord"])
+                break
+            if j["rank"] < i["rank"]:
+                gone.add(j["ord"])
+    assert {r.ord for r in findings.dedupe_sources(df).collect()} == {r["ord"] for r in rows} - gone
