@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridway.functions import rules, text
 from gridway.operators import analytics, graph, ingest
 from gridway.plans import fixtures as fx
+from gridway.session import shared_folder
 from gridway.sources import sinks
 from gridway.streaming import beats
 
@@ -104,19 +103,20 @@ def snapshot(batch: DataFrame, before: DataFrame | None) -> DataFrame:
 
 
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridway-stream-")
-    folder = f"{base}/stream-{abs(hash((d, id(spark))))}-{spark.sparkContext.startTime}-{spark._jvm.java.util.UUID.randomUUID()}"
+    folder = shared_folder(spark, "stream")
     query = beats.upsert(beats.read_events(spark, d + "/events.parque[t]"), f"{folder}/snapshot", f"{folder}/checkpoint", snapshot)
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/snapshot/{query.lastProgress['batchId']}")
 
 
-def streamed(make, name: str):
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        table = f"{name}_{str(spark._jvm.java.util.UUID.randomUUID()).replace('-', '')}"
-        return beats.drain(make(beats.read_events(spark, d + "/events.parque[t]")), table)
+def streamed(make):
+    return lambda spark, d: beats.drain(make(beats.read_events(spark, d + "/events.parque[t]")), shared_folder(spark, "stream"))
+
 
-    return query
+#: Beats at most the gap apart are one session of a stream, unlike in the batch form.
+STREAM_SESSIONS = """WITH beat AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 6 * 3600000000 THEN 0 ELSE 1 END AS new FROM events))
+    SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 6 HOUR AS ends_at, count(*) AS hits FROM beat GROUP BY user_id, session_no"""
+STREAM_SLIDING = """SELECT date_trunc('hour', ts) + (1 + k) * INTERVAL 1 HOUR AS at, count(DISTINCT user_id) AS users FROM events, (SELECT range AS k FROM range(2)) GROUP BY 1"""
 
 
 # Text
@@ -169,19 +169,35 @@ def folders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chain_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty roads through all part keys, those of every fourth closed to a ring; from each location to another of its road."""
     rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("code"))
-    ring = rows.filter("code < 2000").select((F.col("code") % 20).alias("road"), "code", F.when(F.col("code") < 1980, F.col("code") + 20).alias("pos"), F.when(F.col("code") >= 20, F.col("code") - 20).alias("neg"))
-    pairs = rows.filter("code < 100").select(F.col("code").alias("pair_id"), (F.col("code") % 20).alias("road"), F.col("code").alias("a"), ((F.col("code") * 7) % 100 * 20 % 2000 + F.col("code") % 20).alias("b"))
-    n = rows.filter("code < 2000").count()
-    return graph.chain_between(ring, pairs.filter(F.col("b") < n))
+    road, k = F.col("code") % 20, F.expr("code div 20")
+    per = Window.partitionBy("road")
+    chain = rows.select(road.alias("road"), "code", k.alias("k")).withColumns({"first": F.min("k").over(per), "n": F.count("*").over(per)})
+    last = F.col("k") == F.col("first") + F.col("n") - 1
+    links = chain.select("road", "code", F.when(~last, F.col("code") + 20).when(F.col("road") % 4 == 1, F.col("first") * 20 + F.col("road")).alias("pos"))
+    pairs = chain.select(F.col("code").alias("pair_id"), "road", F.col("code").alias("a"), ((F.col("first") + F.col("k") * 7 % F.col("n")) * 20 + F.col("road")).alias("b"))
+    return graph.chain_between(links, pairs)
+
+
+CHAIN = """WITH c AS (SELECT p_partkey % 20 AS road, p_partkey AS code, p_partkey // 20 AS k, min(p_partkey // 20) OVER w AS first, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_partkey % 20)),
+    p AS (SELECT code AS pair_id, road % 4 = 1 AS ring, n, (first + k * 7 % n) - k AS step FROM c), h AS (SELECT *, CASE WHEN ring THEN (step % n + n) % n WHEN step >= 0 THEN step END AS ahead, CASE WHEN ring THEN (-step % n + n) % n WHEN step <= 0 THEN -step END AS back FROM p),
+    w AS (SELECT *, least(CASE WHEN ahead <= 600 THEN ahead END, CASE WHEN back <= 600 THEN back END) AS best FROM h)
+    SELECT pair_id, CAST(best AS INT) AS hops, CASE WHEN ahead = best THEN 'pos' WHEN back = best THEN 'neg' ELSE 'straight' END AS direction FROM w"""
 
 
 def corridor_search(spark: SparkSession, d: str) -> DataFrame:
-    nodes = spark.range(12).select(F.col("id").alias("n"))
-    trips = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("trip_id")).filter("trip_id < 150").withColumns({"start": F.lit(0).cast("bigint"), "goal": F.lit(11).cast("bigint")})
-    steps = nodes.select(F.col("n").alias("a"), F.explode(F.array(F.col("n") + 1, F.col("n") + 2, F.col("n") + 3)).alias("b")).filter("b < 12")
-    edges = trips.select("trip_id").crossJoin(F.broadcast(steps)).withColumns({"km": (10 + (F.col("trip_id") * 31 + F.col("a") * 17 + F.col("b") * 13) % 40).cast("double"), "blockers": F.when((F.col("trip_id") + F.col("a") * F.col("b")) % 5 == 0, 1).otherwise(0), "zones": F.lit(0)})
-    return graph.cheapest_paths(edges, trips).select("trip_id", "cost", "km", "blockers")
+    """A search over twelve nodes for each customer, each with lengths and blockers of its own."""
+    steps = F.explode(F.expr("flatten(transform(sequence(0, 10), a -> transform(sequence(a + 1, least(a + 3, 11)), b -> struct(a, b))))")).alias("e")
+    edges = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("trip_id"), steps).select("trip_id", F.col("e.a").cast("long").alias("a"), F.col("e.b").cast("long").alias("b"))
+    edges = edges.withColumns({"km": (10 + (F.col("trip_id") * 31 + F.col("a") * 17 + F.col("b") * 13) % 40).cast("double"), "blockers": F.when((F.col("trip_id") + F.col("a") * F.col("b")) % 5 == 0, 1).otherwise(0), "zones": F.lit(0)})
+    trips = edges.select("trip_id").distinct().withColumns({"start": F.lit(0).cast("bigint"), "goal": F.lit(11).cast("bigint")})
+    return graph.cheapest_paths(edges, trips).select("trip_id", "cost", "km", "blockers", "cut")
+
+
+SEARCH = """WITH RECURSIVE edge AS (SELECT c_custkey AS trip_id, a, b, 10 + (c_custkey * 31 + a * 17 + b * 13) % 40 AS km, CASE WHEN (c_custkey + a * b) % 5 = 0 THEN 1 ELSE 0 END AS blockers FROM customer, (SELECT range AS a FROM range(11)), (SELECT range AS b FROM range(12)) WHERE b > a AND b <= a + 3),
+    way AS (SELECT c_custkey AS trip_id, 0::BIGINT AS node, 0::BIGINT AS km, 0::BIGINT AS blockers FROM customer UNION ALL SELECT w.trip_id, e.b, w.km + e.km, w.blockers + e.blockers FROM way w JOIN edge e ON e.trip_id = w.trip_id AND e.a = w.node)
+    SELECT trip_id, CAST(km + 250 * blockers AS DOUBLE) AS cost, CAST(km AS DOUBLE) AS km, CAST(blockers AS INT) AS blockers, false AS cut FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY km + 250 * blockers, km, blockers) AS n FROM way WHERE node = 11) WHERE n = 1"""
 
 
 def sessions(minutes: int):
@@ -271,9 +287,9 @@ QUERIES = {
     "folder_descendants": lambda s, d: graph.closure(folders(s, d)),
     "chain_walk": chain_walk,
     "corridor_search": corridor_search,
-    "stream_sessions": streamed(lambda e: beats.sessions(e, "6 hours"), "sessions"),
-    "stream_tumbling": streamed(beats.per_day, "per_day"),
-    "stream_sliding": streamed(lambda e: beats.online(e, "2 hours", "1 hour"), "online"),
+    "stream_sessions": streamed(lambda e: beats.sessions(e, "6 hours")),
+    "stream_tumbling": streamed(beats.per_day),
+    "stream_sliding": streamed(lambda e: beats.online(e, "2 hours", "1 hour")),
     "stream_upsert": stream_upsert,
 }
 
@@ -334,8 +350,10 @@ ORACLES = {
     "csv_row": fx.with_(fx.FINDINGS) + """SELECT ord, concat_ws(';', CAST(route_id AS VARCHAR), CASE WHEN ord % 3 = 0 THEN chr(34) || titel || ';' || repeat(chr(34), 2) || 'x' || repeat(chr(34), 3) ELSE titel END,
         replace(printf('%.2f', km), '.', ',')) AS line FROM finding""",
     "folder_descendants": """WITH RECURSIVE up AS (SELECT s_suppkey AS node, s_suppkey AS ancestor, 0 AS depth FROM supplier UNION ALL SELECT node, (ancestor - 1) // 2, depth + 1 FROM up WHERE ancestor > 0) SELECT node, ancestor, depth FROM up""",
-    "chain_walk": """WITH p AS (SELECT p_partkey AS code FROM part), n AS (SELECT count(*) AS n FROM p WHERE code < 2000), x AS (SELECT code AS pair_id, code AS a, (code * 7) % 100 * 20 % 2000 + code % 20 AS b FROM p WHERE code < 100)
-        SELECT pair_id, CAST(abs(b - a) // 20 AS INT) AS hops, CASE WHEN b >= a THEN 'pos' ELSE 'neg' END AS direction FROM x, n WHERE b < n""",
+    "chain_walk": CHAIN,
+    "stream_sessions": STREAM_SESSIONS,
+    "stream_sliding": STREAM_SLIDING,
+    "corridor_search": SEARCH,
     "stream_tumbling": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_upsert": "SELECT user_id, arg_max(ts, (ts, event_id)) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1",
 }

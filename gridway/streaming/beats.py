@@ -26,15 +26,23 @@ def per_day(events: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def online(events: DataFrame, span: str = "3 minutes", slide: str = "1 minute", late: str = "1 hour") -> DataFrame:
-    """Users seen in each sliding window."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", span, slide).alias("w")).agg(F.approx_count_distinct("user_id").alias("users")).select(F.col("w.end").alias("at"), "users")
+    """Users seen in each sliding window, each once."""
+    seen = events.withWatermark("ts", late).select(F.window("ts", span, slide).alias("w"), "user_id").dropDuplicates(["w", "user_id"])
+    return seen.groupBy("w").agg(F.count("*").alias("users")).select(F.col("w.end").alias("at"), "users")
 
 
-def drain(df: DataFrame, table: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all there is, into an in-memory table, and return that."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(table).trigger(availableNow=True).start()
+def drain(df: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all there is; each micro-batch writes the result so far to a folder of its own, the last is returned.
+
+    Only executors write and read results; the driver sees none. A batch that is replayed writes the same folder again.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{n}")
+
+    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(table)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out/{query.lastProgress['batchId']}")
 
 
 def upsert(items: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame, DataFrame | None], DataFrame]) -> StreamingQuery:
