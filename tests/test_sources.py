@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pytest
 from gridway.sources import readers, sinks
 from pyspark.sql import functions as F
 
@@ -33,6 +34,37 @@ def test_datex2(spark, tmp_path):
     assert (r.externe_id, r.kategorie, r.beschreibung, r.road, r.lat, r.lng, str(r.gueltig_bis)) == ("R1", "baustelle", "Bauarbeiten", "A7", 50.1, 8.6, "2026-05-01")
 
 
+def record(name, kind, inner):
+    return f'<d2:situationRecord id="{name}" version="3" xsi:type="{kind}">{inner}</d2:situationRecord>'
+
+
+def test_datex2_records(spark, tmp_path):
+    def at(lat, lng):
+        return f"<d2:latitude>{lat}</d2:latitude><d2:longitude>{lng}</d2:longitude>"
+
+    management = "<d2:roadOrCarriagewayOrLaneManagementType>{}</d2:roadOrCarriagewayOrLaneManagementType>"
+    records = [
+        record("suspended", "RoadOrCarriagewayOrLaneManagement", "<d2:validity><d2:validityStatus>suspended</d2:validityStatus></d2:validity>" + at(50, 8)),
+        record("cancelled", "RoadOrCarriagewayOrLaneManagement", "<d2:comment> - entfällt - </d2:comment>" + at(50, 8)),
+        record("closed", "RoadOrCarriagewayOrLaneManagement", management.format("roadClosed") + "<d2:numberOfLanesRestricted>2</d2:numberOfLanesRestricted><d2:alertCDirectionCoded>negative</d2:alertCDirectionCoded><d2:comment>X - Y - X - Y - Ende, 20h bis 5h</d2:comment><d2:roadNumber>[B169]</d2:roadNumber>" + at(46.5, 4.5)),
+        record("lane", "RoadOrCarriagewayOrLaneManagement", management.format("laneClosures") + at(60, 8)),
+        record("works", "RoadOrCarriagewayOrLaneManagement", "<d2:constructionWorkType>other</d2:constructionWorkType><g:posList>8.5 50.5 8.6 50.6</g:posList>"),
+        record("weight", "GeneralNetworkManagement", "<d2:grossVehicleWeight>3,5</d2:grossVehicleWeight><d2:axleWeightLimit>2</d2:axleWeightLimit><d2:alertCMethod4SecondaryPointLocation><d2:specificLocation>7</d2:specificLocation></d2:alertCMethod4SecondaryPointLocation><d2:alertCMethod4PrimaryPointLocation><d2:specificLocation>5</d2:specificLocation></d2:alertCMethod4PrimaryPointLocation>"),
+    ]
+    (tmp_path / "d.xml").write_text(f'<d2:payload><d2:situation id="S"><d2:comment>Arbeiten an der A 7</d2:comment>{"".join(records[:4])}</d2:situation>\n<d2:situation id="T">{"".join(records[4:])}<d2:comment>danach</d2:comment></d2:situation></d2:payload>')
+    found = {r.externe_id: r for r in readers.datex2(spark, str(tmp_path / "d.xml")).collect()}
+    assert set(found) == {"closed", "lane", "works", "weight"}
+    r = found["closed"]
+    assert (r.kategorie, r.name, r.road, r.vollsperrung, r.teilsperrung, r.spuren_gesperrt, r.richtung, r.zeitfenster, r.nur_nachts) == ("sperrung", "X - Y - Ende, 20h bis 5h", "B169", True, False, 2.0, "Gegenrichtung", "20:00–05:00", True)
+    assert (r.lat, r.lng) == (46.5, 4.5)  # near the border, and within the feeds' bounds
+    r = found["lane"]
+    assert (r.kategorie, r.beschreibung, r.road, r.teilsperrung, r.vollsperrung, r.lat) == ("sperrung", "Arbeiten an der A 7", "A7", True, False, None)
+    r = found["works"]
+    assert (r.kategorie, r.lat, r.lng, [(p.lat, p.lng) for p in r.line], r.beschreibung) == ("baustelle", 50.5, 8.5, [(50.5, 8.5), (50.6, 8.6)], "danach")
+    r = found["weight"]
+    assert (r.kategorie, r.max_gewicht_t, r.max_achslast_t, r.tmc_primary, r.tmc_secondary, r.name) == ("gewicht", 3.5, 2.0, 5, 7, "danach")
+
+
 def test_zip_members(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("a.csv", "1")
@@ -49,6 +81,25 @@ def test_paged_features(spark, tmp_path):
     assert sorted(json.loads(r.properties)["n"] for r in df.collect()) == [0, 1, 2, 3, 4]
 
 
+def test_paged_features_of_unknown_number(spark, tmp_path):
+    def pages(sizes, **more):
+        at = 0
+        for n in sizes:
+            (tmp_path / f"q{at}.json").write_text(json.dumps({"features": [{"properties": {"n": at + k}, "geometry": None} for k in range(n)], **more}))
+            at += 2
+
+    spark.dataSource.register(readers.PagedFeatures)
+    read = lambda **o: spark.read.format("paged_features").options(url=f"file://{tmp_path}/q{{start}}.json", pagesize="2", tries="1", **o).load()
+    pages([2] * 45 + [1])  # more pages than a small backstop has; the last one is short
+    assert read().count() == 91
+    with pytest.raises(Exception, match="taken for gone"):
+        read(maxpages="40").count()
+    pages([2, 2, 2], numberMatched=6)
+    assert read().count() == 6 and read().rdd.getNumPartitions() == 3
+    with pytest.raises(Exception, match="more than 2 pages"):
+        read(maxpages="2").count()
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 1.5), (2, "b", 2.25)], "project_id int, t string, km double")
     sinks.replace_project(df, str(tmp_path / "f"))
