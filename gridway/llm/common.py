@@ -43,6 +43,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, checkpointed, in as many partitions as its rows fill: small tables then don't shuffle through many tiny files."""
+    kept = checkpoint(df)
+    return kept.coalesce(min(partitions(df.sparkSession), -(-kept.count() // rows) or 1))
+
+
 def salt(n: int, *columns: str) -> Column:
     """A number below n that spreads rows evenly and stays the same in every run."""
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")

@@ -205,7 +205,7 @@ def across(docs: DataFrame, nodes: DataFrame, lists: DataFrame, percent: int, co
     heads = lists.groupBy("token").agg(F.min("doc_id").alias("low"))
     families = connected_components(lists.join(heads, "token").select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
     member = lists.select("doc_id", "component").distinct().join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-    member = common.checkpoint(member.join(nodes.select("doc_id", "n_shingles", "signature"), "doc_id"))
+    member = common.compact(member.join(nodes.select("doc_id", "n_shingles", "signature"), "doc_id"))
     by_component = member.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("entries"))
     sums = by_component.groupBy("family").agg(F.sum("n").alias("n"), F.sum("entries").alias("entries"), F.max(F.struct("n", "entries", "component")).alias("main"))
     blocks = lambda n, entries: F.ceil(F.greatest(n / ROWS, entries / ENTRIES)).cast("int")
@@ -245,13 +245,13 @@ def components(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATE
     signed = common.checkpoint(signatures(docs, coordinates))
     groups = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"))
     nodes = signed.join(groups.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
-    posted = common.checkpoint(postings(nodes, coordinates, matches))
-    tried = common.checkpoint(colliding(offered(posted), nodes, matches))
-    merged = common.checkpoint(connected_components(verify(docs, tried, percent)))
+    posted = common.compact(postings(nodes, coordinates, matches))
+    tried = common.compact(colliding(offered(posted), nodes, matches))
+    merged = common.compact(connected_components(verify(docs, tried, percent)))
 
     labelled = posted.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    rest = common.checkpoint(labelled.join(mixed, "token"))
+    rest = common.compact(labelled.join(mixed, "token"))
     second = across(docs, nodes, rest, percent, coordinates, matches)
     label = lambda x: rest.select(F.col("doc_id").alias(x), F.col("component").alias(f"c{x}")).distinct()
     higher = connected_components(second.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
