@@ -1,17 +1,21 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Learning takes all trusted documents but the quarter that sets the limits. Their character
-n-grams are counted in tables dealt by n-gram; discounts, continuation counts and back-off weights are group sums over those
-tables. The corpus is scored against them by one of two joins on n-gram and context with equal results: while the tables
-have at most `broadcast_entries` entries (12 bytes each) they are sent to all tasks, beyond that documents' distinct
-n-grams are shuffled to them.
+Learning takes all trusted documents but the quarter that sets the limits. Their character n-grams are counted in tables dealt
+by n-gram; discounts, continuation counts and back-off weights are group sums over those tables, which stay where they are.
+
+To score the corpus, documents are dealt to batches. Each batch sends its distinct n-grams to shards; the distinct n-grams of
+all batches are joined with the tables, order by order, which gives each its cost; shards answer every batch with the costs of
+its n-grams, and a document's perplexity is a sum over them. What travels is one number for each distinct n-gram of a batch,
+not of a document, and texts travel once.
 
 A document is rejected when its perplexity, smoothed towards its language's mean by `prior` characters, lies above what nearly
 all trusted documents of its language reach. The limits come from trusted documents that did not train; languages with
 few of them, and null languages, use those of all languages.
 
-Null and blank texts have no perplexity and are rejected. Rows that share an id are scored each by itself. Without trusted
-documents nothing is rejected but blank texts. Extra columns are ignored.
+The model's alphabet is the 32,766 characters that trusted texts use most, twice at least; all others are one unknown
+character. Null and blank texts have no perplexity and are rejected. Rows that share an id are scored and kept each by itself.
+Without trusted documents nothing is rejected but blank texts. An empty table gives an empty result. Extra columns are ignored
+by judge() and kept by keep_rows(), whatever their names.
 """
 
 from __future__ import annotations
@@ -20,52 +24,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
 #: Ids: 0 unknown, 1 the start of a text, then characters. ORDER of them make one key.
 UNKNOWN, START, BITS, ORDER = 0, 1, 15, 4
 MASK = (1 << BITS) - 1
-TABLES = tuple(f"{kind}{n - (kind == 'lambda')}" for n in range(ORDER, 1, -1) for kind in ("alpha", "lambda"))
+#: Bytes of text in a batch, and n-grams handled at once.
+BATCH_BYTES, STRETCH = 4 << 20, 1 << 20
 
 
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def ngrams(text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams that end at the characters of the text, and how often each does."""
-    w = np.concatenate([np.full(ORDER - 1, START, np.int64), ids[codes(text)].astype(np.int64)])
-    n = len(w) - ORDER + 1
-    keys = np.zeros(n, np.int64)
-    for k in range(ORDER):
-        keys = (keys << BITS) | w[k : n + k]
-    return np.unique(keys, return_counts=True)
-
-
-class Model:
-    """Sorted keys and values of each table; the unigram array by id."""
-
-    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]], unigram: np.ndarray):
-        self.tables, self.unigram = tables, unigram
-
-    def look(self, name: str, keys: np.ndarray, default: float) -> np.ndarray:
-        known, values = self.tables[name]
-        if not len(known):
-            return np.full(len(keys), default, np.float32)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, values[at], np.float32(default))
-
-    def negative_log(self, keys: np.ndarray, times: np.ndarray) -> float:
-        """Minus the log probability of n-grams that occur so many times."""
-        p = self.unigram[keys & MASK]
-        for n in range(2, ORDER + 1):
-            own = keys & ((1 << (n * BITS)) - 1)
-            p = self.look(f"alpha{n}", own, 0) + self.look(f"lambda{n - 1}", own >> BITS, 1) * p
-        return float(-(np.log(p.astype(np.float64)) * times).sum())
+def ngrams(text: str, ids: np.ndarray) -> Iterator[np.ndarray]:
+    """The n-grams that end at the characters of the text, in stretches."""
+    w = np.concatenate([np.full(ORDER - 1, START, ids.dtype), ids[codes(text)]])
+    for at in range(0, len(w) - ORDER + 1, STRETCH):
+        part = w[at : at + STRETCH + ORDER - 1].astype(np.int64)
+        n = len(part) - ORDER + 1
+        keys = part[:n]
+        for k in range(1, ORDER):
+            keys = (keys << BITS) | part[k : n + k]
+        yield keys
+
+
+def distinct(texts: Iterator[str | None], ids: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of some texts, ascending, and how often each occurs if counted."""
+    known, times, held, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
+
+    def settle() -> None:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        known.append(keys)
+        times.append(n)
+        held.clear()
+
+    for text in texts:
+        for keys in ngrams(text or "", ids):
+            held.append(keys)
+            size += len(keys)
+            if size >= 4 * STRETCH:
+                settle()
+                size = 0
+    if held:
+        settle()
+    if not counted:
+        return np.unique(np.concatenate(known)), times[0]
+    keys, at = np.unique(np.concatenate(known), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate(times), len(keys)).astype(np.int64)
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -107,9 +117,9 @@ def train(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, dict[str, Da
 
     def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
-                keys, n = ngrams(t.as_py(), shared.value)
-                yield pa.RecordBatch.from_pydict({"key": keys, "n": n.astype(np.int64)})
+            for start in range(0, batch.num_rows, 256):
+                keys, n = distinct((t.as_py() for t in batch.column(0).slice(start, 256)), shared.value, counted=True)
+                yield pa.RecordBatch.from_pydict({"key": keys, "n": n})
 
     counts = common.checkpoint(text.mapInArrow(count_ngrams, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     tables = {}
@@ -127,70 +137,88 @@ def train(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, dict[str, Da
     return vocabulary, tables, unigram.astype(np.float32)
 
 
-def fitting(docs: DataFrame, trained, broadcast_entries: int):
-    """A broadcast of the tables if they are within the bound, else None; and the tables as one."""
-    vocabulary, tables, unigram = trained
-    union = None
-    for name in TABLES:
-        one = tables[name].select(F.lit(name).alias("name"), "key", F.col("v").cast("float").alias("v"))
-        union = one if union is None else union.unionByName(one)
-    union = common.checkpoint(union)
-    if union.count() > broadcast_entries:
-        return None, union
-    found = union.toPandas()
-    held = {}
-    for name in TABLES:
-        own = found[found.name == name].sort_values("key")
-        held[name] = (own.key.to_numpy(), own.v.to_numpy(np.float32))
-    return docs.sparkSession.sparkContext.broadcast((vocabulary, Model(held, unigram))), union
-
-
-def score_in_place(rows: DataFrame, model) -> DataFrame:
-    """rows (text and any other columns) with n (characters) and nll."""
-    text = rows.columns.index("text")
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, own = model.value
-        for batch in batches:
-            n, nll = [], []
-            for t in batch.column(text):
-                keys, times = ngrams((t.as_py() or "").strip(), ids)
-                n.append(int(times.sum()))
-                nll.append(own.negative_log(keys, times) if len(keys) else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(nll, pa.float64())], [*batch.schema.names, "n", "nll"])
-
-    return rows.mapInArrow(scored, T.StructType([*rows.schema, T.StructField("n", T.LongType()), T.StructField("nll", T.DoubleType())]))
+def costs(keys: DataFrame, tables: dict[str, DataFrame], unigram: np.ndarray) -> DataFrame:
+    """keys (key and any other columns) with cost: minus the log probability of the last character after the others."""
+    spark = keys.sparkSession
+    one = spark.createDataFrame([(i, float(p)) for i, p in enumerate(unigram)], "last bigint, p double")  # a row for each character
+    out = keys.withColumn("last", F.col("key").bitwiseAND(F.lit(MASK))).join(F.broadcast(one), "last", "left").drop("last")
+    for n in range(2, ORDER + 1):
+        own = F.col("key").bitwiseAND(F.lit((1 << (n * BITS)) - 1))
+        for name, key in ((f"alpha{n}", own), (f"lambda{n - 1}", F.shiftright(own, BITS))):
+            table = tables[name].select(F.col("key").alias("at"), F.col("v").alias(name))
+            out = out.withColumn("at", key).join(F.broadcast(table) if name == "lambda1" else table, "at", "left").drop("at")
+        p = F.coalesce(f"alpha{n}", F.lit(0.0)) + F.coalesce(f"lambda{n - 1}", F.lit(1.0)) * F.col("p")
+        out = out.withColumn("p", p).drop(f"alpha{n}", f"lambda{n - 1}")
+    return out.withColumn("cost", -F.log("p").cast("float")).drop("p")
 
 
-def score_by_join(docs: DataFrame, trained, union: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text, lang): doc_id, lang, n, nll."""
+def score(docs: DataFrame, trained) -> DataFrame:
+    """Per row of docs (doc_id, text, lang): doc_id, lang, hash (of the text), n (characters), nll (minus the log probability)."""
     spark = docs.sparkSession
-    vocabulary, _, unigram = trained
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    vocabulary, tables, unigram = trained
+    shards = common.partitions(spark)
     names = spark.sparkContext.broadcast(vocabulary)
-    rows = docs.select("doc_id", "lang", "text")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                keys, times = ngrams((batch.column(2)[k].as_py() or "").strip(), names.value)
-                if not len(keys):  # a row for a blank text, too
-                    keys, times = np.array([-1]), np.array([0])
-                own = [pa.array([batch.column(c)[k].as_py()] * len(keys), batch.schema.field(c).type) for c in (0, 1, 3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(keys), pa.array(times.astype(np.int64))], ["doc_id", "lang", "row", "key", "n"])
-
-    grams = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(distinct, f"doc_id {kind}, lang string, row bigint, key bigint, n bigint")
-    uni = spark.createDataFrame([(i, float(p)) for i, p in enumerate(unigram)], "last bigint, p float")
-    grams = grams.withColumn("last", F.col("key").bitwiseAND(F.lit(MASK))).join(uni, "last", "left")
-    p = F.col("p")
-    for n in range(2, ORDER + 1):
-        own = F.col("key").bitwiseAND(F.lit((1 << (n * BITS)) - 1))
-        for name, key in ((f"alpha{n}", own), (f"lambda{n - 1}", F.shiftright(own, BITS))):
-            table = union.filter(F.col("name") == name).select(F.col("key").alias(f"{name}_key"), F.col("v").alias(name))
-            grams = grams.withColumn(f"{name}_key", key).join(table, f"{name}_key", "left").drop(f"{name}_key")
-        p = F.coalesce(f"alpha{n}", F.lit(0.0)) + F.coalesce(f"lambda{n - 1}", F.lit(1.0)) * p
-    nll = F.sum(F.when(F.col("n") > 0, -F.log(p) * F.col("n")).otherwise(0.0))
-    return grams.groupBy("row", "doc_id", "lang").agg(F.sum("n").alias("n"), nll.alias("nll")).drop("row")
+    rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = rows.withColumn("batch", common.salt(max(shards, -(-size // BATCH_BYTES)), "doc_id", "hash")).groupBy("batch")
+
+    def told(*answers: DataFrame):
+        """The messages to batches; without any, the same dealing, so that texts are dealt once."""
+        none = spark.createDataFrame([], "to int, keys binary, costs binary")
+        return (answers[0] if answers else none).groupBy("to")
+
+    def ask(table: pa.Table, _: pa.Table) -> pa.Table:
+        out: list[list] = [[], []]
+        if table.num_rows:
+            keys, _ = distinct((t.as_py().strip() for t in table["text"]), names.value)
+            shard = (keys ^ (keys >> BITS) * 31 ^ (keys >> 2 * BITS) * 17) % shards
+            order = np.argsort(shard, kind="stable")
+            at = np.searchsorted(shard[order], np.arange(shards + 1))
+            pack = zstandard.ZstdCompressor(level=1)
+            for k in np.flatnonzero(np.diff(at)).tolist():
+                out[0].append(k)
+                out[1].append(pack.compress(np.diff(keys[order[at[k] : at[k + 1]]], prepend=0).tobytes()))
+        batch = table["batch"][0].as_py() if len(out[0]) else 0
+        return pa.table({"shard": pa.array(out[0], pa.int32()), "from": pa.array([batch] * len(out[0]), pa.int32()), "keys": pa.array(out[1], pa.binary())})
+
+    def unpacked(blob: bytes) -> np.ndarray:
+        return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64))
+
+    def gather(table: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.int64)
+        for blob in table["keys"].to_pylist():
+            found = np.union1d(found, unpacked(blob))
+        return pa.table({"shard": pa.array(np.full(len(found), table["shard"][0].as_py(), np.int32)), "key": found})
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        keys, cost = known["key"].to_numpy(), known["cost"].to_numpy()
+        order = np.argsort(keys)
+        keys, cost = keys[order], cost[order].astype(np.float32)
+        for to, blob in zip(asked["from"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+            out[0].append(to)
+            out[1].append(blob)
+            out[2].append(cost[np.searchsorted(keys, unpacked(blob))].tobytes())
+        return pa.table({"to": pa.array(out[0], pa.int32()), "keys": pa.array(out[1], pa.binary()), "costs": pa.array(out[2], pa.binary())})
+
+    def add_up(table: pa.Table, answers: pa.Table) -> pa.Table:
+        n, nll = [], []
+        if table.num_rows:
+            keys = np.concatenate([np.zeros(0, np.int64), *map(unpacked, answers["keys"].to_pylist())])
+            cost = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(c, np.float32) for c in answers["costs"].to_pylist())])
+            order = np.argsort(keys)
+            keys, cost = keys[order], cost[order].astype(float)
+            for t in table["text"]:
+                parts = list(ngrams(t.as_py().strip(), names.value))
+                n.append(sum(map(len, parts)))
+                nll.append(sum(float(cost[np.searchsorted(keys, p)].sum()) for p in parts))
+        return table.select(["doc_id", "lang", "hash"]).append_column("n", pa.array(n, pa.int64())).append_column("nll", pa.array(nll, pa.float64()))
+
+    asked = batches.cogroup(told()).applyInArrow(ask, "shard int, from int, keys binary")
+    known = costs(asked.groupBy("shard").applyInArrow(gather, "shard int, key bigint"), tables, unigram)
+    answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "to int, keys binary, costs binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return batches.cogroup(told(answers)).applyInArrow(add_up, f"doc_id {kind}, lang string, hash bigint, n bigint, nll double")
 
 
 def limits(scored: DataFrame, good: DataFrame, quantile: float, prior: int, slack: float, least: int) -> tuple[Column, Column]:
@@ -218,26 +246,30 @@ def calibrates() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, prior: int = 60, slack: float = 0.2, least: int = 30, broadcast_entries: int = 4_000_000) -> DataFrame:
-    """Per row of docs (doc_id, text, lang): n_chars, perplexity, limit, kept. labels: (doc_id, quality, toxic)."""
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, prior: int = 60, slack: float = 0.2, least: int = 30) -> DataFrame:
+    """Per row of docs (doc_id, text, lang): doc_id, hash (of the text), n_chars, perplexity, limit, kept."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
     trained = train(docs.select("doc_id", "text"), good.filter(~calibrates()))
     if trained is None:
         n = F.coalesce(F.length(F.trim("text")), F.lit(0)).cast("long")
-        return docs.select("doc_id", n.alias("n_chars"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("limit"), (n > 0).alias("kept"))
+        nothing = F.lit(None).cast("double")
+        return docs.select("doc_id", F.xxhash64("text").alias("hash"), n.alias("n_chars"), nothing.alias("perplexity"), nothing.alias("limit"), (n > 0).alias("kept"))
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    model, tables = fitting(docs, trained, broadcast_entries)
-    scored = score_in_place(rows, model).drop("text") if model else score_by_join(rows, trained, tables)
-    scored = common.checkpoint(scored)
+    scored = common.checkpoint(score(rows, trained))
     even, limit = limits(scored, good, quantile, prior, slack, least)
     kept = (F.col("n") > 0) & (even <= limit)
-    return scored.select("doc_id", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.exp(limit).alias("limit"), kept.alias("kept"))
+    return scored.select("doc_id", "hash", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))).alias("perplexity"), F.exp(limit).alias("limit"), kept.alias("kept"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """Per row of docs (doc_id, text, lang): doc_id, n_chars, perplexity, limit, kept. labels: (doc_id, quality, toxic)."""
+    return judged(docs, labels, **options).drop("hash")
 
 
 def keep_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs' rows that are not rejected, with all their columns. Rows that share an id stay if one of them does."""
-    good = judge(docs, labels, **options).filter("kept").select("doc_id").distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["doc_id"]), "left_semi")
+    """docs' rows that are not rejected, with all their columns."""
+    good = judged(docs, labels, **options).filter("kept").select(F.col("doc_id").alias("__good_id"), F.col("hash").alias("__good_hash")).distinct()
+    return docs.join(good, docs["doc_id"].eqNullSafe(good["__good_id"]) & (F.xxhash64(docs["text"]) == good["__good_hash"]), "left_semi")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

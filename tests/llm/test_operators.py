@@ -308,8 +308,66 @@ def test_quality(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id bigint, quality int, toxic int")
     one = {r.doc_id: r for r in quality.judge(df, labels).collect()}
     assert all(one[i].kept == (i < 200) for i in range(212))
-    other = {r.doc_id: r for r in quality.judge(df, labels, broadcast_entries=0).collect()}  # by the shuffled join
-    assert all(other[i].kept == one[i].kept and (other[i].perplexity or 0) == pytest.approx(one[i].perplexity or 0, rel=1e-4) for i in range(212))
+
+
+def kneser_ney(texts, order=4):
+    """Brute force: the probability of each character after order - 1 others, with characters that occur once as one."""
+    seen = Counter("".join(texts))
+    name = lambda c: c if seen[c] > 1 else "unknown"
+    grams = lambda t: [tuple((["^"] * (order - 1) + list(map(name, t)))[k : k + order]) for k in range(len(t))]
+    counts = {order: Counter(g for t in texts for g in grams(t))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount = {}
+    for n, c in counts.items():
+        m = Counter(c.values())
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0.5
+        discount[n] = [0, *(min(max(k - (k + 1) * y * m[k + 1] / m[k] if m[k] else k * 0.5, 0.05), k - 0.05) for k in (1, 2, 3))]
+    size, total = len({c for c in seen if seen[c] > 1}) + 2, sum(counts[1].values())
+    cut = lambda n, c: discount[n][min(c, 3)]
+    back = sum(cut(1, c) for c in counts[1].values())
+    sums = {n: (Counter(), Counter()) for n in range(2, order + 1)}
+    for n in sums:
+        for g, c in counts[n].items():
+            sums[n][0][g[:-1]] += c
+            sums[n][1][g[:-1]] += cut(n, c)
+
+    def p(g):
+        if len(g) == 1:
+            c = counts[1][g]
+            return (c - cut(1, c) + back / size) / total if c else back / size / total
+        whole, taken = sums[len(g)]
+        if not whole[g[:-1]]:
+            return p(g[1:])
+        c = counts[len(g)][g]
+        return (c - cut(len(g), c) if c else 0) / whole[g[:-1]] + taken[g[:-1]] / whole[g[:-1]] * p(g[1:])
+
+    return lambda t: [p(g) for g in grams(t)]
+
+
+def test_perplexity_equals_brute_force(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 30))) + rng.choice("!?.ä") for _ in range(60)]
+    model = kneser_ney(texts)
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(5)
+    trained = quality.train(df, df.select("doc_id"))
+    others = ["river stone", "zzz unknown Ω words", "the the the the", "", None, "x", "winter  street\t!"]
+    asked = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts + others)], "doc_id bigint, text string, lang string").repartition(3)
+    found = {r.doc_id: (r.n, r.nll) for r in quality.score(asked, trained).collect()}
+    for i, t in enumerate(texts + others):
+        p = model((t or "").strip())
+        assert found[i][0] == len(p) and found[i][1] == pytest.approx(-sum(map(np.log, p)), rel=1e-4)
+
+
+def test_quality_of_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    good = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(160)]
+    rows = [(i, t, 1) for i, t in enumerate(good)] + [(3, "@@## 11!! " * 30, 2), (None, good[5], 3), (None, "%%% $$ " * 40, 4), (3, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n bigint").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 160)], "doc_id bigint, quality int, toxic int")
+    kept = quality.keep_rows(df, labels)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.n) for r in kept.collect()) == Counter((i, n) for i, _, n in rows if n in (1, 3))
 
 
 def test_quality_learns_from_all_trusted_texts(spark):
