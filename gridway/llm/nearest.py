@@ -92,9 +92,10 @@ class Functions:
         first, rest, total = best[:, :, 0], np.zeros_like(best[:, :, 0]), near[:, :, 0]
         for f in range(1, self.count):
             shape = (*total.shape, pool)
-            total = (total[..., None] + near[:, :, f, None, :]).reshape(*shape[:2], -1)
-            first = np.broadcast_to(first[..., None], shape).reshape(*shape[:2], -1)
-            rest = (rest[..., None] * 2 * self.axes + best[:, :, f, None, :]).reshape(*shape[:2], -1)
+            flat = (*shape[:2], shape[2] * pool)
+            total = (total[..., None] + near[:, :, f, None, :]).reshape(flat)
+            first = np.broadcast_to(first[..., None], shape).reshape(flat)
+            rest = (rest[..., None] * 2 * self.axes + best[:, :, f, None, :]).reshape(flat)
             keep = probes if f == self.count - 1 else 4 * probes
             if total.shape[2] > keep:
                 at = np.argpartition(-total, keep - 1, axis=2)[..., :keep]
