@@ -13,10 +13,12 @@ it, so equal windows have equal anchors wherever they stand. Messages go from ba
 3. Batches remove what is covered by windows that start in a document with a smaller doc_id.
 
 Everything is exact: hashes only choose who meets, bytes decide. Equal stretches of a batch travel once, so a string that
-a third of all documents hold costs one record per batch, not one per document.
+a third of all documents hold costs one record per batch, not one per document. Two cases need no transform, as equality says
+all about them: copies of whole texts, and anchors under which all stretches are equal.
 
-Null texts count as empty. Documents that share an id do not remove each other. A null id counts as larger than all others.
-Texts shorter than the width lose nothing. Extra columns are ignored.
+Null texts count as empty. Documents that share an id do not remove each other. A null id counts as larger than all others. Ids
+may be of any type that has an order. Texts shorter than the width lose nothing. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .shingles import mix
 
 WIDTH, GRAM = 50, 24
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20
 STRETCH = 1 << 18
 SHARD, COLLECTION = 1 << 16, 1 << 18
 LAST = np.iinfo(np.int64).max
@@ -258,11 +261,22 @@ def shared_of(table: pa.Table) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return without_repeats(docs)
+    # Other ids are replaced by their places in order.
+    names = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy("doc_id")
+    names = common.checkpoint(names.select("doc_id", F.monotonically_increasing_id().alias("place")))
+    found = without_repeats(docs.select("doc_id", "text").join(names, "doc_id", "left").select(F.col("place").alias("doc_id"), "text"))
+    return found.withColumnRenamed("doc_id", "place").join(names, "place", "left").drop("place").select(*found.columns)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The same for docs with integer ids."""
     spark = docs.sparkSession
-    buckets = common.partitions(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    dealt = rows.withColumn("batch", common.salt(max(buckets, -(-size // BATCH_BYTES)), "doc_id"))
+    buckets = max(common.partitions(spark), -(-size // BUCKET_BYTES))
+    dealt = rows.withColumn("batch", common.salt(max(buckets, -(-size // BATCH_BYTES)), "doc_id", "data"))
 
     def send_anchors(table: pa.Table, messages: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
