@@ -2,14 +2,18 @@
 
 The patterns give each text's base spans, which always stay. The field labels tokens that hold a digit or an at sign; all
 others are outside for certain, which cuts the chain into short stretches. Neighbours in a stretch share a potential, and
-so do tokens of a document that repeat or resemble an earlier one (the same digits, or the same letters). Loopy message
-passing over all edges at once gives each token's marginals; confident tokens outside the base spans become spans.
+so do tokens of a document that repeat or resemble another one (the same digits, or the same letters): each is linked with the
+one before and with the first. What the patterns found is observed. Loopy message passing over all edges at once gives each
+token's marginals; confident tokens outside the base spans become spans. So a number that the document gives once in full is
+found again where it stands without its sign, with other separators, or cut short.
 
-Learning is piecewise, from at most `sample` documents with base spans and as many with such tokens but none: a softmax
-over token features, and pair potentials from label pairs along each kind of edge.
+Learning is piecewise, from at most `sample` documents with base spans and as many with such tokens but none, of at most
+`tokens` such tokens in all; documents with over a tenth of that are not drawn. A softmax over token features learns what the
+patterns say, and from copies with a digit changed or the sign left out that such tokens alone are nothing. Pair potentials are
+counted along each kind of edge, in the documents and in copies that mention their spans once more in other forms.
 
 Null texts count as empty. Rows that share an id are read each by itself. Without any base span in the table the field
-adds nothing. Extra columns are ignored.
+adds nothing. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,6 +33,8 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
 FEATURES = 1 << 12
+#: How sure the patterns are, as a log potential.
+OBSERVED = 12.0
 # The base patterns. An address is looked for from its at sign, so that long runs cost no more than their length.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,7 +42,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CUE = re.compile(r"[0-9@]")
-TOKEN = re.compile(r"[0-9@]\S*")
+TOKEN = re.compile(r"\+?[0-9@]\S*")
 SPACE = re.compile(r"\s")
 EDGES = ".,;:!?\"'()[]{}<>"
 
@@ -91,15 +97,25 @@ def tokens(text: str) -> list[tuple[int, int]]:
 
 def shape(token: str) -> str:
     """Runs of digits by their length, letters, and other characters as they are."""
-    token = token[:64].strip(EDGES[:6])
+    token = token.strip(EDGES[:6])
     token = re.sub(r"[^\W\d_]+", "a", token)
     return re.sub(r"[0-9]+", lambda m: f"<{min(len(m.group()), 20)}>", token)
 
 
 def key(token: str) -> str:
-    """Tokens with the same key resemble each other."""
+    """Tokens with the same key resemble each other: the name before an at sign, the last digits, else letters and digits."""
+    if "@" in token:
+        return token.strip(EDGES).partition("@")[0].lower() + "@"
     digits = re.sub(r"[^0-9]", "", token)
-    return f"d{digits[-7:]}" if len(digits) >= 7 and "@" not in token else token.strip(EDGES).lower()
+    return f"d{digits[-7:]}" if len(digits) >= 7 else f"d{digits}" if len(digits) > 3 and token.count(".") + token.count(":") == 3 else token.strip(EDGES + "+").lower()
+
+
+def sound(token: str) -> str:
+    """What can be said of a token's digits by counting: card numbers by their check digit, addresses by their parts."""
+    digits = re.sub(r"[^0-9]", "", token)
+    parts = token.strip(EDGES).split(".")
+    octets = len(parts) == 4 and all(p.isdigit() and len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+    return f"{luhn(digits) if 13 <= len(digits) <= 19 else '-'}{octets}"
 
 
 class Graph:
@@ -110,6 +126,7 @@ class Graph:
         for d, (text, places) in enumerate(zip(texts, found, strict=True)):
             shapes = [shape(text[a:b]) for a, b in places]
             before: dict[str, int] = {}
+            first: dict[str, int] = {}
             for i, (a, b) in enumerate(places):
                 at = len(self.spans)
                 near = i > 0 and a - places[i - 1][1] <= 3
@@ -117,14 +134,15 @@ class Graph:
                 if near:
                     chain.append((at - 1, at))
                 k = key(text[a:b])
-                if k in before:
-                    skip.append((before[k], at))
+                skip += [(x, at) for x in {before.get(k), first.get(k)} - {None}]
                 before[k] = at
-                names = (f"s{shapes[i]}", f"p{shapes[i - 1] if near else ''}|{shapes[i]}", f"n{shapes[i]}|{shapes[i + 1] if follows else ''}", f"@{'@' in text[a:b]}{text[a:b].count('.')}", f"#{sum(c.isdigit() for c in text[a : min(b, a + 64)])}", "bias")
+                first.setdefault(k, at)
+                word = text[max(0, a - 24) : a].split()
+                names = (f"s{shapes[i]}", f"p{shapes[i - 1] if near else ''}|{shapes[i]}", f"n{shapes[i]}|{shapes[i + 1] if follows else ''}", f"@{'@' in text[a:b]}{text[a:b].count('.')}{text[a] == '+'}", f"#{sum(map(str.isdigit, text[a:b]))}", f"v{sound(text[a:b])}", f"w{word[-1].lower() if word else ''}", "bias")
                 rows.append([zlib.crc32(x.encode()) % FEATURES for x in names])
                 self.document.append(d)
                 self.spans.append((a, b))
-        self.features = np.array(rows, np.int64).reshape(-1, 6)
+        self.features = np.array(rows, np.int64).reshape(-1, 8)
         self.edges = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip)]
 
 
@@ -134,9 +152,12 @@ class Field:
     def __init__(self, weights: np.ndarray, pairs: list[np.ndarray]):
         self.weights, self.pairs = weights, pairs
 
-    def marginals(self, graph: Graph, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-        """Loopy belief propagation, all messages at once."""
+    def marginals(self, graph: Graph, observed: np.ndarray | None = None, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
+        """Loopy belief propagation, all messages at once. observed: the label of each token that the patterns found, else 0."""
         unary = self.weights[graph.features].sum(axis=1)
+        if observed is not None:
+            known = np.flatnonzero(observed)
+            unary[known, observed[known]] += OBSERVED
         ends = np.concatenate([e for e in graph.edges] + [e[:, ::-1] for e in graph.edges])
         if len(ends):
             half = len(ends) // 2
@@ -168,58 +189,102 @@ def labels(graph: Graph, base: list[list[tuple[int, int, int]]]) -> np.ndarray:
     return out
 
 
+def otherwise(kind: int, mention: str) -> str:
+    """The same entity in a form that no pattern finds."""
+    name, at, domain = mention.partition("@")
+    forms = (name + at + domain.replace(".", "_"), mention.replace(".", ":"), f"{mention[:-4].rstrip(' -')}/{mention[-4:]}", mention.lstrip("+"))
+    return forms[kind]
+
+
+def spoilt(kind: int, mention: str) -> str:
+    """A mention with its last digit changed, so that it is no card number any more."""
+    return mention[:-1] + str((int(mention[-1]) + 1) % 10) if kind == 2 and mention[-1].isdigit() else otherwise(kind, mention)
+
+
+def lessons(texts: list[str]) -> Iterator[tuple[str, list[tuple[int, int, int]], bool]]:
+    """(text, labelled spans, whether single tokens are to be learnt from it) of each text and of its copies."""
+    for text in texts:
+        base = base_spans(text)
+        yield text, base, True
+        if not base:
+            continue
+        more, alone, spans = text + " ; ", "", list(base)
+        for kind, a, b in base[:6]:
+            form = otherwise(kind, text[a:b])
+            if form and CUE.search(form) and not base_spans(form):
+                spans.append((kind, len(more), len(more) + len(form)))
+                more += form + " and "
+            alone += f"number {spoilt(kind, text[a:b])} ; "
+        yield more, spans, False
+        yield alone, base_spans(alone), True
+
+
 def learn(texts: list[str], rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> Field | None:
-    base = [base_spans(t) for t in texts]
-    graph = Graph(texts, [tokens(t) for t in texts])
-    y = labels(graph, base)
+    taught = list(lessons(texts))
+    graph = Graph([t for t, _, _ in taught], [tokens(t) for t, _, _ in taught])
+    y = labels(graph, [spans for _, spans, _ in taught])
     if not y.any():
         return None
-    hot, weights, speed = np.eye(LABELS)[y], np.zeros((FEATURES, LABELS)), np.full((FEATURES, LABELS), 1e-6)
+    single = np.array([taught[d][2] for d in graph.document])
+    features, known = graph.features[single], y[single]
+    hot, weights, speed = np.eye(LABELS)[known], np.zeros((FEATURES, LABELS)), np.full((FEATURES, LABELS), 1e-6)
     for _ in range(rounds):
-        z = weights[graph.features].sum(axis=1)
+        z = weights[features].sum(axis=1)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p = p / p.sum(axis=1, keepdims=True) - hot
         step = decay * weights
-        for column in graph.features.T:
-            np.add.at(step, column, p / len(y))
+        for column in features.T:
+            np.add.at(step, column, p / len(known))
         speed += step**2
         weights -= rate * step / np.sqrt(speed)
+    # What a pair says beyond what is known of its ends: seen by the patterns, or from their features alone.
+    z = weights[graph.features].sum(axis=1)
+    ends = np.exp(z - z.max(axis=1, keepdims=True))
+    ends /= ends.sum(axis=1, keepdims=True)
+    seen = labels(graph, [base_spans(t) for t, _, _ in taught])
+    ends[seen > 0] = np.eye(LABELS)[seen[seen > 0]]
     pairs = []
     for e in graph.edges:
-        n = np.ones((LABELS, LABELS)) + 4 * np.eye(LABELS)
+        alone = ends[e[:, 0]].T @ ends[e[:, 1]] + 0.01
+        alone /= alone.sum()
+        n = 5 * alone
         np.add.at(n, (y[e[:, 0]], y[e[:, 1]]), 1)
-        joint = n / n.sum()
-        pairs.append(np.clip(np.log(joint / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0))), -3, 3))
+        pairs.append(np.clip(np.log(n / n.sum()) - np.log(alone), -6, 6))
     return Field(weights, pairs)
 
 
-def fit(docs: DataFrame, sample: int = 1500) -> Field | None:
-    """Learn from a bounded sample of docs (doc_id, text): those with the smallest hash of their id."""
+def fit(docs: DataFrame, sample: int = 1500, most: int = 40_000) -> Field | None:
+    """Learn from a bounded sample of docs (doc_id, text): those with the smallest hash of their id, `most` tokens of each kind of document."""
 
     def cues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [2 if base_spans(t) else 1 if CUE.search(t) else 0 for t in (x.as_py() for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], ["doc_id", "cue"])
+            texts = [x.as_py() for x in batch.column(1)]
+            found = [2 if base_spans(t) else 1 if CUE.search(t) else 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32()), pa.array([sum(1 for _ in TOKEN.finditer(t)) for t in texts], pa.int64())], ["doc_id", "cue", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     usable = docs.select("doc_id", "text").filter("text RLIKE '[0-9@]'")
-    cued = common.checkpoint(usable.mapInArrow(cues, f"doc_id {kind}, cue int"))
+    cued = common.checkpoint(usable.mapInArrow(cues, f"doc_id {kind}, cue int, n bigint").filter(F.col("n") <= most // 10))
     order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = cued.filter("cue = 2").orderBy(*order).limit(sample).unionByName(cued.filter("cue = 1").orderBy(*order).limit(sample))
-    picked = usable.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+
+    def drawn(cue: int) -> DataFrame:
+        rows = cued.filter(F.col("cue") == cue).orderBy(*order).limit(sample)  # few rows, of which the first are taken
+        return rows.withColumn("sum", F.sum("n").over(Window.orderBy(*order))).filter(F.col("sum") <= most).select("doc_id")
+
+    ids = drawn(2).unionByName(drawn(1)).distinct()
+    picked = usable.join(F.broadcast(ids), "doc_id", "left_semi")
 
     # Only stretches around tokens are kept of the sampled texts; what is between them carries no feature.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for t in (x.as_py() for x in batch.column(1)):
-                base = base_spans(t)
-                places = [(max(0, a - 40), b + 40) for a, b in tokens(t) if b - a <= 256][:400] if not base else [(max(0, a - 60), b + 60) for _, a, b in base][:400]
-                out.append(" \n\n\n ".join(t[a:b] for a, b in places))
+                places = [(a, b) for _, a, b in base_spans(t)] or tokens(t)
+                out.append(" \n\n\n ".join(t[max(0, a - 60) : b + 60] for a, b in places))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     rows = picked.mapInArrow(cut, f"doc_id {kind}, text string").collect()
-    return learn([r.text for r in sorted(rows, key=lambda r: str(r.doc_id))])
+    return learn([r.text for r in sorted(rows, key=lambda r: (str(r.doc_id), r.text))])
 
 
 def find(docs: DataFrame, field: Field | None, confidence: float = 0.9) -> DataFrame:
@@ -231,14 +296,19 @@ def find(docs: DataFrame, field: Field | None, confidence: float = 0.9) -> DataF
         graph = Graph(texts, [tokens(t) for t in texts])
         if shared.value is None or not graph.spans:
             return out
-        p = shared.value.marginals(graph)
-        for d, (a, b), label, sure in zip(graph.document, graph.spans, p.argmax(axis=1), p.max(axis=1), strict=True):
+        p = shared.value.marginals(graph, labels(graph, base))
+        best, sure = p.argmax(axis=1), p.max(axis=1) >= confidence
+        # Parts of a number that are likely enough go with a part that is sure.
+        for way in (graph.edges[0], graph.edges[0][::-1, ::-1]):
+            for i, j in way.tolist():
+                sure[j] |= sure[i] and best[i] == best[j] > 0 and p[j, best[j]] >= confidence / 2
+        for d, (a, b), label, taken in zip(graph.document, graph.spans, best, sure, strict=True):
             text = texts[d]
             while a < b and text[a] in EDGES:
                 a += 1
             while b > a and text[b - 1] in EDGES:
                 b -= 1
-            if not label or sure < confidence or a == b or any(x < b and a < y for _, x, y in base[d]):
+            if not label or not taken or a == b or any(x < b and a < y for _, x, y in base[d]):
                 continue
             last = out[d][-1] if out[d] else None
             if last and last[0] == label - 1 and a - last[2] <= 3:  # one number in several tokens
