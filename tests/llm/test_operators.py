@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline
+from brute import kneser_ney
 from gridway.llm import exact_dedup, language_id, minhash, mixing, nearest, packing, personal_data, quality, suffix_dedup, token_counts
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -310,41 +310,6 @@ def test_quality(spark):
     assert all(one[i].kept == (i < 200) for i in range(212))
 
 
-def kneser_ney(texts, order=4):
-    """Brute force: the probability of each character after order - 1 others, with characters that occur once as one."""
-    seen = Counter("".join(texts))
-    name = lambda c: c if seen[c] > 1 else "unknown"
-    grams = lambda t: [tuple((["^"] * (order - 1) + list(map(name, t)))[k : k + order]) for k in range(len(t))]
-    counts = {order: Counter(g for t in texts for g in grams(t))}
-    for n in range(order - 1, 0, -1):
-        counts[n] = Counter(g[1:] for g in counts[n + 1])
-    discount = {}
-    for n, c in counts.items():
-        m = Counter(c.values())
-        y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0.5
-        discount[n] = [0, *(min(max(k - (k + 1) * y * m[k + 1] / m[k] if m[k] else k * 0.5, 0.05), k - 0.05) for k in (1, 2, 3))]
-    size, total = len({c for c in seen if seen[c] > 1}) + 2, sum(counts[1].values())
-    cut = lambda n, c: discount[n][min(c, 3)]
-    back = sum(cut(1, c) for c in counts[1].values())
-    sums = {n: (Counter(), Counter()) for n in range(2, order + 1)}
-    for n in sums:
-        for g, c in counts[n].items():
-            sums[n][0][g[:-1]] += c
-            sums[n][1][g[:-1]] += cut(n, c)
-
-    def p(g):
-        if len(g) == 1:
-            c = counts[1][g]
-            return (c - cut(1, c) + back / size) / total if c else back / size / total
-        whole, taken = sums[len(g)]
-        if not whole[g[:-1]]:
-            return p(g[1:])
-        c = counts[len(g)][g]
-        return (c - cut(len(g), c) if c else 0) / whole[g[:-1]] + taken[g[:-1]] / whole[g[:-1]] * p(g[1:])
-
-    return lambda t: [p(g) for g in grams(t)]
-
-
 def test_perplexity_equals_brute_force(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 30))) + rng.choice("!?.ä") for _ in range(60)]
@@ -382,23 +347,3 @@ def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for found in (suffix_dedup.remove_repeats(empty), exact_dedup.dedup(empty), minhash.components(empty), packing.pack(empty), token_counts.count_tokens(empty), mixing.copies(empty), mixing.mix(empty), personal_data.find(empty, personal_data.fit(empty)), quality.judge(empty, labels), language_id.predict(empty, language_id.fit(empty))):
         assert found.count() == 0
-
-
-def test_pipeline(spark, corpus, tmp_path):
-    spark.createDataFrame(corpus, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    before = docs
-    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
-        after = stage(spark, before, str(tmp_path))
-        assert after.columns == docs.columns, name
-        after.write.parquet(str(tmp_path / f"stage{n}"))
-        after = spark.read.parquet(str(tmp_path / f"stage{n}"))
-        ids = {r.doc_id for r in after.select("doc_id").collect()}
-        if n == 1:
-            assert ids == {r.doc_id for r in exact_dedup.dedup(before).filter("kept").collect()}
-        if n == 2:
-            assert ids == {r.doc_id for r in minhash.components(before).filter("kept").collect()}
-        before = after
-    wanted = {(r.doc_id, r.piece, r.ids_crc32) for r in packing.pack(before).collect()}
-    assert {(r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == wanted
