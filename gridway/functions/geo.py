@@ -93,3 +93,22 @@ def swapped_right(lat: Column, lng: Column) -> tuple[Column, Column]:
     """Latitude and longitude in their right order; null where neither order lies within the nationwide bounds."""
     straight, crossed = within(lat, lng, NATIONWIDE), within(lng, lat, NATIONWIDE)
     return F.when(straight, lat).when(crossed, lng), F.when(straight, lng).when(crossed, lat)
+
+
+def beside(lat: Column, lng: Column, a_lat: Column, a_lng: Column, b_lat: Column, b_lng: Column, km: Column, side: Column) -> tuple[Column, Column]:
+    """A point so many kilometres beside a line at one of its points, across the course from a to b; side is 1 for left, -1 for right."""
+    narrow = F.cos(F.radians(lat))
+    dx, dy = (b_lng - a_lng) * narrow, b_lat - a_lat
+    length = F.sqrt(dx * dx + dy * dy)
+    length = F.when(length == 0, 1.0).otherwise(length)
+    degrees = km / (METRES_PER_DEGREE / 1000)
+    return lat + dx / length * side * degrees, lng - dy / length * side * degrees / narrow
+
+
+def around(lat: Column, lng: Column, from_lat: Column, from_lng: Column, to_lat: Column, to_lng: Column, km: float, side: Column) -> tuple[Column, Column]:
+    """A point so many kilometres from a blocked one, across the air line of a trip; side is -1 for west, 1 for east."""
+    narrow = F.cos(F.radians((from_lat + to_lat) / 2))
+    d_lat, d_lng = to_lat - from_lat, (to_lng - from_lng) * narrow
+    length = F.sqrt(d_lat * d_lat + d_lng * d_lng)
+    length = F.when(length == 0, 1.0).otherwise(length)
+    return lat - side * d_lng / length * km / 111, lng + side * d_lat / length * km / 111 / narrow

@@ -209,3 +209,64 @@ def loops(routes: DataFrame, close_m: float = 60.0, apart_km: float = 1.0, least
     island = F.col("i") - F.row_number().over(Window.partitionBy("route_id").orderBy("i"))
     runs = back.withColumn("island", island).groupBy("route_id", "island").agg(F.min("i").alias("first_i"), F.count("*").alias("samples"))
     return runs.filter(F.col("samples") >= least).select("route_id", "first_i", "samples")
+
+
+def detours(blocked: DataFrame, trips: DataFrame, km: float = 20.0, most: int = 3) -> DataFrame:
+    """(trip_id, n, side, lat, lng, detour_km): points west and east of a trip's first `most` blocked ones (trip_id, ord, lat, lng)."""
+    first = blocked.withColumn("n", F.row_number().over(Window.partitionBy("trip_id").orderBy("ord"))).filter(F.col("n") <= most)
+    moving = trips.filter((F.col("from_lat") != F.col("to_lat")) | (F.col("from_lng") != F.col("to_lng")))
+    rows = first.join(moving, "trip_id").withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
+    ends = [F.col(c) for c in ("from_lat", "from_lng", "to_lat", "to_lng")]
+    lat, lng = geo.around(F.col("lat"), F.col("lng"), *ends, km, F.col("side"))
+    at = rows.withColumns({"d_lat": lat, "d_lng": lng})
+    detour = geo.haversine_km(*ends[:2], F.col("d_lat"), F.col("d_lng")) + geo.haversine_km(*ends[2:], F.col("d_lat"), F.col("d_lng")) - geo.haversine_km(*ends)
+    return at.select("trip_id", "n", "side", F.col("d_lat").alias("lat"), F.col("d_lng").alias("lng"), geo.half_up(detour, 10).alias("detour_km"))
+
+
+def slices(routes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(slice_id, n, lat, lng): the stretch of a route between two kilometres (slice_id, route_id, from_km, to_km), ends included."""
+    ends = wanted.select("slice_id", "route_id", F.greatest(F.lit(0.0), F.least("from_km", "to_km")).alias("low"), F.greatest("from_km", "to_km").alias("high"))
+    met = segments(routes).filter("b_km > a_km").join(ends, "route_id").filter("b_km >= low AND a_km <= high")
+    along = Window.partitionBy("slice_id").orderBy("i")
+    part = lambda km: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(km) - F.col("a_km")) / (F.col("b_km") - F.col("a_km"))))
+    at = lambda t: F.struct((F.col("a_lat") + t * (F.col("b_lat") - F.col("a_lat"))).alias("lat"), (F.col("a_lng") + t * (F.col("b_lng") - F.col("a_lng"))).alias("lng"))
+    rows = met.withColumns({"k": F.row_number().over(along), "before": F.coalesce(F.max(F.col("b_km") >= F.col("high")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))}).filter(~F.col("before"))
+    points = F.when(F.col("k") == 1, F.array(at(part("low")), at(part("high")))).otherwise(F.array(at(part("high"))))
+    out = rows.select("slice_id", "k", F.posexplode(points).alias("e", "p"))
+    return out.select("slice_id", F.row_number().over(Window.partitionBy("slice_id").orderBy("k", "e")).alias("n"), "p.lat", "p.lng")
+
+
+def implausible(lines: DataFrame, most_km: float = 3.0) -> DataFrame:
+    """(obstacle_id, jumps): whether a line (obstacle_id, j, lat, lng) has a straight piece that is too long to be true."""
+    along = Window.partitionBy("obstacle_id").orderBy("j")
+    step = geo.haversine_km(F.lag("lat").over(along), F.lag("lng").over(along), F.col("lat"), F.col("lng"))
+    return lines.withColumn("step", step).groupBy("obstacle_id").agg(F.coalesce(F.max("step") > most_km, F.lit(False)).alias("jumps"))
+
+
+def middles(lines: DataFrame) -> DataFrame:
+    """(obstacle_id, lat, lng): the point in the middle of a line, by number."""
+    whole = Window.partitionBy("obstacle_id")
+    rows = lines.withColumns({"n": F.row_number().over(whole.orderBy("j")) - 1, "all": F.count("*").over(whole)})
+    return rows.filter(F.col("n") == F.floor(F.col("all") / 2)).select("obstacle_id", "lat", "lng")
+
+
+def route_keys(routes: DataFrame) -> DataFrame:
+    """(route_id, key): a hash over a route's points, rounded to five decimals."""
+    point = F.format_string("%.5f,%.5f", "lat", "lng")
+    points = F.transform(F.array_sort(F.collect_list(F.struct("i", point.alias("p")))), lambda x: x["p"])
+    return routes.groupBy("route_id").agg(F.sha1(F.array_join(points, ";").cast("binary")).alias("key"))
+
+
+def snapped(lines: DataFrame, pairs: DataFrame, routes: DataFrame, radius_m: float = 60.0) -> DataFrame:
+    """(obstacle_id, route_id, lat, lng): the route's point nearest to the line's point that is nearest to the route.
+
+    Only line points within radius_m of their route count; pairs without one are left out.
+    """
+    at = placed(lines.select("obstacle_id", "j", "lat", "lng").join(pairs.select("obstacle_id", "route_id").distinct(), "obstacle_id"), routes, radius_m, ["obstacle_id", "j"], ["lat", "lng"])
+    best = at.filter("dist_m IS NOT NULL").groupBy("obstacle_id", "route_id").agg(F.min_by(F.struct("lat", "lng", "km"), F.struct("dist_m", "j")).alias("p"))
+    # The nearest route point is an end of a segment close by: the candidates are those around the place along the route.
+    near_ends = segments(routes).select("route_id", "i", "a_lat", "a_lng", "b_lat", "b_lng", "a_km", "b_km").withColumn("slot", F.explode(F.sequence(F.floor("a_km") - 1, F.floor("b_km") + 1)))
+    met = best.select("obstacle_id", "route_id", F.col("p.lat").alias("p_lat"), F.col("p.lng").alias("p_lng"), F.floor("p.km").alias("slot")).join(near_ends, ["route_id", "slot"])
+    ends = met.withColumn("e", F.explode(F.array(F.struct("i", F.col("a_lat").alias("lat"), F.col("a_lng").alias("lng")), F.struct((F.col("i") + 1).alias("i"), F.col("b_lat").alias("lat"), F.col("b_lng").alias("lng")))))
+    away = geo.haversine_km(F.col("p_lat"), F.col("p_lng"), F.col("e.lat"), F.col("e.lng"))
+    return ends.groupBy("obstacle_id", "route_id").agg(F.min_by("e", F.struct(away, F.col("e.i"))).alias("e")).select("obstacle_id", "route_id", "e.lat", "e.lng")

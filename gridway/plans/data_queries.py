@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridway.functions import rules, text
 from gridway.operators import analytics, graph, ingest
 from gridway.plans import fixtures as fx
+from gridway.plans.rule_queries import KEY as FINDING_KEY
 from gridway.session import shared_folder
 from gridway.sources import sinks
 from gridway.streaming import beats
@@ -57,8 +58,13 @@ def next_feed(spark: SparkSession, d: str, keep: int = 10) -> DataFrame:
     return rows.withColumns({"externe_id": F.when(moved, F.concat(F.lit("n"), "externe_id")).otherwise(F.col("externe_id")), "lat": F.when(moved, F.col("lat") + 0.001).otherwise(F.col("lat"))})
 
 
-def next_feed_sql(keep: int = 10) -> str:
-    return f"nextfeed AS (SELECT * REPLACE (CASE WHEN ord % 19 = 2 THEN concat('n', externe_id) ELSE externe_id END AS externe_id, CASE WHEN ord % 19 = 2 THEN lat + 0.001::DOUBLE ELSE lat END AS lat) FROM obstacle WHERE ord % {keep} <> 3)"
+def fnv(x: str) -> str:
+    """The oracle's hash in base 36: over the codes of a text's characters."""
+    return f"lower(to_base(list_reduce(list_prepend(2166136261::BIGINT, [CAST(ascii(c) AS BIGINT) FOR c IN string_split({x}, '')]), lambda h, c: (xor(h, c) * 16777619) & 4294967295), 36))"
+
+
+def next_feed_sql(keep: int = 10, more: str = "true") -> str:
+    return f"nextfeed AS (SELECT * REPLACE (CASE WHEN ord % 19 = 2 THEN concat('n', externe_id) ELSE externe_id END AS externe_id, CASE WHEN ord % 19 = 2 THEN lat + 0.001::DOUBLE ELSE lat END AS lat) FROM obstacle WHERE ord % {keep} <> 3 AND {more})"
 
 
 PROFILE = "concat_ws('|', coalesce(CAST(restbreite_m AS VARCHAR), ''), coalesce(CAST(max_hoehe_m AS VARCHAR), ''), coalesce(CAST(max_breite_m AS VARCHAR), ''), coalesce(CAST(max_gewicht_t AS VARCHAR), ''), coalesce(CAST(vollsperrung AS VARCHAR), ''), coalesce(CAST(gesperrt_komplett AS VARCHAR), ''), coalesce(CAST(gst_sperre AS VARCHAR), ''))"
@@ -73,8 +79,8 @@ def upsert_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("exact_id IS NULL").select("ord", "target_id")
 
 
-def transition_sql(keep: int) -> str:
-    return f"""{fx.with_(fx.OBSTACLES, next_feed_sql(keep), MATCHED)}, ok AS (SELECT * FROM matched WHERE NOT ({BARE}) AND NOT ({LIVE_SQL})),
+def transition_sql(keep: int, more: str = "true") -> str:
+    return f"""{fx.with_(fx.OBSTACLES, next_feed_sql(keep, more), MATCHED)}, ok AS (SELECT * FROM matched WHERE NOT ({BARE}) AND NOT ({LIVE_SQL})),
     last AS (SELECT coalesce('o' || CAST(target_id AS VARCHAR), 'x' || externe_id) AS key, arg_max(target_id, ord) AS target_id, arg_max(gueltig_bis, ord) AS bis0, max(ord) AS ord FROM ok GROUP BY 1),
     seen AS (SELECT l.key, l.target_id, (SELECT gueltig_bis FROM ok WHERE ok.ord = l.ord) AS bis, o.aktiv FROM last l LEFT JOIN obstacle o ON o.obstacle_id = l.target_id),
     gone AS (SELECT obstacle_id FROM obstacle WHERE aktiv AND obstacle_id NOT IN (SELECT target_id FROM seen WHERE target_id IS NOT NULL)), c AS (SELECT (SELECT count(*) FROM obstacle WHERE aktiv) AS a, (SELECT count(*) FROM gone) AS g, (SELECT count(*) FROM seen) AS s)
@@ -231,6 +237,12 @@ SESSIONS = """beat AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts
 S360 = "WITH " + SESSIONS.format(m=360)
 LATEST = "lastrun AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) = 1)"
 
+#: What each notice says, by its number; the length and the second road are the documents' own.
+NOTICE_SQL = """SELECT doc_id, CASE k WHEN 0 THEN 3.25 END AS width_m, CASE k WHEN 1 THEN 3.8 END AS height_m, CAST(CASE k WHEN 5 THEN 120 ELSE doc_id * 7 % 90 END AS DOUBLE) AS length_m, CASE k WHEN 1 THEN 16 WHEN 3 THEN 12 END AS weight_t,
+    CASE k WHEN 0 THEN 'L123' WHEN 2 THEN 'A7' WHEN 3 THEN 'B96' ELSE 'B' || (doc_id % 80 + 1) END AS road, CASE k WHEN 0 THEN DATE '2026-04-03' WHEN 3 THEN DATE '2026-10-01' END AS valid_from, CASE k WHEN 0 THEN DATE '2026-05-17' WHEN 1 THEN DATE '2026-09-30' END AS valid_to,
+    k = 0 AS closed, k = 1 AS half_closed, k = 5 AS one_way, k = 5 AS dead_end, k = 0 AS diverted, k = 3 AS at_night FROM (SELECT doc_id, doc_id % 7 AS k FROM documents)"""
+
+
 QUERIES = {
     "validate_obstacles": lambda s, d: feed(s, d).select("ord", ingest.reason().alias("reason")).filter("reason IS NOT NULL"),
     "infra_filter": lambda s, d: fx.obstacles(s, d).filter(rules.infrastructure_only()).select("obstacle_id", "kategorie"),
@@ -350,6 +362,10 @@ ORACLES = {
     "csv_row": fx.with_(fx.FINDINGS) + """SELECT ord, concat_ws(';', CAST(route_id AS VARCHAR), CASE WHEN ord % 3 = 0 THEN chr(34) || titel || ';' || repeat(chr(34), 2) || 'x' || repeat(chr(34), 3) ELSE titel END,
         replace(printf('%.2f', km), '.', ',')) AS line FROM finding""",
     "folder_descendants": """WITH RECURSIVE up AS (SELECT s_suppkey AS node, s_suppkey AS ancestor, 0 AS depth FROM supplier UNION ALL SELECT node, (ancestor - 1) // 2, depth + 1 FROM up WHERE ancestor > 0) SELECT node, ancestor, depth FROM up""",
+    "fnv_hash": f"{O} SELECT obstacle_id, {fnv('name')} AS hash FROM obstacle",
+    "reconcile_guard": f"SELECT action, count(*) AS n FROM ({transition_sql(10, 'ord % 3 = 0')}) GROUP BY 1",
+    "hidden_excluded": f"{fx.with_(fx.FINDINGS)}, k AS (SELECT *, {FINDING_KEY} AS key FROM finding) SELECT kategorie, count(*) AS n FROM k WHERE key NOT IN (SELECT key FROM k WHERE ord % 31 = 4) GROUP BY 1",
+    "extract_notice": NOTICE_SQL,
     "chain_walk": CHAIN,
     "stream_sessions": STREAM_SESSIONS,
     "stream_sliding": STREAM_SLIDING,
