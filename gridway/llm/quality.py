@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,29 +54,16 @@ def ngrams(text: str, ids: np.ndarray) -> Iterator[np.ndarray]:
         yield keys
 
 
-def distinct(texts: Iterator[str | None], ids: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of some texts, ascending, and how often each occurs if counted."""
-    known, times, held, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
-
-    def settle() -> None:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        known.append(keys)
-        times.append(n)
-        held.clear()
-
+def distinct(texts: Iterator[str], ids: np.ndarray) -> np.ndarray:
+    """The distinct n-grams of some texts, ascending."""
+    known, held, size = np.zeros(0, np.int64), [], 0
     for text in texts:
-        for keys in ngrams(text or "", ids):
+        for keys in ngrams(text, ids):
             held.append(keys)
             size += len(keys)
             if size >= 4 * STRETCH:
-                settle()
-                size = 0
-    if held:
-        settle()
-    if not counted:
-        return np.unique(np.concatenate(known)), times[0]
-    keys, at = np.unique(np.concatenate(known), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate(times), len(keys)).astype(np.int64)
+                known, held, size = np.union1d(known, np.concatenate(held)), [], 0
+    return np.union1d(known, np.concatenate(held)) if held else known
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -96,18 +84,45 @@ def smoothed(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return alpha, sums.select(F.col("context").alias("key"), (F.col("back") / F.col("total")).alias("v"))
 
 
+def wide(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams that end at the characters of the text as pairs of numbers, two code points in each; a text starts with 0s."""
+    w = np.concatenate([np.zeros(ORDER - 1, np.int64), codes(text).astype(np.int64) + 1])
+    for at in range(0, len(w) - ORDER + 1, STRETCH):
+        part = w[at : at + STRETCH + ORDER - 1]
+        n = len(part) - ORDER + 1
+        yield part[:n] << 21 | part[1 : n + 1], part[2 : n + 2] << 21 | part[3 : n + 3]
+
+
 def train(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, dict[str, DataFrame], np.ndarray] | None:
-    """Ids by character, tables and unigrams of docs (doc_id, text) whose id is trusted (doc_id); None without any character."""
+    """Ids by character, tables and unigrams of docs (doc_id, text) whose id is trusted (doc_id); None without any character.
+
+    Texts are read once: their n-grams are counted by code points, and the characters' counts follow from those of n-grams.
+    """
     spark = docs.sparkSession
-    text = common.checkpoint(docs.join(trusted, "doc_id", "left_semi").filter("text IS NOT NULL").select("text").repartition(common.partitions(spark)))
+    maybe = common.may_contain(docs.filter("text IS NOT NULL").select("doc_id", "text"), common.id_filter(trusted, F.col("doc_id")), F.col("doc_id"))
+    text = maybe.join(trusted, "doc_id", "left_semi").select("text")
 
-    def count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype([("a", np.int64), ("b", np.int64)])
         for batch in batches:
-            for t in batch.column(0):
-                found, n = np.unique(codes(t.as_py()), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"code": found.astype(np.int64), "n": n.astype(np.int64)})
-
-    counted = text.mapInArrow(count_characters, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+            for start in range(0, batch.num_rows, 256):
+                held, size = [], 0
+                texts = batch.column(0).slice(start, 256)
+                for k, t in enumerate(texts):
+                    for x, y in wide(t.as_py()):
+                        pairs = np.empty(len(x), kind)
+                        pairs["a"], pairs["b"] = x, y
+                        held.append(pairs)
+                        size += len(x)
+                    if held and (size >= STRETCH or k == len(texts) - 1):
+                        one = np.concatenate(held)
+                        one = one[np.lexsort((one["b"], one["a"]))]
+                        at = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+                        yield pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(one["a"][at]), "b": np.ascontiguousarray(one["b"][at]), "n": np.diff(np.append(at, len(one))).astype(np.int64)})
+                        held, size = [], 0
+
+    grams = common.checkpoint(text.mapInArrow(count_wide, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    counted = grams.groupBy((F.col("b").bitwiseAND(F.lit((1 << 21) - 1)) - 1).alias("code")).agg(F.sum("n").alias("n"))
     known = counted.filter("n > 1").orderBy(F.desc("n"), "code").limit(MASK - 1).collect()  # at most 2 ** BITS characters
     if not known:
         return None
@@ -115,13 +130,17 @@ def train(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, dict[str, Da
     vocabulary[[r.code for r in known]] = np.arange(2, len(known) + 2)
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    def count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate([[START], shared.value]).astype(np.int64)
+        low = (1 << 21) - 1
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                keys, n = distinct((t.as_py() for t in batch.column(0).slice(start, 256)), shared.value, counted=True)
-                yield pa.RecordBatch.from_pydict({"key": keys, "n": n})
+            a, b = (batch.column(c).to_numpy() for c in (0, 1))
+            key = np.zeros(len(a), np.int64)
+            for part in (a >> 21, a & low, b >> 21, b & low):
+                key = key << BITS | ids[part]
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(2)], ["key", "n"])
 
-    counts = common.checkpoint(text.mapInArrow(count_ngrams, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    counts = common.checkpoint(grams.mapInArrow(named, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     tables = {}
     for n in range(ORDER, 1, -1):
         tables[f"alpha{n}"], tables[f"lambda{n - 1}"] = smoothed(counts)
@@ -158,9 +177,34 @@ def score(docs: DataFrame, trained) -> DataFrame:
     vocabulary, tables, unigram = trained
     shards = common.partitions(spark)
     names = spark.sparkContext.broadcast(vocabulary)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "lang", F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = rows.withColumn("batch", common.salt(max(shards, -(-size // BATCH_BYTES)), "doc_id", "hash")).groupBy("batch")
+    dealt = rows.withColumn("batch", common.salt(max(shards, -(-size // BATCH_BYTES)), "doc_id", "hash"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What goes from one task to a batch of documents, in one row, texts compressed together."""
+        pack = zstandard.ZstdCompressor(level=3)
+        for found in batches:
+            to = found.column("batch").to_numpy()
+            order = np.argsort(to, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0])) if len(to) else np.zeros(0, np.int64)
+            for a, b in zip(at, np.append(at[1:], len(to)), strict=True):
+                own = found.take(pa.array(order[a:b]))
+                texts = [t.encode() for t in own.column("text").to_pylist()]
+                listed = [pa.array([own.column(c).to_pylist()], pa.list_(found.schema.field(c).type)) for c in ("doc_id", "lang", "hash")]
+                sizes = pa.array([list(map(len, texts))], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([to[order[a]]], pa.int32()), *listed, sizes, pa.array([pack.compress(b"".join(texts))], pa.binary())], ["batch", "doc_id", "lang", "hash", "sizes", "texts"])
+
+    batches = dealt.mapInArrow(packed, f"batch int, doc_id array<{kind}>, lang array<string>, hash array<bigint>, sizes array<int>, texts binary").groupBy("batch")
+
+    def texts_of(table: pa.Table) -> Iterator[str]:
+        unpack = zstandard.ZstdDecompressor()
+        for sizes, blob in zip(table["sizes"].to_pylist(), table["texts"].to_pylist(), strict=True):
+            data, at = unpack.decompress(blob), 0
+            for n in sizes:
+                yield data[at : at + n].decode().strip()
+                at += n
 
     def told(*answers: DataFrame):
         """The messages to batches; without any, the same dealing, so that texts are dealt once."""
@@ -170,7 +214,7 @@ def score(docs: DataFrame, trained) -> DataFrame:
     def ask(table: pa.Table, _: pa.Table) -> pa.Table:
         out: list[list] = [[], []]
         if table.num_rows:
-            keys, _ = distinct((t.as_py().strip() for t in table["text"]), names.value)
+            keys = distinct(texts_of(table), names.value)
             shard = (keys ^ (keys >> BITS) * 31 ^ (keys >> 2 * BITS) * 17) % shards
             order = np.argsort(shard, kind="stable")
             at = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -208,16 +252,16 @@ def score(docs: DataFrame, trained) -> DataFrame:
             cost = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(c, np.float32) for c in answers["costs"].to_pylist())])
             order = np.argsort(keys)
             keys, cost = keys[order], cost[order].astype(float)
-            for t in table["text"]:
-                parts = list(ngrams(t.as_py().strip(), names.value))
+            for t in texts_of(table):
+                parts = list(ngrams(t, names.value))
                 n.append(sum(map(len, parts)))
                 nll.append(sum(float(cost[np.searchsorted(keys, p)].sum()) for p in parts))
-        return table.select(["doc_id", "lang", "hash"]).append_column("n", pa.array(n, pa.int64())).append_column("nll", pa.array(nll, pa.float64()))
+        own = [pc.list_flatten(table[c]) for c in ("doc_id", "lang", "hash")]
+        return pa.table([*own, pa.array(n, pa.int64()), pa.array(nll, pa.float64())], ["doc_id", "lang", "hash", "n", "nll"])
 
     asked = batches.cogroup(told()).applyInArrow(ask, "shard int, from int, keys binary")
     known = costs(asked.groupBy("shard").applyInArrow(gather, "shard int, key bigint"), tables, unigram)
     answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "to int, keys binary, costs binary")
-    kind = docs.schema["doc_id"].dataType.simpleString()
     return batches.cogroup(told(answers)).applyInArrow(add_up, f"doc_id {kind}, lang string, hash bigint, n bigint, nll double")
 
 
