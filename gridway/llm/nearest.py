@@ -7,7 +7,8 @@ product of their nearest axes, best sums first. Vectors and queries meet by the
 equal buckets only, and scored exactly in double precision; what all tables found is ranked once more.
 
 A sample of `sample` vectors, compared with all queries, gives each query a bound that its best `k` reach for certain;
-candidates below it need not leave their task. The sample itself is searched for neighbours like a bucket.
+candidates below it need not leave their task. Few tables go first and raise the bounds for the others, so that what leaves
+tasks does not grow with the buckets. The sample itself is searched for neighbours like a bucket.
 
 For inner products of vectors of unequal length, vectors are cut into bands of at most STEP powers of two of length. In
 each band one coordinate is added that gives all its vectors the length of its longest; it is 0 for queries, so their
@@ -21,6 +22,7 @@ gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 
@@ -29,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Vectors and queries that meet in one group.
 BLOCK, QUERIES = 4096, 2048
-#: Axes of one function that best-first probing considers.
-POOL = 24
+#: Axes of one function that best-first probing considers, and the parts of all tables at which a round ends.
+POOL, ROUNDS = 24, (1 / 32, 1 / 8, 1)
 #: Logarithms to base 2: how far the lengths of a band may differ, and the bins the bands are made of.
 STEP, BIN = 0.5, 1 / 16
 #: Bands of at most so many vectors for each wanted neighbour are met whole.
@@ -70,6 +74,12 @@ class Functions:
         turned = [rotated(np.eye(width), f)[: size + added, : self.axes] for f in range(tables * count)]
         self.matrix = np.concatenate(turned, axis=1)
 
+    def some(self, first: int, end: int) -> Functions:
+        """Those of the tables from first on, up to end."""
+        out = copy.copy(self)
+        out.tables, out.matrix = end - first, self.matrix[:, first * self.count * self.axes : end * self.count * self.axes]
+        return out
+
     def turned(self, x: np.ndarray) -> np.ndarray:
         """(row, table, function, signed axis) -> how near x lies to it."""
         y = (x @ self.matrix[: x.shape[1]]).reshape(len(x), self.tables, self.count, self.axes)
@@ -157,76 +167,88 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 32, p
     signed = 2 << (size - 1).bit_length()
     functions = Functions(size, int(uneven), tables, max(2, int(math.log(counts.max()) / math.log(signed))))
     parts = -(-int(counts.max()) // (signed * BLOCK))
+    spark = vectors.sparkSession
     seen = {r.vec_id: r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()}  # one of each id
-    shared = vectors.sparkSession.sparkContext.broadcast((functions, np.array(list(seen)), np.array(list(seen.values()))))
-
-    def bound(query: int, q: np.ndarray) -> float:
-        """A score that the k best of this query reach; a little less, as products of equal vectors differ in their last bits."""
-        _, found = best_of(*shared.value[1:], query, q, k)
-        return found[-1] - 1e-9 * abs(found[-1]) if len(found) == k else -np.inf
+    sampled = spark.sparkContext.broadcast((np.array(list(seen)), np.array(list(seen.values()))))
 
     def from_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for query, q in zip(batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, size), strict=True):
-                ids, score = best_of(*shared.value[1:], query, q, k)
+                ids, score = best_of(*sampled.value, query, q, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
     columns = ["t", "axis", "part", "asks", "vec_id", "least", "rest", "v"]
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        functions = shared.value[0]
-
-        def made(x: np.ndarray, ids: np.ndarray, least: np.ndarray, asks: bool, row: np.ndarray, t: np.ndarray, axis: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
-            """One row for each vector, table, axis and part, with all that it has to do with of the rest."""
-            part = rest % parts
-            order = np.lexsort((part, axis, t, row))
-            row, t, axis, part, rest = (z[order] for z in (row, t, axis, part, rest))
-            at = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(t) != 0) | (np.diff(axis) != 0) | (np.diff(part) != 0)])) if len(row) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)), pa.array(rest.astype(np.int64)))
-            v = pa.array([z.astype(narrow).tobytes() for z in x], pa.binary()).take(pa.array(row[at]))
-            numbers = [pa.array(z[at].astype(np.int32)) for z in (t, axis, part)]
-            return pa.RecordBatch.from_arrays([*numbers, pa.array(np.full(len(at), asks)), pa.array(ids[row[at]]), pa.array(least[row[at]]), lists, v], columns)
-
+    schema = "t int, axis int, part int, asks boolean, vec_id bigint, least double, rest array<bigint>, v binary"
+
+    def made(x: np.ndarray, ids: np.ndarray, least: np.ndarray | None, row: np.ndarray, t: np.ndarray, axis: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+        """One row for each vector, table, axis and part, with all that it has to do with of the rest; queries have a least score."""
+        part = rest % parts
+        order = np.lexsort((part, axis, t, row))
+        row, t, axis, part, rest = (z[order] for z in (row, t, axis, part, rest))
+        at = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(t) != 0) | (np.diff(axis) != 0) | (np.diff(part) != 0)])) if len(row) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)), pa.array(rest.astype(np.int64)))
+        v = pa.array([z.astype(narrow).tobytes() for z in x], pa.binary()).take(pa.array(row[at]))
+        numbers = [pa.array(z[at].astype(np.int32)) for z in (t, axis, part)]
+        reach = np.zeros(len(at)) if least is None else least[row[at]]
+        return pa.RecordBatch.from_arrays([*numbers, pa.array(np.full(len(at), least is not None)), pa.array(ids[row[at]]), pa.array(reach), lists, v], columns)
+
+    def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 piece = batch.slice(start, 512)
-                ids = piece.column(0).to_numpy()
-                x = piece.column(1).flatten().to_numpy().reshape(-1, size)
+                yield piece.column(0).to_numpy(), piece.column(1).flatten().to_numpy().reshape(-1, size), piece
+
+    def meeting(first: int, end: int, asking: DataFrame) -> DataFrame:
+        """Rows of vectors and of queries (vec_id, v, least) in the buckets of the tables from first to end."""
+        shared = spark.sparkContext.broadcast(functions.some(first, end))
+
+        def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own_functions = shared.value
+            for ids, x, _ in vectors_of(batches):
                 unit, length = directions(x)
                 band = np.minimum(np.searchsorted(tops, length - 1e-9), len(tops) - 1)
-                asks = np.flatnonzero(ids % every == 0)
-                least = np.zeros(len(ids))
-                least[asks] = [bound(ids[i], x[i]) for i in asks]
                 flat = np.zeros((len(x), size + int(uneven)))
                 flat[:, :size] = unit * np.exp2(np.minimum(length - tops[band], 0))[:, None]
                 if uneven:
                     flat[:, size] = np.sqrt(np.maximum(0, 1 - (flat**2).sum(axis=1)))
-                axis, rest = functions.buckets(flat)
+                axis, rest = own_functions.buckets(flat)
                 hashed = ~whole[band]
                 axis = axis + band[:, None] * 2 * functions.axes
                 own = np.broadcast_to(np.arange(len(x))[:, None], axis.shape)[hashed]
-                table = np.broadcast_to(np.arange(tables)[None, :], axis.shape)[hashed]
-                yield made(x, ids, least, False, own.ravel(), table.ravel(), axis[hashed].ravel(), rest[hashed].ravel())
-                first, rest = functions.probed(unit[asks], probes)
-                row = np.broadcast_to(asks[:, None, None], first.shape).ravel()
-                table = np.broadcast_to(np.arange(tables)[None, :, None], first.shape).ravel()
+                table = np.broadcast_to(np.arange(first, end)[None, :], axis.shape)[hashed]
+                yield made(x, ids, None, own.ravel(), table.ravel(), axis[hashed].ravel(), rest[hashed].ravel())
+                if not first and whole.any():
+                    own = np.flatnonzero(whole[band])
+                    zero = np.zeros(len(own), np.int64)
+                    yield made(x, ids, None, own, zero, zero - 1, zero)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, x, piece in vectors_of(batches):
+                # Products of equal vectors differ in their last bits.
+                least = piece.column(2).to_numpy(zero_copy_only=False)
+                least = least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0))
+                bucket, rest = shared.value.probed(directions(x)[0], probes)
+                row = np.broadcast_to(np.arange(len(x))[:, None, None], bucket.shape).ravel()
+                table = np.broadcast_to(np.arange(first, end)[None, :, None], bucket.shape).ravel()
                 for b in np.flatnonzero(~whole).tolist():
-                    yield made(x, ids, least, True, row, table, first.ravel() + b * 2 * functions.axes, rest.ravel())
-                if whole.any():
-                    for is_query, own in ((False, np.flatnonzero(whole[band])), (True, asks)):
-                        zero = np.zeros(len(own), np.int64)
-                        yield made(x, ids, least, is_query, own, zero, zero - 1, zero)
-
-    posted = rows.mapInArrow(post, "t int, axis int, part int, asks boolean, vec_id bigint, least double, rest array<bigint>, v binary")
-    # Where many vectors or queries share an axis and part, both are cut, and each piece meets each.
+                    yield made(x, ids, least, row, table, bucket.ravel() + b * 2 * functions.axes, rest.ravel())
+                if not first and whole.any():
+                    zero = np.zeros(len(x), np.int64)
+                    yield made(x, ids, least, np.arange(len(x)), zero, zero - 1, zero)
+
+        return rows.mapInArrow(post, schema).unionByName(asking.select("vec_id", "v", "least").mapInArrow(ask, schema))
+
     key = ["t", "axis", "part"]
-    sums = posted.groupBy(*key).agg(F.ceil(F.count_if(~F.col("asks")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("asks") / QUERIES).cast("int").alias("pieces"))
-    cut = posted.join(sums.filter("blocks > 1 OR pieces > 1"), key, "left").fillna(1, ["blocks", "pieces"])
     place = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = cut.filter("NOT asks").withColumn("block", place("blocks")).withColumn("piece", every_one("pieces"))
-    asked = cut.filter("asks").withColumn("piece", place("pieces")).withColumn("block", every_one("blocks"))
-    meeting = base.unionByName(asked).select(*columns, "block", "piece")
+
+    def dealt(posted: DataFrame) -> DataFrame:
+        """Where many vectors or queries share an axis and part, both are cut, and each piece meets each."""
+        sums = posted.groupBy(*key).agg(F.ceil(F.count_if(~F.col("asks")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("asks") / QUERIES).cast("int").alias("pieces"))
+        cut = posted.join(sums.filter("blocks > 1 OR pieces > 1"), key, "left").fillna(1, ["blocks", "pieces"])
+        base = cut.filter("NOT asks").withColumn("block", place("blocks")).withColumn("piece", every_one("pieces"))
+        asked = cut.filter("asks").withColumn("piece", place("pieces")).withColumn("block", every_one("blocks"))
+        return base.unionByName(asked).select(*columns, "block", "piece")
 
     def meet(table: pa.Table) -> pa.Table:
         is_query = table["asks"].to_numpy()
@@ -256,10 +278,23 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 32, p
         return pa.table({"query_id": ids[queries[rank < k]], "vec_id": ids[found[rank < k]], "score": exact[rank < k]})
 
     scored = "query_id bigint, vec_id bigint, score double"
-    found = meeting.groupBy(*key, "block", "piece").applyInArrow(meet, scored).unionByName(rows.filter(F.col("vec_id") % every == 0).mapInArrow(from_sample, scored))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return one.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
+
+    queries = rows.filter(F.col("vec_id") % every == 0)
+    best, first = common.checkpoint(ranked(queries.mapInArrow(from_sample, scored))), 0
+    for part in ROUNDS:
+        end = max(first + 1, round(tables * part))
+        if first >= tables:
+            break
+        least = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") == k, F.col("score")).alias("least"))
+        asking = queries.join(least, "vec_id", "left").fillna(float("-inf"), ["least"])
+        found = dealt(meeting(first, min(end, tables), asking)).groupBy(*key, "block", "piece").applyInArrow(meet, scored)
+        best, first = common.checkpoint(ranked(best.select("query_id", "vec_id", "score").unionByName(found))), end
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
