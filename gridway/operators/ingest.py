@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridway.functions import geo, rules, text
+from gridway.session import checkpoint
 
 # Categories a feed may use, and how far an item may have moved to be the same obstacle.
 CATEGORIES = ("bruecke", "engstelle", "baustelle", "sperrung", "gewicht", "bahnuebergang", "kreisverkehr", "ampel", "steigung", "tunnel", "sonstige")
@@ -121,7 +122,7 @@ def transition(items: DataFrame, existing: DataFrame, today: Column, full: bool
     matched = match(accepted(items), existing)
     last = matched.groupBy(F.coalesce(F.concat(F.lit("o"), F.col("target_id").cast("string")), F.concat(F.lit("x"), "externe_id")).alias("key")).agg(F.max_by(F.struct("target_id", "gueltig_bis"), "ord").alias("last"))
     state = existing.select("obstacle_id", "aktiv")
-    seen = last.select("key", "last.*").join(state, F.col("target_id") == F.col("obstacle_id"), "left").persist()
+    seen = checkpoint(last.select("key", "last.*").join(state, F.col("target_id") == F.col("obstacle_id"), "left"))  # read four times
     alive = F.coalesce(F.col("gueltig_bis") >= F.date_sub(today, GRACE_DAYS), F.lit(True))
     action = F.when(F.col("target_id").isNull(), "insert").when(F.lit(full) & ~F.col("aktiv") & alive, "reactivate").otherwise("update")
     changed = seen.select("key", action.alias("action"))
