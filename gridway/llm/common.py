@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridway.session import checkpoint, shared_folder
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,29 +19,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a folder of our own only where it is unset and all runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="gridway-checkpoint-")
-    return found
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one."""
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared(df.sparkSession))
-    return df.checkpoint()
-
-
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df, checkpointed, in as many partitions as its rows fill: small tables then don't shuffle through many tiny files."""
     kept = checkpoint(df)

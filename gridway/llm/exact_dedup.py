@@ -54,7 +54,7 @@ def marked(runs: DataFrame) -> DataFrame:
 def build_index(rows: DataFrame, keep: str = "largest", runs: int = RUNS, fanin: int = FANIN) -> DataFrame:
     """(digest, keep_id, n) for each digest of rows (doc_id, digest)."""
     best = {"largest": F.max, "smallest": F.min}[keep]
-    folder = common.folder(rows.sparkSession, "exact-dedup")
+    folder = common.shared_folder(rows.sparkSession, "exact-dedup")
     flushed = rows.groupBy(common.salt(runs, "doc_id").alias("run"), "digest").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n"))
     level = marked(written(flushed, f"{folder}/0"))
     level = written(level, f"{folder}/0-marked") if runs > 1 else level.withColumn("hit", F.lit(False))
