@@ -100,7 +100,7 @@ def train(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, dict[str, Da
     """
     spark = docs.sparkSession
     maybe = common.may_contain(docs.filter("text IS NOT NULL").select("doc_id", "text"), common.id_filter(trusted, F.col("doc_id")), F.col("doc_id"))
-    text = maybe.join(trusted, "doc_id", "left_semi").select("text")
+    text = maybe.join(trusted.distinct(), "doc_id").select("text")  # a semi join would be moved before the filter
 
     def count_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.dtype([("a", np.int64), ("b", np.int64)])
