@@ -220,7 +220,8 @@ def across(docs: DataFrame, nodes: DataFrame, lists: DataFrame, percent: int, co
                 yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "sets"]).filter(pc.greater(pc.binary_length(sets), 0))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = texts.join(member.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(spread, f"doc_id {kind}, sets binary")
+    # An inner join stays behind the filter; a semi join would be moved before it.
+    sets = texts.join(member.select("doc_id").distinct(), "doc_id").select("doc_id", "text").mapInArrow(spread, f"doc_id {kind}, sets binary")
     rows = member.drop("n_shingles").join(cuts, "family").join(sets, "doc_id")
     dealt = rows.withColumns({"i": F.pmod(F.xxhash64("doc_id"), F.col("lefts")).cast("int"), "j": F.pmod(F.xxhash64("doc_id"), F.col("rights")).cast("int")})
     carried = ("doc_id", "component", "signature", "sets")
