@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, exact_dedup, language_id, minhash, mixing, nearest, packing, personal_data, quality, suffix_dedup, token_counts
+from . import centroids, divergence, exact_dedup, language_id, minhash, mixing, nearest, packing, personal_data, quality, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
-ORACLES = {**exact_dedup.ORACLE, **centroids.ORACLE}
+ORACLES = {**exact_dedup.ORACLE, **centroids.ORACLE, **divergence.ORACLE}
