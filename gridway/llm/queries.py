@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, divergence, exact_dedup, language_id, minhash, mixing, nearest, packing, personal_data, quality, suffix_dedup, token_counts
+from . import centroids, divergence, exact_dedup, language_id, minhash, mixing, nearest, packing, personal_data, quality, secrets, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_centroid_clustering": centroids.op11_centroid_clustering,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 ORACLES = {**exact_dedup.ORACLE, **centroids.ORACLE, **divergence.ORACLE}
