@@ -255,8 +255,9 @@ def partials(kept: DataFrame, groups: DataFrame, shares: int, smooth: int, digit
     return dealt.mapInArrow(scan, "lang string, part string, source string, item binary, value bigint")
 
 
-def audit(docs: DataFrame, least: int = 30, smooth: int = 5, unit_digits: int = 9, top: int = 50, share_rows: int = 1_000_000) -> DataFrame:
-    """(lang, source, part, item, value, rank) over rows (text, lang, source)."""
+def audit(docs: DataFrame, least: int = 30, smooth: int = 5, unit_digits: int = 9, top: int = 50, share_rows: int = 100_000) -> DataFrame:
+    """(lang, source, part, item, value, rank) over rows (text, lang, source). A share of the terms has `share_rows` rows, or as many as
+    there are pairs, so that partial sums are no more than the counts that they come from."""
     kept = common.checkpoint(scanned(counted(docs), least))
     term = F.length("term") > 0
     by_group = kept.groupBy("lang", "source").agg(F.coalesce(F.sum(F.when(term, F.col("n"))), F.lit(0)).alias("total"))
@@ -265,7 +266,8 @@ def audit(docs: DataFrame, least: int = 30, smooth: int = 5, unit_digits: int =
     place = (F.row_number().over(order) - 1).cast("int")
     numbered = by_group.withColumns({"block": F.floor(place / BLOCK).cast("int"), "blocks": F.ceil(F.count("*").over(every) / BLOCK).cast("int")})
     groups = common.checkpoint(numbered.join(by_lang, "lang", "left").fillna(0, ["lang_total", "v"]))
-    shares = max(common.partitions(docs.sparkSession), -(-kept.count() // share_rows))
+    pairs = groups.groupBy("lang").agg((F.count("*") * F.count("*")).alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).first().pairs
+    shares = -(-kept.count() // max(share_rows, pairs)) or 1
     found = common.checkpoint(partials(kept, groups, shares, smooth, unit_digits, top))
     pairs = found.filter("part = 'pair'").groupBy("lang", "part", "source", "item").agg(F.sum("value").alias("value"))
     both = pairs.unionByName(pairs.select("lang", "part", F.col("item").cast("string").alias("source"), F.col("source").cast("binary").alias("item"), "value"))

@@ -67,6 +67,14 @@ def test_matches_plain_integers(spark, monkeypatch, block, entries, shares):
         assert sorted(map(tuple, found.collect())) == wanted
 
 
+def test_shares_follow_the_counts(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(divergence, "partials", lambda kept, groups, shares, *rest, f=divergence.partials: held.append(shares) or f(kept, groups, 7, *rest))
+    data = made()
+    assert sorted(map(tuple, divergence.audit(spark.createDataFrame(data, SCHEMA), least=12, share_rows=20).collect())) == brute(data, 12)
+    assert 1 <= held[0] <= 20
+
+
 def test_only_the_best_terms_are_ranked(spark):
     rng, words = random.Random(9), [f"t{a}{b}{c}" for a in "abcdefghij" for b in "abcdefghijklmn" for c in "abcdefghijkl"]
     data = [(k, " ".join(rng.choices(words, k=200)), "en", "a" if k % 2 else "b") for k in range(60)]
