@@ -17,16 +17,22 @@ DRIFT_LAT, DRIFT_LNG = 0.003, 0.0045
 GUARD_ROWS, GUARD_SHARE = 50, 0.4
 GRACE_DAYS = 7
 PROFILE = ("restbreite_m", "max_hoehe_m", "max_breite_m", "max_gewicht_t", "vollsperrung", "gesperrt_komplett", "gst_sperre")
-# Words of messages about the moment, without umlauts. The first always tell; the second only where nothing
-# speaks of works. Where three words stand in one entry, any of the middle ones may.
-LIVE_ALWAYS = ("gefahr durch", "liegengeblieb", "liegen geblieb", "bergung", "geborgen", "rettungseinsatz", "rettungsdienst", "umgesturzt", "umgekippte", "olspur", "verlorene ladung", "verloren ladung", "gegenstand auf der fahrbahn", "hindernis auf der fahrbahn", "tier auf der", "tiere auf der", "falschfahrer", "geisterfahrer", "aquaplaning", "glatteis", "witterungsbedingt", "fahrzeugbrand", "in brand geraten", "lkw-brand", "pkw-brand", "notfallumfahr", "notfall-umfahr")
-LIVE_SLIPPERY, LIVE_WORDS = "glätte", ("panne",)  # the first with its umlaut
+# What messages about the moment say; what they say that notices of works may say as well; and what works say.
+LIVE_ALWAYS = (
+    "gefahr durch", "liegengeblieb", "liegen geblieb", "bergung", "geborgen", "rettungseinsatz", "rettungsdienst", "umgestürzt", "umgekippte", "ölspur", "verloren ladung",
+    "verlorene ladung", "gegenstand auf der fahrbahn", "hindernis auf der fahrbahn", "tier auf der", "tiere auf der", "falschfahrer", "geisterfahrer", "aquaplaning", "glätte", "glatteis",
+    "witterungsbedingt", "fahrzeugbrand", "in brand geraten", "lkw-brand", "pkw-brand", "notfallumfahr", "notfall-umfahr",
+)
+LIVE_ALWAYS_WORDS = ("panne",)
 BROKEN, VEHICLES = ("defekte", "defekten", "defektes"), ("pkw", "lkw", "kfz", "fahrzeug", "lastwagen", "transporter", "ampel")
-BURNING, BURNT = ("brennender", "brennendes", "brennende"), ("pkw", "lkw", "fahrzeug")
-DETOURS = ("ortskundige", "weitraumig", "grossraumig")
-LIVE_MAYBE = ("strassenschaden", "fahrbahnschaden")
+BURNING, BURNT = ("brennende", "brennender", "brennendes"), ("pkw", "lkw", "fahrzeug")
+DETOURS = ("ortskundige", "weiträumig", "großräumig", "grossräumig")
+LIVE_MAYBE = ("straßenschäden", "straßenschaden", "strassenschäden", "strassenschaden", "fahrbahnschäden", "fahrbahnschaden")
 LIVE_MAYBE_STARTS, LIVE_MAYBE_WORDS = ("unfall", "defekt"), ("stau",)
-WORKS = ("baustelle", "bauarbeit", "baumassnahme", "sanierung", "erneuerung", "bauphase", "instandsetzung", "instandhaltung", "unterhaltung", "beseitigung", "leitung", "sondernutzung", "strassenbau", "fahrbahnerhalt", "deckenbau", "fahrbahndecke", "brucke", "gultig", "zeitraum dieser", "umleitung", "sperrung wegen", "vollsperrung", "halbseitig", "markierung")
+WORKS = (
+    "baustelle", "bauarbeit", "baumaßnahme", "baumassnahme", "sanierung", "erneuerung", "bauphase", "instandsetzung", "instandhaltung", "unterhaltung", "beseitigung", "leitung", "sondernutzung",
+    "straßenbau", "strassenbau", "fahrbahnerhalt", "deckenbau", "fahrbahndecke", "brücke", "gültig", "zeitraum dieser", "umleitung", "sperrung wegen", "vollsperrung", "halbseitig", "markierung",
+)
 
 
 def reason() -> Column:
@@ -44,17 +50,13 @@ def reason() -> Column:
 
 def live_message() -> Column:
     """Messages about the traffic of the moment, not about the road."""
-    plain = F.concat_ws(" ", "name", "beschreibung")
-    said = text.folded(plain)
-    words = F.split(said, "[^a-z0-9_]+")
-    holds = lambda parts: text.any_of(parts, lambda w: F.contains(said, w))
-    has_word = lambda own: F.arrays_overlap(words, F.array(*map(F.lit, own)))
-    pairs = lambda first, second: holds(tuple(f"{a} {b}" for a in first for b in second))
-    # A detour is one for those who know the place if its word comes within twenty characters, in the same sentence.
-    rounds = text.any_of(DETOURS, lambda w: F.substring(F.regexp_extract(F.call_function("substring", said, F.nullif(F.position(w, said), F.lit(0)) + F.length(w)), r"^([^.]*)", 1), 1, 20 + len("umfahr")).contains("umfahr"))
-    always = holds(LIVE_ALWAYS) | F.lower(plain).contains(LIVE_SLIPPERY) | has_word(LIVE_WORDS) | pairs(BROKEN, VEHICLES) | pairs(BURNING, BURNT) | F.coalesce(rounds, F.lit(False))
-    maybe = holds(LIVE_MAYBE) | has_word(LIVE_MAYBE_WORDS) | F.exists(words, lambda t: text.any_of(LIVE_MAYBE_STARTS, lambda w: F.startswith(t, w)))
-    return always | (maybe & ~holds(WORKS))
+    said = F.lower(F.concat_ws(" ", "name", "beschreibung"))
+    pairs = [f"(?:{text.either(first)}) (?:{text.either(second)})" for first, second in ((BROKEN, VEHICLES), (BURNING, BURNT))]
+    # A detour is one for those who know the place if it comes within twenty characters, in the same sentence.
+    detour = f"(?:{text.either(DETOURS)})[^.]{{0,20}}umfahr"
+    always = "|".join([text.either(LIVE_ALWAYS), text.words(LIVE_ALWAYS_WORDS), *pairs, detour])
+    maybe = "|".join([text.either(LIVE_MAYBE), text.words(LIVE_MAYBE_STARTS, whole=False), text.words(LIVE_MAYBE_WORDS)])
+    return said.rlike(always) | (said.rlike(maybe) & ~said.rlike(text.either(WORKS)))
 
 
 def accepted(items: DataFrame) -> DataFrame:
