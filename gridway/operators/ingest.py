@@ -70,17 +70,49 @@ def profile() -> Column:
 
 def group_key() -> Column:
     """Category, name and place to about a hundred metres."""
-    thousandths = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("string")
-    return F.concat_ws("|", F.coalesce("kategorie", F.lit("")), text.norm_name(F.col("name")), F.concat_ws(",", thousandths("lat"), thousandths("lng")))
+    at = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.format_string("%.3f,%.3f", "lat", "lng")).otherwise("?")
+    return F.concat_ws("|", F.coalesce("kategorie", F.lit("")), text.norm_name(F.col("name")), at)
+
+
+# Limits of which a group has the least or the most, and its flags.
+LEAST = ("restbreite_m", "max_hoehe_m", "max_breite_m", "max_gewicht_t", "max_achslast_t", "max_laenge_m", "spuren_frei")
+MOST = ("spuren_gesperrt", "sperrlaenge_m", "radius_m")
+FLAGS = ("vollsperrung", "gesperrt_komplett", "gst_sperre", "gst_route", "halbseitig", "havarie", "sackgasse", "einbahn", "verengt")
+ATTRIBUTES = ("steigung_pct", "verkehrsverbot_t", "richtung", "sperrung_art")
 
 
 def group_duplicates(items: DataFrame) -> DataFrame:
-    """One row per group: the tightest limits, any flag, the longest validity, the first of the rest."""
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c)
-    least = [F.min(c).alias(c) for c in ("restbreite_m", "max_hoehe_m", "max_breite_m", "max_gewicht_t", "max_laenge_m")]
-    anyof = [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("vollsperrung", "gesperrt_komplett", "gst_sperre")]
-    keyed = items.withColumn("group_key", group_key())
-    return keyed.groupBy("group_key").agg(F.count("*").alias("members"), first("kategorie"), first("name"), first("lat"), first("lng"), *least, *anyof, F.min("gueltig_von").alias("gueltig_von"), F.max("gueltig_bis").alias("gueltig_bis"))
+    """items with one row for those of a source that share category, name, place and profile, and members.
+
+    Such a row has the tightest limits, flags that any member sets, the longest validity (which also is its start), the first
+    description and attributes that are there, all lines one after the other, and for the rest what its first member has. Its
+    externe_id comes from the group's key, so that it is the same in every run; where a place has several profiles (phases of works),
+    each keeps its own limits and has its profile in the id. Items alone and without a name stay as they are.
+    """
+    named = F.trim(F.coalesce("name", F.lit(""))) != ""
+    keyed = items.filter(named).withColumns({"__key": group_key(), "__profile": profile()})
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
+    how = {c: F.min(c) for c in LEAST} | {c: F.max(c) for c in MOST} | {c: F.coalesce(F.max(F.when(F.col(c), True)), F.lit(None)) for c in FLAGS} | {c: first(c) for c in ATTRIBUTES}
+    how |= {"gueltig_von": F.min("gueltig_von"), "gueltig_bis": F.max("gueltig_bis"), "ord": F.min("ord")}
+    if "beschreibung" in items.columns:
+        how["beschreibung"] = F.min_by("beschreibung", F.when(F.trim("beschreibung") != "", F.col("ord")))
+    if "realer_start" in items.columns:
+        how["realer_start"] = F.coalesce(F.min("gueltig_von"), F.min_by("realer_start", "ord"))
+    if "lines" in items.columns:
+        how["lines"] = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("lines").isNotNull(), F.struct("ord", "lines")))), lambda x: x["lines"]))
+    rest = [c for c in items.columns if c not in how and c != "source_id"]
+    # The first member's own values, missing ones too; a group of one keeps all of them.
+    whole = F.min_by(F.struct(*items.columns), "ord").alias("__first")
+    merged = [f.alias(f"__{c}") for c, f in how.items() if c in items.columns and c != "ord"]
+    groups = keyed.groupBy("source_id", "__key", "__profile").agg(whole, *merged, F.count("*").alias("members"))
+    place = Window.partitionBy("source_id", "__key")
+    groups = groups.withColumns({"__phases": F.count("*").over(place), "__all": F.sum("members").over(place)})
+    lone = F.col("__all") == 1
+    ident = F.concat(F.lit("dup#"), text.fnv_base36(F.col("__key")), F.when(F.col("__phases") > 1, F.concat(F.lit("@"), text.fnv_base36(F.col("__profile")))).otherwise(""))
+    kept = {c: F.when(lone, F.col(f"__first.{c}")).otherwise(F.col(f"__{c}")) for c in how if c in items.columns and c != "ord"} | {c: F.col(f"__first.{c}") for c in (*rest, "ord") if c in items.columns}
+    kept["externe_id"] = F.when(lone, F.col("__first.externe_id")).otherwise(ident)
+    out = groups.select("source_id", *(kept[c].alias(c) for c in items.columns if c != "source_id"), "members")
+    return out.unionByName(items.filter(~named).withColumn("members", F.lit(1).cast("long"))).select(*items.columns, "members")
 
 
 def merge_segments(items: DataFrame) -> DataFrame:
@@ -99,44 +131,21 @@ def lowest_per_cell(points: DataFrame, degrees: float = 0.0003) -> DataFrame:
 
 
 def match(items: DataFrame, existing: DataFrame) -> DataFrame:
-    """items with target_id: the row with their externe_id, else the nearest active one that drifted; null for new ones.
+    """items with target_id: their source's row with their externe_id, else its nearest active one that drifted; null for new ones.
 
-    Drift is an equi-join on category, name, profile and grid cell; the box decides.
+    exact_id and exact_active tell of the former. Drift is an equi-join on source, category, name, profile and grid cell; the box decides.
     """
-    exact = existing.select("externe_id", F.col("obstacle_id").alias("exact_id"))
-    left = items.join(exact, "externe_id", "left")
+    exact = existing.select("source_id", "externe_id", F.col("obstacle_id").alias("exact_id"), F.col("aktiv").alias("exact_active"))
+    left = items.join(exact, ["source_id", "externe_id"], "left")
     cell = lambda c, size: F.floor(F.col(c) / size)
     key = lambda df: df.withColumns({"name_key": text.norm_name(F.col("name")), "profile": profile()})
-    open_items = key(left.filter("exact_id IS NULL")).select("ord", "kategorie", "name_key", "profile", "lat", "lng")
+    open_items = key(left.filter("exact_id IS NULL")).select("source_id", "ord", "kategorie", "name_key", "profile", "lat", "lng")
     around = open_items.withColumn("cx", F.explode(F.sequence(cell("lng", DRIFT_LNG) - 1, cell("lng", DRIFT_LNG) + 1))).withColumn("cy", F.explode(F.sequence(cell("lat", DRIFT_LAT) - 1, cell("lat", DRIFT_LAT) + 1)))
-    there = key(existing.filter("aktiv")).select("kategorie", "name_key", "profile", F.col("obstacle_id").alias("near_id"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), cell("lng", DRIFT_LNG).alias("cx"), cell("lat", DRIFT_LAT).alias("cy"))
+    there = key(existing.filter("aktiv")).select("source_id", "kategorie", "name_key", "profile", F.col("obstacle_id").alias("near_id"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), cell("lng", DRIFT_LNG).alias("cx"), cell("lat", DRIFT_LAT).alias("cy"))
     d_lat, d_lng = F.col("lat") - F.col("o_lat"), F.col("lng") - F.col("o_lng")
-    close = around.join(there, ["kategorie", "name_key", "profile", "cx", "cy"]).filter((F.abs(d_lat) <= DRIFT_LAT) & (F.abs(d_lng) <= DRIFT_LNG))
-    nearest = close.groupBy("ord").agg(F.min(F.struct((d_lat * d_lat + d_lng * d_lng).alias("d"), "near_id"))["near_id"].alias("near_id"))
-    return left.join(nearest, "ord", "left").withColumn("target_id", F.coalesce("exact_id", "near_id")).drop("near_id")
-
-
-def transition(items: DataFrame, existing: DataFrame, today: Column, full: bool = True) -> DataFrame:
-    """(key, action) of one feed: update or reactivate for matched rows, insert for new ids, deactivate for rows the feed lacks.
-
-    A full feed that would deactivate more than GUARD_SHARE of at least GUARD_ROWS active rows deactivates none.
-    """
-    matched = match(accepted(items), existing)
-    last = matched.groupBy(F.coalesce(F.concat(F.lit("o"), F.col("target_id").cast("string")), F.concat(F.lit("x"), "externe_id")).alias("key")).agg(F.max_by(F.struct("target_id", "gueltig_bis"), "ord").alias("last"))
-    state = existing.select("obstacle_id", "aktiv")
-    seen = checkpoint(last.select("key", "last.*").join(state, F.col("target_id") == F.col("obstacle_id"), "left"))  # read four times
-    alive = F.coalesce(F.col("gueltig_bis") >= F.date_sub(today, GRACE_DAYS), F.lit(True))
-    action = F.when(F.col("target_id").isNull(), "insert").when(F.lit(full) & ~F.col("aktiv") & alive, "reactivate").otherwise("update")
-    changed = seen.select("key", action.alias("action"))
-    if not full:
-        return changed
-    ids = seen.filter("target_id IS NOT NULL").select(F.col("target_id").alias("obstacle_id"))
-    active = existing.filter("aktiv AND externe_id IS NOT NULL").select("obstacle_id")
-    gone = active.join(ids, "obstacle_id", "left_anti")
-    counts = active.agg(F.count("*").alias("all_rows")).join(gone.agg(F.count("*").alias("gone_rows"))).join(seen.agg(F.count("*").alias("seen_rows")))
-    trusted = (F.col("seen_rows") > 0) & ~((F.col("all_rows") >= GUARD_ROWS) & (F.col("gone_rows") > GUARD_SHARE * F.col("all_rows")))
-    dropped = gone.join(F.broadcast(counts)).filter(trusted).select(F.concat(F.lit("o"), F.col("obstacle_id").cast("string")).alias("key"), F.lit("deactivate").alias("action"))
-    return changed.unionByName(dropped)
+    close = around.join(there, ["source_id", "kategorie", "name_key", "profile", "cx", "cy"]).filter((F.abs(d_lat) <= DRIFT_LAT) & (F.abs(d_lng) <= DRIFT_LNG))
+    nearest = close.groupBy("source_id", "ord").agg(F.min(F.struct((d_lat * d_lat + d_lng * d_lng).alias("d"), "near_id"))["near_id"].alias("near_id"))
+    return left.join(nearest, ["source_id", "ord"], "left").withColumn("target_id", F.coalesce("exact_id", "near_id")).drop("near_id")
 
 
 def run_status(runs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridway.functions import rules, text
-from gridway.operators import analytics, graph, ingest
+from gridway.operators import analytics, graph, imports, ingest
 from gridway.plans import fixtures as fx
 from gridway.plans.rule_queries import KEY as FINDING_KEY
 from gridway.session import shared_folder
@@ -68,9 +68,10 @@ def next_feed_sql(keep: int = 10, more: str = "true") -> str:
 
 
 PROFILE = "concat_ws('|', coalesce(CAST(restbreite_m AS VARCHAR), ''), coalesce(CAST(max_hoehe_m AS VARCHAR), ''), coalesce(CAST(max_breite_m AS VARCHAR), ''), coalesce(CAST(max_gewicht_t AS VARCHAR), ''), coalesce(CAST(vollsperrung AS VARCHAR), ''), coalesce(CAST(gesperrt_komplett AS VARCHAR), ''), coalesce(CAST(gst_sperre AS VARCHAR), ''))"
-MATCHED = f"""exact AS (SELECT f.*, o.obstacle_id AS exact_id FROM nextfeed f LEFT JOIN (SELECT externe_id, obstacle_id FROM obstacle) o USING (externe_id)),
+SAME_SOURCE = "o.source_id = e.source_id AND "
+MATCHED = f"""exact AS (SELECT f.*, o.obstacle_id AS exact_id FROM nextfeed f LEFT JOIN (SELECT source_id, externe_id, obstacle_id FROM obstacle) o USING (source_id, externe_id)),
     near AS (SELECT e.ord, o.obstacle_id AS near_id, row_number() OVER (PARTITION BY e.ord ORDER BY pow(e.lat - o.lat, 2) + pow(e.lng - o.lng, 2), o.obstacle_id) AS n FROM (SELECT *, {NAME} AS nk, {PROFILE} AS pk FROM exact WHERE exact_id IS NULL) e
-      JOIN (SELECT *, {NAME} AS nk, {PROFILE} AS pk FROM obstacle WHERE aktiv) o ON o.kategorie = e.kategorie AND o.nk = e.nk AND o.pk = e.pk AND abs(e.lat - o.lat) <= 0.003 AND abs(e.lng - o.lng) <= 0.0045),
+      JOIN (SELECT *, {NAME} AS nk, {PROFILE} AS pk FROM obstacle WHERE aktiv) o ON o.source_id = e.source_id AND o.kategorie = e.kategorie AND o.nk = e.nk AND o.pk = e.pk AND abs(e.lat - o.lat) <= 0.003 AND abs(e.lng - o.lng) <= 0.0045),
     matched AS (SELECT e.*, coalesce(e.exact_id, n.near_id) AS target_id FROM exact e LEFT JOIN (SELECT ord, near_id FROM near WHERE n = 1) n USING (ord))"""
 
 
@@ -79,8 +80,17 @@ def upsert_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("exact_id IS NULL").select("ord", "target_id")
 
 
+def transition(items: DataFrame, before: DataFrame) -> DataFrame:
+    """(key, action) of a full feed that all rows come from."""
+    one = F.lit(0).cast("long").alias("source_id")
+    header = items.sparkSession.range(1).select(one, F.lit(True).alias("full"), F.lit(True).alias("complete"))
+    rows = imports.run(items.withColumn("source_id", one), header, before.drop("ord").withColumn("source_id", one), today(), now()).rows.filter("action <> 'keep'")
+    key = F.when(F.col("action") == "insert", F.concat(F.lit("x"), "externe_id")).otherwise(F.concat(F.lit("o"), F.col("obstacle_id").cast("string")))
+    return rows.select(key.alias("key"), "action")
+
+
 def transition_sql(keep: int, more: str = "true") -> str:
-    return f"""{fx.with_(fx.OBSTACLES, next_feed_sql(keep, more), MATCHED)}, ok AS (SELECT * FROM matched WHERE NOT ({BARE}) AND NOT ({LIVE_SQL})),
+    return f"""{fx.with_(fx.OBSTACLES, next_feed_sql(keep, more), MATCHED.replace(SAME_SOURCE, '').replace('USING (source_id, externe_id)', 'USING (externe_id)').replace('SELECT source_id, externe_id', 'SELECT externe_id'))}, ok AS (SELECT * FROM matched WHERE NOT ({BARE}) AND NOT ({LIVE_SQL})),
     last AS (SELECT coalesce('o' || CAST(target_id AS VARCHAR), 'x' || externe_id) AS key, arg_max(target_id, ord) AS target_id, arg_max(gueltig_bis, ord) AS bis0, max(ord) AS ord FROM ok GROUP BY 1),
     seen AS (SELECT l.key, l.target_id, (SELECT gueltig_bis FROM ok WHERE ok.ord = l.ord) AS bis, o.aktiv FROM last l LEFT JOIN obstacle o ON o.obstacle_id = l.target_id),
     gone AS (SELECT obstacle_id FROM obstacle WHERE aktiv AND obstacle_id NOT IN (SELECT target_id FROM seen WHERE target_id IS NOT NULL)), c AS (SELECT (SELECT count(*) FROM obstacle WHERE aktiv) AS a, (SELECT count(*) FROM gone) AS g, (SELECT count(*) FROM seen) AS s)
@@ -247,12 +257,11 @@ QUERIES = {
     "validate_obstacles": lambda s, d: feed(s, d).select("ord", ingest.reason().alias("reason")).filter("reason IS NOT NULL"),
     "infra_filter": lambda s, d: fx.obstacles(s, d).filter(rules.infrastructure_only()).select("obstacle_id", "kategorie"),
     "live_filter": lambda s, d: fx.obstacles(s, d).withColumn("beschreibung", F.get(F.array(*map(F.lit, MESSAGES)), (F.col("obstacle_id") % len(MESSAGES)).cast("int"))).filter(ingest.live_message()).select("obstacle_id", "beschreibung"),
-    "group_duplicates": lambda s, d: ingest.group_duplicates(fx.obstacles(s, d)).select("group_key", "members", "restbreite_m", "max_hoehe_m", "vollsperrung", "gst_sperre", "gueltig_von", "gueltig_bis"),
     "segment_merge": lambda s, d: ingest.merge_segments(fx.obstacles(s, d).withColumns({"beschreibung": F.concat(F.lit("Projektnummer: P"), (F.col("ord") % 97 + 1000).cast("string")), "name": F.concat(F.lit("A"), (F.col("ord") % 9 + 1).cast("string"))})),
     "upsert_exact": lambda s, d: ingest.match(next_feed(s, d), fx.obstacles(s, d)).filter("exact_id IS NOT NULL").select("ord", "target_id"),
     "upsert_fuzzy": upsert_fuzzy,
-    "reconcile_anti": lambda s, d: ingest.transition(next_feed(s, d), fx.obstacles(s, d), today()),
-    "reconcile_guard": lambda s, d: ingest.transition(next_feed(s, d, 1).filter("ord < 0").unionByName(next_feed(s, d).filter("ord % 3 = 0")), fx.obstacles(s, d), today()).groupBy("action").agg(F.count("*").alias("n")),
+    "reconcile_anti": lambda s, d: transition(next_feed(s, d), fx.obstacles(s, d)),
+    "reconcile_guard": lambda s, d: transition(next_feed(s, d).filter("ord % 3 = 0"), fx.obstacles(s, d)).groupBy("action").agg(F.count("*").alias("n")),
     "run_status": lambda s, d: ingest.run_status(run_rows(s, d)).select("run_id", "status"),
     "expire": lambda s, d: ingest.expired(fx.obstacles(s, d), today()).select("obstacle_id", "gueltig_bis"),
     "purge": lambda s, d: ingest.purged(fx.obstacles(s, d), now()).select("obstacle_id"),
@@ -310,7 +319,6 @@ ORACLES = {
     "validate_obstacles": f"{fx.with_(fx.OBSTACLES, FEED)} SELECT ord, {REASON} AS reason FROM feed WHERE {REASON} IS NOT NULL",
     "infra_filter": f"{O} SELECT obstacle_id, kategorie FROM obstacle WHERE {BARE}",
     "live_filter": f"{O}, message AS (SELECT obstacle_id, name, {list(MESSAGES)!r}[1 + obstacle_id % {len(MESSAGES)}] AS beschreibung FROM obstacle) SELECT obstacle_id, beschreibung FROM message WHERE {LIVE_SQL}",
-    "group_duplicates": f"""{O} SELECT concat_ws('|', kategorie, {NAME}, concat_ws(',', CAST(CAST(floor(lat * 1000 + 0.5) AS BIGINT) AS VARCHAR), CAST(CAST(floor(lng * 1000 + 0.5) AS BIGINT) AS VARCHAR))) AS group_key, count(*) AS members, min(restbreite_m) AS restbreite_m, min(max_hoehe_m) AS max_hoehe_m, bool_or(vollsperrung) AS vollsperrung, bool_or(gst_sperre) AS gst_sperre, min(gueltig_von) AS gueltig_von, max(gueltig_bis) AS gueltig_bis FROM obstacle GROUP BY 1""",
     "segment_merge": f"""{O} SELECT 'P' || CAST(ord % 97 + 1000 AS VARCHAR) AS project, 'A' || CAST(ord % 9 + 1 AS VARCHAR) AS road, coalesce(richtung, '') AS direction, kategorie, count(*) AS parts, min(restbreite_m) AS restbreite_m, min(gueltig_von) AS gueltig_von, max(gueltig_bis) AS gueltig_bis FROM obstacle GROUP BY 1, 2, 3, 4""",
     "upsert_exact": f"{fx.with_(fx.OBSTACLES, next_feed_sql())} SELECT f.ord, o.obstacle_id AS target_id FROM nextfeed f JOIN obstacle o USING (externe_id)",
     "upsert_fuzzy": f"{fx.with_(fx.OBSTACLES, next_feed_sql(), MATCHED)} SELECT ord, target_id FROM matched WHERE exact_id IS NULL",
