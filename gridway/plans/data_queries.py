@@ -184,7 +184,7 @@ def folders(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("s_suppkey").alias("child"), F.when(F.col("s_suppkey") > 0, F.floor((F.col("s_suppkey") - 1) / 2)).alias("parent"))
 
 
-def chain_walk(spark: SparkSession, d: str) -> DataFrame:
+def chains(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Twenty roads through all part keys, those of every fourth closed to a ring; from each location to another of its road."""
     rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("code"))
     road, k = F.col("code") % 20, F.expr("code div 20")
@@ -193,7 +193,11 @@ def chain_walk(spark: SparkSession, d: str) -> DataFrame:
     last = F.col("k") == F.col("first") + F.col("n") - 1
     links = chain.select("road", "code", F.when(~last, F.col("code") + 20).when(F.col("road") % 4 == 1, F.col("first") * 20 + F.col("road")).alias("pos"))
     pairs = chain.select(F.col("code").alias("pair_id"), "road", F.col("code").alias("a"), ((F.col("first") + F.col("k") * 7 % F.col("n")) * 20 + F.col("road")).alias("b"))
-    return graph.chain_between(links, pairs)
+    return links, pairs
+
+
+def chain_walk(spark: SparkSession, d: str) -> DataFrame:
+    return graph.chain_between(*chains(spark, d))
 
 
 CHAIN = """WITH c AS (SELECT p_partkey % 20 AS road, p_partkey AS code, p_partkey // 20 AS k, min(p_partkey // 20) OVER w AS first, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_partkey % 20)),
