@@ -261,7 +261,8 @@ def shared_of(table: pa.Table) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
-    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+    # The largest long stands for null below, so that a table that has it goes by places too.
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) and docs.filter(F.col("doc_id") == int(LAST)).isEmpty():
         return without_repeats(docs)
     # Other ids are replaced by their places in order.
     names = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy("doc_id")
