@@ -4,7 +4,10 @@ Each source's target is its weight's part of the wanted total, no more than `cap
 others by weight. Within a source every document expects target / size copies; the expected copies are summed along the
 documents, one random offset is added, and a document is emitted once for each integer that its stretch crosses. The order
 goes up through every second size and down through the others, so that the emitted words are near the target wherever the
-offset falls: both ends hold the smallest documents.
+offset falls: both ends hold the smallest documents. Of `OFFSETS` random offsets each source takes the one whose words come nearest
+to its target, which keeps small sources close as well.
+
+Nothing depends on the session: documents are ranked in a fixed number of parts, so that a mix is the same on every cluster.
 
 Null texts have size 0; null sources form one source, the last. Rows that share an id are sampled each by itself; rows that
 share id, source and text are interchangeable. A source of size 0 has target 0 and is not emitted. An empty table gives an
@@ -20,6 +23,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Parts of each size class of a source, each ranked by itself; and the random offsets that a source chooses from.
+PARTS, OFFSETS = 64, 32
+
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
@@ -54,17 +60,21 @@ def key_of(docs: DataFrame) -> Column:
     return F.struct(F.col("doc_id").alias("id"), F.col("source").alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("hash"), F.crc32(text.cast("binary")).alias("crc"))
 
 
+def offset_of(key: Column, seed: int, k: int) -> Column:
+    """The kth random offset of a source, from 0 to 1."""
+    return (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(k)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+
+
 def copies(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2, seed: int = 7) -> DataFrame:
     """Per row of docs (doc_id, text, source): size, source_size, target, copies, taken. hash and crc are of the text; rows with all
     this in common are numbered nth `of` so many."""
-    n = common.partitions(docs.sparkSession)
     same = Window.partitionBy(*KEY)
     numbered = docs.select(key_of(docs).alias("row")).select("row.*").withColumns({"of": F.count("*").over(same), "nth": F.row_number().over(same.orderBy(F.lit(0)))})
     sized = common.checkpoint(numbered.withColumnRenamed("id", "doc_id"))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap).withColumn("key", key).drop("source")
-    # Parts of a source: size classes of an eighth of an octave, each in n shares. Ranks within parts follow from the parts' counts.
-    rows = sized.withColumns({"class": F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"), "part": common.salt(n, "doc_id", "hash", "nth"), "key": key})
+    # Parts of a source: size classes of an eighth of an octave, each in PARTS shares. Ranks within parts follow from the parts' counts.
+    rows = sized.withColumns({"class": F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"), "part": common.salt(PARTS, "doc_id", "hash", "nth"), "key": key})
     parts = rows.groupBy("key", "class", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("key").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
     begin = parts.withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("key"))}).join(goals, "key").select("key", "class", "part", "before", "all", "source_size", "target")
@@ -72,9 +82,16 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     placed = ranked.join(begin, ["key", "class", "part"]).withColumn("rank", F.col("own") + F.col("before"))
     place = F.when(F.col("rank") % 2 == 1, (F.col("rank") + 1) / 2).otherwise(F.col("all") + 1 - F.col("rank") / 2)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
-    crossed = F.floor(place * each + offset) - F.floor((place - 1) * each + offset)
-    out = placed.withColumn("copies", F.least(crossed, F.ceil(each)).cast("long"))
+    placed = common.checkpoint(placed.withColumns({"place": place, "each": each}).drop("rank", "own", "before", "all", "class", "part"))
+
+    def crossed(offset: Column) -> Column:
+        steps = F.floor(F.col("place") * F.col("each") + offset) - F.floor((F.col("place") - 1) * F.col("each") + offset)
+        return F.least(steps, F.ceil("each")).cast("long")
+
+    tried = [offset_of(F.col("key"), seed, k) for k in range(OFFSETS)]
+    words = placed.groupBy("key", "target").agg(*(F.sum(crossed(o) * F.col("size")).alias(f"w{k}") for k, o in enumerate(tried)))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k"), o.alias("offset")) for k, o in enumerate(tried))))
+    out = placed.join(words.select("key", best["offset"].alias("offset")), "key").withColumn("copies", crossed(F.col("offset")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "hash", "crc", "nth", "of")
 
 

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import brute
 import corpus_pipeline
-from gridway.llm import common
+from gridway.llm import common, mixing
 from gridway.llm import quality as classifier
 
 WORDS = "the of and river stone winter garden letter music table window street paper summer market bridge doctor silver orange yellow".split()
@@ -46,17 +46,19 @@ def test_pipeline_equals_plain_stages(spark, rows, tmp_path):
     assert len(stages[0]) > len(stages[1]) > len(stages[2])
 
     by_source = defaultdict(list)
-    n = common.partitions(spark)
     names = spark.createDataFrame([(i, text[i], rows[i][3]) for i in stages[-1]], "doc_id bigint, text string, source string").withColumn("hash", F.xxhash64("text"))
-    named = names.withColumn("part", common.salt(n, *("doc_id", "hash"), F.lit(1))).withColumn("offset", (F.pmod(F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), F.lit(7)), F.lit(1 << 20)) + 0.5) / float(1 << 20))
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    named = names.withColumn("part", common.salt(mixing.PARTS, *("doc_id", "hash"), F.lit(1))).withColumn("offsets", F.array(*(mixing.offset_of(key, 7, k) for k in range(mixing.OFFSETS))))
     offsets = {}
     for r in named.collect():
         by_source[r.source].append((len(r.text.split()), (r.part, len(r.text.split()), r.doc_id), r.doc_id))
-        offsets[r.source] = r.offset
+        offsets[r.source] = r.offsets
     goals = brute.targets({s: sum(x[0] for x in own) for s, own in by_source.items()})
     copies = Counter()
     for s, own in by_source.items():
-        copies.update(brute.systematic(own, goals[s], offsets[s]))
+        tried = [brute.systematic(own, goals[s], o) for o in offsets[s]]
+        size = {i: n for n, _, i in own}
+        copies.update(min(tried, key=lambda t: abs(sum(size[i] * n for i, n in Counter(t).items()) - goals[s])))
     stages.append(+copies)
 
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
