@@ -30,6 +30,44 @@ def crowded(findings: DataFrame, keys: list[str], pick) -> DataFrame:
     return each_group(cut, [*keys, "__stretch"], ["ord"], pick, cut.schema, lambda rows: rows).drop("__stretch")
 
 
+class Along:
+    """Numbers by cells of SAME_KM along a route: only those in a cell and its neighbours can lie within it."""
+
+    def __init__(self):
+        self.cells: dict[int, set[int]] = {}
+
+    def put(self, n: int, km: float) -> None:
+        self.cells.setdefault(int(np.floor(km / SAME_KM)), set()).add(n)
+
+    def drop(self, n: int, km: float) -> None:
+        self.cells[int(np.floor(km / SAME_KM))].discard(n)
+
+    def near(self, km: float) -> list[int]:
+        """Ascending."""
+        at = int(np.floor(km / SAME_KM))
+        return sorted(n for c in (at - 1, at, at + 1) for n in self.cells.get(c, ()))
+
+
+def representatives(rows: pd.DataFrame, twins, replaces, alone=lambda f: False) -> pd.DataFrame:
+    """The rows that stay when each, in order, meets the first kept one that it is a twin of, and takes its place or goes."""
+    kept: list[dict] = []
+    along = Along()
+    for f in rows.to_dict("records"):
+        mine = [] if alone(f) or pd.isna(f["km"]) else along.near(f["km"])
+        n = next((n for n in mine if abs(kept[n]["km"] - f["km"]) <= SAME_KM and twins(kept[n], f)), None)
+        if n is None:
+            n = len(kept)
+            kept.append(f)
+        elif replaces(f, kept[n]):
+            along.drop(n, kept[n]["km"])
+            kept[n] = f
+        else:
+            continue
+        if not pd.isna(f["km"]):
+            along.put(n, f["km"])
+    return pd.DataFrame(kept, columns=rows.columns)
+
+
 def dedupe_points(findings: DataFrame) -> DataFrame:
     """Drops findings of the same route, category and title within SAME_KM of a kept one, in order of ord.
 
@@ -37,14 +75,8 @@ def dedupe_points(findings: DataFrame) -> DataFrame:
     """
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for f in rows.to_dict("records"):
-            twin = next((k for k in kept if abs(k["km"] - f["km"]) <= SAME_KM and (not k["geom"] or not f["geom"] or k["geom"] == f["geom"])), None)
-            if twin is None:
-                kept.append(f)
-            elif f["rank"] > twin["rank"] or (f["rank"] == twin["rank"] and f["geom"] and not twin["geom"]):
-                twin.update(f)
-        return pd.DataFrame(kept, columns=rows.columns)
+        twins = lambda k, f: not k["geom"] or not f["geom"] or k["geom"] == f["geom"]
+        return representatives(rows, twins, lambda f, k: f["rank"] > k["rank"] or (f["rank"] == k["rank"] and f["geom"] and not k["geom"]))
 
     return crowded(findings.withColumn("__key", title_key()), ["route_id", "kategorie", "__key"], pick).drop("__key")
 
@@ -52,24 +84,15 @@ def dedupe_points(findings: DataFrame) -> DataFrame:
 def dedupe_places(findings: DataFrame) -> DataFrame:
     """Drops points of the same route and category within SAME_KM and SAME_M of a kept one; the severer one stays."""
 
+    def close(k: dict, f: dict) -> bool:
+        if k["geom"] or not np.isfinite([k["lat"], k["lng"]]).all():
+            return False
+        a, b = np.radians([k["lat"], k["lng"]]), np.radians([f["lat"], f["lng"]])
+        h = np.sin((b[0] - a[0]) / 2) ** 2 + np.cos(a[0]) * np.cos(b[0]) * np.sin((b[1] - a[1]) / 2) ** 2
+        return 2 * geo.EARTH_KM * np.arcsin(np.sqrt(h)) * 1000 <= SAME_M
+
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for f in rows.to_dict("records"):
-            twin = None
-            if not f["geom"] and np.isfinite(f["lat"]) and np.isfinite(f["lng"]):
-                for k in kept:
-                    if k["geom"] or abs(k["km"] - f["km"]) > SAME_KM:
-                        continue
-                    a, b = np.radians([k["lat"], k["lng"]]), np.radians([f["lat"], f["lng"]])
-                    h = np.sin((b[0] - a[0]) / 2) ** 2 + np.cos(a[0]) * np.cos(b[0]) * np.sin((b[1] - a[1]) / 2) ** 2
-                    if 2 * geo.EARTH_KM * np.arcsin(np.sqrt(h)) * 1000 <= SAME_M:
-                        twin = k
-                        break
-            if twin is None:
-                kept.append(f)
-            elif f["rank"] > twin["rank"]:
-                twin.update(f)
-        return pd.DataFrame(kept, columns=rows.columns)
+        return representatives(rows, close, lambda f, k: f["rank"] > k["rank"], lambda f: bool(f["geom"]) or not np.isfinite([f["lat"], f["lng"]]).all())
 
     return crowded(findings, ["route_id", "kategorie"], pick)
 
@@ -78,19 +101,22 @@ def dedupe_sources(findings: DataFrame) -> DataFrame:
     """Of findings of different sources within SAME_KM on a route and category, drops the less severe; a dropped one drops no other."""
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        source = rows.quelle.fillna("").str.strip().str.lower().str.replace(r"\s+", " ", regex=True)
-        gone = np.zeros(len(rows), bool)
+        source = rows.quelle.fillna("").str.strip().str.lower().str.replace(r"\s+", " ", regex=True).to_numpy()
+        gone, km, rank = np.zeros(len(rows), bool), rows.km.to_numpy(), rows["rank"].to_numpy()
         own = (rows.herkunft == "eigen").to_numpy()
-        for i in range(len(rows)):
-            if own[i] or gone[i]:
+        along = Along()
+        for i in np.flatnonzero(~own & ~np.isnan(km)):
+            along.put(int(i), km[i])
+        for i in np.flatnonzero(~own & ~np.isnan(km)):
+            if gone[i]:
                 continue
-            for j in range(len(rows)):
-                if i == j or own[j] or gone[j] or abs(rows.km[i] - rows.km[j]) > SAME_KM or source[i] == source[j]:
+            for j in along.near(km[i]):
+                if i == j or gone[j] or abs(km[i] - km[j]) > SAME_KM or source[i] == source[j]:
                     continue
-                if rows["rank"][i] < rows["rank"][j]:
+                if rank[i] < rank[j]:
                     gone[i] = True
                     break
-                if rows["rank"][j] < rows["rank"][i]:
+                if rank[j] < rank[i]:
                     gone[j] = True
         return rows[~gone]
 

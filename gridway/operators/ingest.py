@@ -115,11 +115,17 @@ def group_duplicates(items: DataFrame) -> DataFrame:
     return out.unionByName(items.filter(~named).withColumn("members", F.lit(1).cast("long"))).select(*items.columns, "members")
 
 
+def works_number() -> Column:
+    """The number of the works that an id starts with, else what stands before its phase, without its part."""
+    number = F.nullif(F.regexp_extract("externe_id", "^([0-9]{4}-[0-9]{5,6})", 1), F.lit(""))
+    return F.coalesce(number, F.regexp_replace(F.element_at(F.split("externe_id", "--"), 1), r"(?i)\.de[0-9]+$", ""))
+
+
 def merge_segments(items: DataFrame) -> DataFrame:
-    """Works on one motorway with a project number in their text as one row per project, direction and category."""
-    project = F.regexp_extract("beschreibung", r"(?i)projekt(?:nummer|-?nr\.?)? *:? *([A-Z0-9-]{4,})", 1)
-    keyed = items.withColumns({"project": project, "road": F.try_element_at(text.road_refs(F.col("name")), F.lit(1)), "direction": F.coalesce("richtung", F.lit(""))}).filter("project <> ''")
-    return keyed.groupBy("project", "road", "direction", "kategorie").agg(F.count("*").alias("parts"), F.min("restbreite_m").alias("restbreite_m"), F.min("gueltig_von").alias("gueltig_von"), F.max("gueltig_bis").alias("gueltig_bis"))
+    """The parts and nights of works on a motorway as one row for each source, works, road, direction, category and profile: phases with
+    limits of their own stay apart. Items without id are no works."""
+    keyed = items.filter("externe_id IS NOT NULL").withColumns({"project": works_number(), "road": F.coalesce(F.try_element_at(text.road_refs(F.col("name")), F.lit(1)), F.lit("")), "direction": F.coalesce("richtung", F.lit("")), "profile": profile()})
+    return keyed.groupBy("source_id", "project", "road", "direction", "kategorie", "profile").agg(F.count("*").alias("parts"), F.min("restbreite_m").alias("restbreite_m"), F.min("gueltig_von").alias("gueltig_von"), F.max("gueltig_bis").alias("gueltig_bis"))
 
 
 def lowest_per_cell(points: DataFrame, degrees: float = 0.0003) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridway.plans import data_queries, geo_queries, import_queries, network_queries, rule_queries, serving_queries
+from gridway.plans import crowded_queries, data_queries, geo_queries, import_queries, network_queries, rule_queries, serving_queries
 
-QUERIES = {**geo_queries.QUERIES, **rule_queries.QUERIES, **data_queries.QUERIES, **serving_queries.QUERIES, **import_queries.QUERIES, **network_queries.QUERIES}
-ORACLES = {**geo_queries.ORACLES, **rule_queries.ORACLES, **data_queries.ORACLES, **serving_queries.ORACLES, **import_queries.ORACLES, **network_queries.ORACLES}
+QUERIES = {**geo_queries.QUERIES, **rule_queries.QUERIES, **data_queries.QUERIES, **serving_queries.QUERIES, **import_queries.QUERIES, **network_queries.QUERIES, **crowded_queries.QUERIES}
+ORACLES = {**geo_queries.ORACLES, **rule_queries.ORACLES, **data_queries.ORACLES, **serving_queries.ORACLES, **import_queries.ORACLES, **network_queries.ORACLES, **crowded_queries.ORACLES}

@@ -261,7 +261,6 @@ QUERIES = {
     "validate_obstacles": lambda s, d: feed(s, d).select("ord", ingest.reason().alias("reason")).filter("reason IS NOT NULL"),
     "infra_filter": lambda s, d: fx.obstacles(s, d).filter(rules.infrastructure_only()).select("obstacle_id", "kategorie"),
     "live_filter": lambda s, d: fx.obstacles(s, d).withColumn("beschreibung", F.get(F.array(*map(F.lit, MESSAGES)), (F.col("obstacle_id") % len(MESSAGES)).cast("int"))).filter(ingest.live_message()).select("obstacle_id", "beschreibung"),
-    "segment_merge": lambda s, d: ingest.merge_segments(fx.obstacles(s, d).withColumns({"beschreibung": F.concat(F.lit("Projektnummer: P"), (F.col("ord") % 97 + 1000).cast("string")), "name": F.concat(F.lit("A"), (F.col("ord") % 9 + 1).cast("string"))})),
     "upsert_exact": lambda s, d: ingest.match(next_feed(s, d), fx.obstacles(s, d)).filter("exact_id IS NOT NULL").select("ord", "target_id"),
     "upsert_fuzzy": upsert_fuzzy,
     "reconcile_anti": lambda s, d: transition(next_feed(s, d), fx.obstacles(s, d)),
@@ -323,7 +322,6 @@ ORACLES = {
     "validate_obstacles": f"{fx.with_(fx.OBSTACLES, FEED)} SELECT ord, {REASON} AS reason FROM feed WHERE {REASON} IS NOT NULL",
     "infra_filter": f"{O} SELECT obstacle_id, kategorie FROM obstacle WHERE {BARE}",
     "live_filter": f"{O}, message AS (SELECT obstacle_id, name, {list(MESSAGES)!r}[1 + obstacle_id % {len(MESSAGES)}] AS beschreibung FROM obstacle) SELECT obstacle_id, beschreibung FROM message WHERE {LIVE_SQL}",
-    "segment_merge": f"""{O} SELECT 'P' || CAST(ord % 97 + 1000 AS VARCHAR) AS project, 'A' || CAST(ord % 9 + 1 AS VARCHAR) AS road, coalesce(richtung, '') AS direction, kategorie, count(*) AS parts, min(restbreite_m) AS restbreite_m, min(gueltig_von) AS gueltig_von, max(gueltig_bis) AS gueltig_bis FROM obstacle GROUP BY 1, 2, 3, 4""",
     "upsert_exact": f"{fx.with_(fx.OBSTACLES, next_feed_sql())} SELECT f.ord, o.obstacle_id AS target_id FROM nextfeed f JOIN obstacle o USING (externe_id)",
     "upsert_fuzzy": f"{fx.with_(fx.OBSTACLES, next_feed_sql(), MATCHED)} SELECT ord, target_id FROM matched WHERE exact_id IS NULL",
     "reconcile_anti": transition_sql(10),

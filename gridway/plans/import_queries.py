@@ -149,10 +149,22 @@ DUPLICATES = f"""{fx.with_(MEMBERS)}, keyed AS (SELECT *, {KEY} AS k, {dq.PROFIL
         SELECT source_id, k, p, min(ord) AS ord, any_value(kategorie) AS kategorie, count(*) AS members, first(beschreibung ORDER BY ord) FILTER (trim(beschreibung) <> '') AS beschreibung, min(restbreite_m) AS restbreite_m, min(max_laenge_m) AS max_laenge_m, max(radius_m) AS radius_m,
             CASE WHEN bool_or(sackgasse) THEN true END AS sackgasse, min(gueltig_von) AS gueltig_von, max(gueltig_bis) AS gueltig_bis, coalesce(string_agg(line_at, ',' ORDER BY ord), '') AS lines_at FROM counted WHERE n > 1 GROUP BY source_id, k, p) JOIN phase USING (source_id, k)"""
 
+#: Parts and nights of works: three quarters with a number at the start of their ids.
+WORKS = MEMBER | {
+    "externe_id": "CASE WHEN o_custkey % 4 = 3 THEN concat('Umbau ', CAST(o_custkey % 30 AS VARCHAR(20)), CASE WHEN o_orderkey % 2 = 0 THEN '.de' ELSE '.DE' END, CAST(o_orderkey % 5 AS VARCHAR(20))) ELSE concat('2026-', lpad(CAST(o_custkey % 40 AS VARCHAR(20)), 6, '0'), '--vi.2026-06-', CAST(o_orderkey % 28 AS VARCHAR(20)), '_de', CAST(o_orderkey % 3 AS VARCHAR(20))) END",
+    "source_id": "o_custkey % 3",
+    "kategorie": "'baustelle'",
+    "name": "concat('A', CAST(o_custkey % 3 + 1 AS VARCHAR(20)), ' Ausbau')",
+    "richtung": "CASE WHEN o_custkey % 5 = 1 THEN 'Nord' END",
+}
+SEGMENTS = f"""{fx.with_(fx.cte("works", WORKS, "orders"))}, keyed AS (SELECT *, CASE WHEN regexp_matches(externe_id, '^[0-9]{{4}}-[0-9]{{5,6}}') THEN regexp_extract(externe_id, '^[0-9]{{4}}-[0-9]{{5,6}}') ELSE regexp_replace(split_part(externe_id, '--', 1), '\\.de[0-9]+$', '', 'i') END AS project FROM works)
+    SELECT source_id, project, split_part(name, ' ', 1) AS road, coalesce(richtung, '') AS direction, kategorie, {dq.PROFILE} AS profile, count(*) AS parts, min(restbreite_m) AS restbreite_m, min(gueltig_von) AS gueltig_von, max(gueltig_bis) AS gueltig_bis FROM keyed GROUP BY ALL"""
+
 QUERIES = {
+    "segment_merge": lambda s, d: ingest.merge_segments(fx.table(s, d, "orders", WORKS)),
     "import_rows": lambda s, d: run(s, d).rows.select("source_id", "externe_id", "obstacle_id", "fach_id", "realer_start", *OLD_VALUE, "aktiv", "action"),
     "stream_import": stream_import,
     "import_stats": lambda s, d: run(s, d).stats,
     "group_duplicates": duplicates,
 }
-ORACLES = {"import_rows": RUN_ROWS, "stream_import": f"SELECT * EXCLUDE (action) FROM ({RUN_ROWS.replace('WHERE ord % 6 <> 5)', 'WHERE false)')})", "import_stats": RUN_STATS, "group_duplicates": DUPLICATES}
+ORACLES = {"import_rows": RUN_ROWS, "stream_import": f"SELECT * EXCLUDE (action) FROM ({RUN_ROWS.replace('WHERE ord % 6 <> 5)', 'WHERE false)')})", "import_stats": RUN_STATS, "group_duplicates": DUPLICATES, "segment_merge": SEGMENTS}

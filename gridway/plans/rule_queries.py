@@ -121,11 +121,6 @@ KEY = f"CASE WHEN obstacle_id IS NOT NULL THEN concat_ws('|', CAST(obstacle_id A
 F1 = fx.with_(fx.FINDINGS)
 
 
-def spread(spark: SparkSession, d: str) -> DataFrame:
-    """Findings for the greedy passes: two hundred titles less, so that groups stay small."""
-    return fx.findings(spark, d)
-
-
 QUERIES = {
     "rule_bridge": by_rule(rules.STRUCTURES, rules.structure),
     "rule_narrow": by_rule(("engstelle",), rules.narrow),
@@ -142,12 +137,6 @@ QUERIES = {
     "conditions": conditions,
     "crossing_structure": crossing,
     "dedupe_obstacle": lambda s, d: findings.dedupe_obstacle(fx.findings(s, d)).select("obstacle_id", "ord", "rank", "route_id", "km"),
-    "dedupe_dominated_width": lambda s, d: findings.drop_dominated_widths(fx.findings(s, d)).select("ord", "restbreite_m", "rank"),
-    "dedupe_points_gap": lambda s, d: findings.dedupe_points_by_gap(fx.findings(s, d)).select("ord", "route_id", "kategorie", "km", "rank"),
-    "dedupe_findings_greedy": lambda s, d: findings.dedupe_points(spread(s, d)),
-    "dedupe_location_greedy": lambda s, d: findings.dedupe_places(spread(s, d)),
-    "cross_source_greedy": lambda s, d: findings.dedupe_sources(spread(s, d)),
-    "notification_groups": lambda s, d: findings.groups_within(fx.findings(s, d)).select("ord", "route_id", "kategorie", "group"),
     "route_ids": lambda s, d: findings.route_sets(fx.findings(s, d)).select("obstacle_id", F.array_join(F.transform("route_ids", lambda x: x.cast("string")), ",").alias("route_ids")),
     "finding_diff": lambda s, d: findings.diff(fx.findings(s, d), later(s, d)),
     "finding_signature": lambda s, d: findings.signature(fx.findings(s, d)),
@@ -178,12 +167,6 @@ ORACLES = {
         SELECT obstacle_id, ref AS refs, ref <> concat('A', CAST(obstacle_id % 25 + 1 AS VARCHAR)) AND ref <> concat('B', CAST(obstacle_id % 25 + 2 AS VARCHAR)) AS crossing FROM r""",
     "dedupe_obstacle": f"""{F1} SELECT obstacle_id, place AS ord, rank, route_id, km FROM (SELECT *, min(ord) OVER (PARTITION BY obstacle_id) AS place, row_number() OVER (PARTITION BY obstacle_id ORDER BY rank DESC, ord) AS n FROM finding WHERE obstacle_id IS NOT NULL) WHERE n = 1
         UNION ALL SELECT obstacle_id, ord, rank, route_id, km FROM finding WHERE obstacle_id IS NULL""",
-    "dedupe_dominated_width": f"""{F1}, k AS (SELECT *, floor(km * 10 + 0.5) AS place FROM finding), m AS (SELECT route_id, kategorie, place, gueltig_von, gueltig_bis, min(restbreite_m) AS least FROM k WHERE restbreite_m IS NOT NULL GROUP BY ALL)
-        SELECT ord, restbreite_m, rank FROM k f WHERE NOT EXISTS (SELECT 1 FROM k g JOIN m ON m.route_id = g.route_id AND m.kategorie = g.kategorie AND m.place = g.place AND m.gueltig_von IS NOT DISTINCT FROM g.gueltig_von AND m.gueltig_bis IS NOT DISTINCT FROM g.gueltig_bis
-          WHERE g.route_id = f.route_id AND g.kategorie = f.kategorie AND g.place = f.place AND g.gueltig_von IS NOT DISTINCT FROM f.gueltig_von AND g.gueltig_bis IS NOT DISTINCT FROM f.gueltig_bis
-          AND f.restbreite_m > least + 0.01 AND g.restbreite_m <= least + 0.01 AND g.rank >= f.rank)""",
-    "dedupe_points_gap": f"""{F1}, n AS (SELECT *, {NORM} AS t FROM finding), g AS (SELECT *, sum(turn) OVER (PARTITION BY route_id, kategorie, t ORDER BY km, ord) AS s FROM (SELECT *, CASE WHEN km - lag(km) OVER (PARTITION BY route_id, kategorie, t ORDER BY km, ord) <= 0.15 THEN 0 ELSE 1 END AS turn FROM n))
-        SELECT ord, route_id, kategorie, km, rank FROM g QUALIFY row_number() OVER (PARTITION BY route_id, kategorie, t, s ORDER BY rank DESC, ord) = 1""",
     "route_ids": f"{F1} SELECT obstacle_id, array_to_string(list_sort(list(DISTINCT route_id)), ',') AS route_ids FROM finding WHERE obstacle_id IS NOT NULL GROUP BY 1",
     "finding_diff": f"""{fx.with_(fx.FINDINGS, LATER)}, b AS (SELECT {KEY} AS key, max(rank) AS rank_before FROM finding GROUP BY 1), a AS (SELECT {KEY} AS key, max(rank) AS rank_after FROM later GROUP BY 1)
         SELECT key, CASE WHEN rank_before IS NULL THEN 'neu' ELSE 'geaendert' END AS change, rank_before, rank_after FROM a LEFT JOIN b USING (key) WHERE rank_before IS NULL OR rank_before <> rank_after""",

@@ -154,7 +154,7 @@ def city_keys(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "attribute_search": attribute_search,
     "outside_accounts": outside_accounts,
-    "export_window": lambda s, d: fx.findings(s, d).filter(serving.in_export(date("1997-06-01"), F.lit(None).cast("date"))).select("ord"),
+    "export_window": lambda s, d: fx.obstacles(s, d).filter(serving.in_export(date("1996-06-01"), date("1997-06-01"))).select("ord"),
     "timeline_filter": lambda s, d: fx.obstacles(s, d).filter(serving.in_timeline(F.expr("TIMESTAMP '1995-03-01 12:00:00'"), F.expr("TIMESTAMP '1995-03-02 00:00:00'"))).select("obstacle_id"),
     "last_analysis": lambda s, d: serving.last_analysis(analysis_runs(s, d), fx.projects(s, d)),
     "members_last_seen": lambda s, d: serving.last_seen(members(s, d), fx.events(s, d).select("user_id", F.col("ts").alias("last_seen"))),
@@ -192,7 +192,7 @@ def told(k: int, cast: str = "VARCHAR") -> str:
 ORACLES = {
     "attribute_search": f"{O} SELECT obstacle_id FROM obstacle WHERE max_hoehe_m >= 4 AND max_hoehe_m < 5",
     "outside_accounts": "WITH u AS (SELECT DISTINCT user_id, (CASE WHEN user_id % 7 = 0 THEN 'test-' ELSE 'u' END) || user_id || (CASE WHEN user_id % 5 = 0 THEN '@own.test' ELSE '@example.com' END) AS email FROM events) SELECT * FROM u WHERE user_id % 7 <> 0 AND user_id % 5 <> 0 AND user_id <> 1",
-    "export_window": f"{FD} SELECT ord FROM finding WHERE gueltig_bis IS NULL OR gueltig_bis >= DATE '1997-06-01'",
+    "export_window": f"{O} SELECT ord FROM obstacle WHERE (gueltig_von IS NULL AND gueltig_bis IS NULL) OR (coalesce(gueltig_von <= DATE '1997-06-01', true) AND coalesce(gueltig_bis >= DATE '1996-06-01', true))",
     "timeline_filter": f"{O} SELECT obstacle_id FROM obstacle WHERE coalesce(gueltig_von <= DATE '1995-03-02', true) AND coalesce(gueltig_bis >= DATE '1995-03-01', true)",
     "last_analysis": f"{fx.with_(fx.PROJECTS)} SELECT tenant_id, max(CAST(o_orderdate AS TIMESTAMP)) AS last_at FROM orders JOIN project ON project_id = o_custkey % 60 WHERE o_orderkey % 3 <> 0 GROUP BY 1",
     "members_last_seen": "SELECT c_custkey AS user_id, c_custkey % 3 AS tenant_id, (SELECT max(ts) FROM events WHERE user_id = c_custkey) AS last_seen FROM customer",

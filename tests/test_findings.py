@@ -70,9 +70,9 @@ def test_groups_take_the_earliest_group(make):
 
 @pytest.mark.parametrize("parts", [1, 7])
 def test_greedy_passes_equal_a_plain_loop(spark, parts):
-    from gridway.plans import rule_queries
+    from gridway.plans import crowded_queries
 
-    df = rule_queries.spread(spark, "/root/testdata/sf0.001").repartition(parts)
+    df = crowded_queries.crowded(spark, "/root/testdata/sf0.001").repartition(parts)
     rows = [r.asDict() for r in df.orderBy("ord").collect()]
     norm = lambda s: " ".join((s or "").strip().lower().split())
     kept: dict = {}
