@@ -177,15 +177,21 @@ def nodes_between(nodes: DataFrame, trips: DataFrame, slack_km: float = 60.0, mo
     return pairs.withColumn("detour_km", detour).filter(F.col("detour_km") <= slack_km).withColumn("n", rank).filter(F.col("n") <= most).select("trip_id", "node_id", "detour_km", "n")
 
 
-def in_polygon(points: DataFrame, rings: DataFrame) -> DataFrame:
+def in_polygon(points: DataFrame, rings: DataFrame, per_band: int = 16) -> DataFrame:
     """(point_id, polygon_id): the first polygon by ord that holds the point, by even-odd crossings.
 
-    rings: (polygon_id, ord, a_lat, a_lng, b_lat, b_lng) edges. Points meet polygons on whole-degree cells of their boxes.
+    rings: (polygon_id, ord, a_lat, a_lng, b_lat, b_lng) edges. Points meet polygons on whole-degree cells of their boxes. Each polygon
+    is cut into bands of latitude, as many as its edges fill with about `per_band` each, and a point meets the edges of its own band
+    only: a long border costs a point no more than a short one.
     """
-    boxed = rings.groupBy("polygon_id", "ord").agg(F.min("a_lat").alias("s"), F.max("a_lat").alias("n"), F.min("a_lng").alias("w"), F.max("a_lng").alias("e"))
-    tiles = boxed.withColumn("cx", F.explode(F.sequence(F.floor("w"), F.floor("e")))).withColumn("cy", F.explode(F.sequence(F.floor("s"), F.floor("n"))))
-    placed = points.withColumns({"cx": F.floor("lng"), "cy": F.floor("lat")}).join(tiles, ["cx", "cy"]).filter("lat BETWEEN s AND n AND lng BETWEEN w AND e").select("point_id", "lat", "lng", "polygon_id", "ord")
-    edges = placed.join(rings.drop("ord"), "polygon_id")
+    boxed = rings.groupBy("polygon_id", "ord").agg(F.min("a_lat").alias("s"), F.max("a_lat").alias("n"), F.min("a_lng").alias("w"), F.max("a_lng").alias("e"), F.ceil(F.count("*") / per_band).alias("bands"))
+    band = lambda c: F.floor((F.col(c) - F.col("s")) / (F.col("n") - F.col("s")) * F.col("bands"))
+    tiles = boxed.filter("n > s").withColumn("cx", F.explode(F.sequence(F.floor("w"), F.floor("e")))).withColumn("cy", F.explode(F.sequence(F.floor("s"), F.floor("n"))))
+    placed = points.withColumns({"cx": F.floor("lng"), "cy": F.floor("lat")}).join(tiles, ["cx", "cy"]).filter("lat BETWEEN s AND n AND lng BETWEEN w AND e").select("point_id", "lat", "lng", "polygon_id", "ord", band("lat").alias("band"))
+    # Level edges cross no line of latitude.
+    steep = rings.filter("a_lat <> b_lat").join(boxed.select("polygon_id", "s", "n", "bands"), "polygon_id").withColumns({"low": F.least("a_lat", "b_lat"), "high": F.greatest("a_lat", "b_lat")})
+    banded = steep.withColumn("band", F.explode(F.sequence(band("low"), band("high")))).select("polygon_id", "band", "a_lat", "a_lng", "b_lat", "b_lng")
+    edges = placed.join(banded, ["polygon_id", "band"])
     crosses = ((F.col("a_lat") > F.col("lat")) != (F.col("b_lat") > F.col("lat"))) & (F.col("lng") < (F.col("b_lng") - F.col("a_lng")) * (F.col("lat") - F.col("a_lat")) / F.nullif(F.col("b_lat") - F.col("a_lat"), F.lit(0.0)) + F.col("a_lng"))
     odd = edges.groupBy("point_id", "polygon_id", "ord").agg(F.count_if(crosses).alias("n")).filter("n % 2 = 1")
     return odd.groupBy("point_id").agg(F.min_by("polygon_id", "ord").alias("polygon_id"))
