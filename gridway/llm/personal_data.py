@@ -179,16 +179,43 @@ class Field:
         return p / p.sum(axis=1, keepdims=True)
 
 
+def touching(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int | None]:
+    """For each of the spans, which ascend, the last of base's (kind, start, end) that overlaps it: one sweep over both."""
+    order = sorted(range(len(base)), key=lambda k: base[k][1])
+    out, at, begun = [], 0, []
+    for a, b in spans:
+        while at < len(order) and base[order[at]][1] < b:
+            begun.append(order[at])
+            at += 1
+        begun = [k for k in begun if base[k][2] > a]
+        out.append(max(begun, default=None))
+    return out
+
+
+def by_document(graph: Graph) -> Iterator[tuple[int, int, int]]:
+    """(document, first token, end) of each document that has tokens."""
+    document = np.asarray(graph.document)
+    at = np.flatnonzero(np.diff(document, prepend=-1)) if len(document) else document
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(document)], strict=True):
+        yield int(document[a]), a, b
+
+
 def labels(graph: Graph, base: list[list[tuple[int, int, int]]]) -> np.ndarray:
     """The label of each token: the base span that it overlaps."""
     out = np.zeros(len(graph.spans), np.int64)
-    for i, (d, (a, b)) in enumerate(zip(graph.document, graph.spans, strict=True)):
-        for kind, x, y in base[d]:
-            if x < b and a < y:
-                out[i] = kind + 1
+    for d, a, b in by_document(graph):
+        out[a:b] = [0 if k is None else base[d][k][0] + 1 for k in touching(graph.spans[a:b], base[d])]
     return out
 
 
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a] in EDGES:
+        a += 1
+    while b > a and text[b - 1] in EDGES:
+        b -= 1
+    return a, b
+
+
 def otherwise(kind: int, mention: str) -> str:
     """The same entity in a form that no pattern finds."""
     name, at, domain = mention.partition("@")
@@ -302,13 +329,12 @@ def find(docs: DataFrame, field: Field | None, confidence: float = 0.9) -> DataF
         for way in (graph.edges[0], graph.edges[0][::-1, ::-1]):
             for i, j in way.tolist():
                 sure[j] |= sure[i] and best[i] == best[j] > 0 and p[j, best[j]] >= confidence / 2
-        for d, (a, b), label, taken in zip(graph.document, graph.spans, best, sure, strict=True):
-            text = texts[d]
-            while a < b and text[a] in EDGES:
-                a += 1
-            while b > a and text[b - 1] in EDGES:
-                b -= 1
-            if not label or not taken or a == b or any(x < b and a < y for _, x, y in base[d]):
+        own = [trimmed(texts[d], *span) for d, span in zip(graph.document, graph.spans, strict=True)]
+        free = np.zeros(len(own), bool)
+        for d, first, end in by_document(graph):
+            free[first:end] = [k is None for k in touching(own[first:end], base[d])]
+        for d, (a, b), label, taken, alone in zip(graph.document, own, best, sure, free, strict=True):
+            if not label or not taken or a == b or not alone:
                 continue
             last = out[d][-1] if out[d] else None
             if last and last[0] == label - 1 and a - last[2] <= 3:  # one number in several tokens

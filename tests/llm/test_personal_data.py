@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -82,3 +83,25 @@ def test_message_passing_on_a_loop_is_close_to_enumeration():
     joint /= joint.sum()
     wanted = [joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))]
     assert np.allclose(field.marginals(graph, observed, rounds=100), wanted, atol=0.06)
+
+
+def test_overlaps_by_one_sweep():
+    rng = random.Random(6)
+    for _ in range(300):
+        cuts = sorted(rng.sample(range(200), 2 * rng.randrange(1, 40)))
+        spans = list(zip(cuts[::2], cuts[1::2], strict=True))
+        base = []
+        for kind in range(4):
+            ends = sorted(rng.sample(range(200), 2 * rng.randrange(12)))
+            base += [(kind, a, b) for a, b in zip(ends[::2], ends[1::2], strict=True)]
+        wanted = [max((k for k, (_, x, y) in enumerate(base) if x < b and a < y), default=None) for a, b in spans]
+        assert pii.touching(spans, base) == wanted
+
+
+def test_sweeps_stay_linear_in_long_texts():
+    n = 400_000
+    spans = [(10 * k, 10 * k + 8) for k in range(n)]
+    base = [(k % 4, 10 * k + 2, 10 * k + 6) for k in range(0, n, 2)]
+    start = time.process_time()
+    found = pii.touching(spans, base)
+    assert time.process_time() - start < 20 and sum(k is None for k in found) == n // 2
