@@ -194,9 +194,9 @@ def touching(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) ->
 
 def by_document(graph: Graph) -> Iterator[tuple[int, int, int]]:
     """(document, first token, end) of each document that has tokens."""
-    document = np.asarray(graph.document)
-    at = np.flatnonzero(np.diff(document, prepend=-1)) if len(document) else document
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(document)], strict=True):
+    document = np.asarray(graph.document, np.int64)
+    at = np.flatnonzero(np.diff(document, prepend=-1))
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(document)], strict=False):
         yield int(document[a]), a, b
 
 
