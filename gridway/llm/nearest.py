@@ -6,14 +6,18 @@ that its buckets stay small; vectors are posted in one bucket of every table, an
 product of their nearest axes, best sums first. Vectors and queries meet by the first function's axis, are compared within
 equal buckets only, and scored exactly in double precision; what all tables found is ranked once more.
 
-A sample of `sample` vectors, compared with all queries, gives each query a bound that its best `k` reach for certain;
-candidates below it need not leave their task. Few tables go first and raise the bounds for the others, so that what leaves
-tasks does not grow with the buckets. The sample itself is searched for neighbours like a bucket.
+A sample of vectors, one in 32 and at most `sample`, compared with all queries, gives each query a bound that its best `k`
+reach for certain; candidates below it need not leave their task. The sample gives no neighbours itself. Few tables go first
+and raise the bounds for the others, so that what leaves tasks does not grow with the buckets.
 
 For inner products of vectors of unequal length, vectors are cut into bands of at most STEP powers of two of length. In
 each band one coordinate is added that gives all its vectors the length of its longest; it is 0 for queries, so their
 nearest direction is their largest product. Each query probes its buckets in every band. Of a band with few vectors a query
-may need a large share, which its buckets would miss; such bands, but never the largest, are met whole, as one more bucket.
+may need a large share: a band with fewer than SHALLOW vectors for each signed axis is hashed by the first function alone, and
+the fewer vectors it has, the more axes are probed, up to all; then fewer tables are enough.
+
+A query for which the tables found fewer than k neighbours is compared with all vectors, block by block. With `exhaustive`
+that is done for every query instead of hashing.
 
 Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those whose length differs from
 the commonest. Rows that share an id count as one candidate with its best score. Ties go to the smaller id. An empty table
@@ -39,8 +43,10 @@ BLOCK, QUERIES = 4096, 2048
 POOL, ROUNDS = 24, (1 / 32, 1 / 8, 1)
 #: Logarithms to base 2: how far the lengths of a band may differ, and the bins the bands are made of.
 STEP, BIN = 0.5, 1 / 16
-#: Bands of at most so many vectors for each wanted neighbour are met whole.
-FEW = 50
+#: Vectors for each signed axis below which a band is hashed by one function.
+SHALLOW = 8
+#: Tables are enough for a shallow band when a vector far from the query is missed no more often than this.
+MISSED = 1e-4
 
 
 def rotated(x: np.ndarray, seed: int) -> np.ndarray:
@@ -93,9 +99,8 @@ class Functions:
             rest = rest * 2 * self.axes + axis[:, :, f]
         return axis[:, :, 0], rest
 
-    def probed(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, table, probe) -> the same for the best buckets of the product, by the sum over the functions."""
-        y = self.turned(x)
+    def probed(self, y: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, table, probe) -> the same for the best buckets of the product, by the sum over the functions; y is turned."""
         pool = min(POOL, 2 * self.axes)
         best = np.argpartition(-y, pool - 1, axis=3)[..., :pool]
         near = np.take_along_axis(y, best, axis=3)
@@ -151,7 +156,7 @@ def best_of(ids: np.ndarray, x: np.ndarray, query: int, q: np.ndarray, k: int) -
     return ids[best], exact[best]
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 32, probes: int = 120, sample: int = 512) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 32, probes: int = 120, sample: int = 512, exhaustive: bool = False) -> DataFrame:
     """The k nearest of each row whose vec_id is divisible by `every`: query_id, rank, vec_id, score."""
     rows = usable(vectors)
     kinds = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
@@ -163,19 +168,25 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 32, p
     narrow = np.dtype("<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8")
     rows = rows.filter(F.size("v") == size).withColumn("vec_id", F.col("vec_id").cast("long"))
     tops, counts, uneven = bands_of(rows, size)
-    whole = (counts <= FEW * k) & (np.arange(len(counts)) != counts.argmax())
     signed = 2 << (size - 1).bit_length()
+    shallow = counts < SHALLOW * signed
+    axes = np.minimum(signed, np.ceil(signed * k / counts)).astype(int)  # probed in a shallow band
+    with np.errstate(divide="ignore"):
+        needed = np.maximum(1, np.ceil(np.log(MISSED) / np.log1p(-axes / signed)))
     functions = Functions(size, int(uneven), tables, max(2, int(math.log(counts.max()) / math.log(signed))))
     parts = -(-int(counts.max()) // (signed * BLOCK))
     spark = vectors.sparkSession
-    seen = {r.vec_id: r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()}  # one of each id
-    sampled = spark.sparkContext.broadcast((np.array(list(seen)), np.array(list(seen.values()))))
+    seen = {r.vec_id: r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample, int(counts.sum()) // 32)).collect()}  # one of each id
+    sampled = spark.sparkContext.broadcast((np.array(list(seen)), np.array(list(seen.values())).reshape(-1, size)))
 
     def from_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for query, q in zip(batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, size), strict=True):
-                ids, score = best_of(*sampled.value, query, q, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+            reach = np.full(batch.num_rows, -np.inf)
+            for n, (query, q) in enumerate(zip(batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, size), strict=True)):
+                score = best_of(*sampled.value, query, q, k)[1]
+                if len(score) == k:
+                    reach[n] = score[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reach)], ["vec_id", "v", "least"])
 
     columns = ["t", "axis", "part", "asks", "vec_id", "least", "rest", "v"]
     schema = "t int, axis int, part int, asks boolean, vec_id bigint, least double, rest array<bigint>, v binary"
@@ -212,29 +223,28 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 32, p
                 if uneven:
                     flat[:, size] = np.sqrt(np.maximum(0, 1 - (flat**2).sum(axis=1)))
                 axis, rest = own_functions.buckets(flat)
-                hashed = ~whole[band]
+                rest[shallow[band]] = 0
                 axis = axis + band[:, None] * 2 * functions.axes
-                own = np.broadcast_to(np.arange(len(x))[:, None], axis.shape)[hashed]
-                table = np.broadcast_to(np.arange(first, end)[None, :], axis.shape)[hashed]
-                yield made(x, ids, None, own.ravel(), table.ravel(), axis[hashed].ravel(), rest[hashed].ravel())
-                if not first and whole.any():
-                    own = np.flatnonzero(whole[band])
-                    zero = np.zeros(len(own), np.int64)
-                    yield made(x, ids, None, own, zero, zero - 1, zero)
+                own, at = np.nonzero(np.arange(first, end)[None, :] < np.where(shallow, needed, tables)[band][:, None])
+                yield made(x, ids, None, own, at + first, axis[own, at], rest[own, at])
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, x, piece in vectors_of(batches):
                 # Products of equal vectors differ in their last bits.
                 least = piece.column(2).to_numpy(zero_copy_only=False)
                 least = least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0))
-                bucket, rest = shared.value.probed(directions(x)[0], probes)
-                row = np.broadcast_to(np.arange(len(x))[:, None, None], bucket.shape).ravel()
-                table = np.broadcast_to(np.arange(first, end)[None, :, None], bucket.shape).ravel()
-                for b in np.flatnonzero(~whole).tolist():
-                    yield made(x, ids, least, row, table, bucket.ravel() + b * 2 * functions.axes, rest.ravel())
-                if not first and whole.any():
-                    zero = np.zeros(len(x), np.int64)
-                    yield made(x, ids, least, np.arange(len(x)), zero, zero - 1, zero)
+                turned = shared.value.turned(directions(x)[0])
+                if not shallow.all():
+                    bucket, rest = shared.value.probed(turned, probes)
+                    row, table, _ = np.indices(bucket.shape).reshape(3, -1)
+                    for b in np.flatnonzero(~shallow).tolist():
+                        yield made(x, ids, least, row, table + first, bucket.ravel() + b * 2 * functions.axes, rest.ravel())
+                if shallow.any():
+                    nearest = np.argsort(-turned[:, :, 0], axis=2)
+                    for b in np.flatnonzero(shallow & (needed > first)).tolist():
+                        bucket = nearest[:, : int(min(end, needed[b])) - first, : axes[b]]
+                        row, table, _ = np.indices(bucket.shape).reshape(3, -1)
+                        yield made(x, ids, least, row, table + first, bucket.ravel() + b * 2 * functions.axes, np.zeros(bucket.size, np.int64))
 
         return rows.mapInArrow(post, schema).unionByName(asking.select("vec_id", "v", "least").mapInArrow(ask, schema))
 
@@ -284,16 +294,38 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 32, p
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return one.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
 
+    def whole(side: DataFrame, asks: bool) -> DataFrame:
+        """All vectors, or all queries, in one bucket, which is dealt in blocks."""
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, x, _ in vectors_of(batches):
+                zero = np.zeros(len(x), np.int64)
+                yield made(x, ids, np.full(len(x), -np.inf) if asks else None, np.arange(len(x)), zero, zero, zero)
+
+        return side.select("vec_id", "v").mapInArrow(one, schema)
+
+    def met(posted: DataFrame) -> DataFrame:
+        return dealt(posted).groupBy(*key, "block", "piece").applyInArrow(meet, scored)
+
     queries = rows.filter(F.col("vec_id") % every == 0)
-    best, first = common.checkpoint(ranked(queries.mapInArrow(from_sample, scored))), 0
+    if exhaustive:
+        return ranked(met(whole(rows, False).unionByName(whole(queries, True)))).select("query_id", "rank", "vec_id", "score")
+    bounded = common.checkpoint(queries.mapInArrow(from_sample, "vec_id bigint, v array<double>, least double"))
+    best, first = spark.createDataFrame([], f"{scored}, rank int"), 0
+    reached = lambda: best.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("found"))
     for part in ROUNDS:
         end = max(first + 1, round(tables * part))
         if first >= tables:
             break
-        least = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") == k, F.col("score")).alias("least"))
-        asking = queries.join(least, "vec_id", "left").fillna(float("-inf"), ["least"])
-        found = dealt(meeting(first, min(end, tables), asking)).groupBy(*key, "block", "piece").applyInArrow(meet, scored)
+        least = F.greatest("least", F.when(F.col("n") == k, F.col("found")))
+        asking = bounded.join(reached(), "vec_id", "left").withColumn("least", least)
+        found = met(meeting(first, min(end, tables), asking))
         best, first = common.checkpoint(ranked(best.select("query_id", "vec_id", "score").unionByName(found))), end
+    full = reached().filter(F.col("n") == k)
+    short = common.checkpoint(queries.join(full, "vec_id", "left_anti"))
+    if not short.isEmpty():
+        rest = met(whole(rows, False).unionByName(whole(short, True)))
+        best = ranked(best.select("query_id", "vec_id", "score").unionByName(rest))
     return best.select("query_id", "rank", "vec_id", "score")
 
 

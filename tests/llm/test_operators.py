@@ -304,6 +304,36 @@ def test_nearest_with_uneven_norms(spark, kind):
     assert np.mean(recall) >= 0.9
 
 
+def plain_neighbours(x, k):
+    found = set()
+    for q in range(0, len(x), 20):
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -score))[:k].tolist()
+        found |= {(q, n, i) for n, i in enumerate(best, 1) if i != q}
+    return found
+
+
+def test_nearest_completes_what_the_tables_miss(spark, monkeypatch):
+    """Queries whose buckets are empty are compared with all vectors; so are all queries on request."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 16)) * 1e-3
+    x[:, 0] -= 1
+    x[20] = -x[20]
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")
+    rows = lambda **kw: {(r.query_id, r["rank"], r.vec_id) for r in nearest.search(df, k=5, **kw).collect()}
+    plain = plain_neighbours(x, 5)
+    assert rows(exhaustive=True) == plain
+    monkeypatch.setattr(nearest, "SHALLOW", 0)
+    assert {r for r in rows(tables=2, probes=2) if r[0] == 20} == {r for r in plain if r[0] == 20}
+
+
+def test_nearest_of_few_vectors(spark):
+    x = np.random.default_rng(5).normal(size=(9, 8))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")
+    assert {(r.query_id, r["rank"], r.vec_id) for r in nearest.search(df).collect()} == plain_neighbours(x, 20)
+
+
 def test_quality(spark):
     rng = random.Random(6)
     good = [" ".join(rng.choice(WORDS) for _ in range(60)).capitalize() + "." for _ in range(200)]
