@@ -88,12 +88,6 @@ def search(rows: DataFrame, needle: str | None, columns: list[str], **equal) ->
     return out
 
 
-def page(rows: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
-    """One page of at most 5000 rows."""
-    size = min(size, 5000)
-    return rows.orderBy(*order).offset(size * number).limit(size)
-
-
 def notices_for(notices: DataFrame, projects: DataFrame, prefs: DataFrame, email: str) -> DataFrame:
     """Notices of projects the user may see, or of none, whose severity the user wants (without a wish, all)."""
     mine = projects.filter(shared_or_own("owner_email", email)).select("project_id")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Measures of which 0 says nothing, and measures that a text must not fill while the other one is known.
 NO_ZERO = ("restbreite_m", "max_breite_m", "max_hoehe_m", "max_gewicht_t", "max_laenge_m", "radius_m")
 EXCLUSIVE = {"max_gewicht_t": "max_achslast_t", "restbreite_m": "max_breite_m"}
+#: Rows of a page at most.
+LARGEST_PAGE = 5000
 
 
 def haystack(columns: list[str], attrs: Column | None = None) -> Column:
@@ -76,8 +78,9 @@ def placed_in(findings: DataFrame, keys: list[str], *order: Column) -> DataFrame
 
 
 def page(rows: DataFrame, order: list[Column], size: int, number: int) -> DataFrame:
-    """A page of at most 5000 rows and how many rows there are in all; the rows are counted, not collected."""
-    size = min(size, 5000)
+    """A page of at most LARGEST_PAGE rows and how many rows there are in all; the rows are counted, not collected."""
+    if size > LARGEST_PAGE:
+        raise ValueError(f"a page of {size} rows; the most is {LARGEST_PAGE}")
     return rows.orderBy(*order).offset(size * number).limit(size).crossJoin(rows.agg(F.count("*").alias("total")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridway.functions import rules, text
-from gridway.operators import analytics, graph, imports, ingest
+from gridway.operators import analytics, graph, imports, ingest, serving
 from gridway.plans import fixtures as fx
 from gridway.plans.rule_queries import KEY as FINDING_KEY
 from gridway.session import shared_folder
@@ -243,7 +243,7 @@ def prefs(spark: SparkSession) -> DataFrame:
 
 
 def page_obstacles(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.page(fx.obstacles(spark, d).filter("aktiv"), [F.desc("created_at"), F.col("obstacle_id")], 100, 3).select("obstacle_id", "created_at", "kategorie")
+    return serving.page(fx.obstacles(spark, d).filter("aktiv"), [F.desc("created_at"), F.col("obstacle_id")], 100, 3).select("obstacle_id", "created_at", "kategorie")
 
 
 SESSIONS = """beat AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < CAST({m} AS BIGINT) * 60000000 THEN 0 ELSE 1 END AS new FROM events)),
