@@ -29,6 +29,20 @@ def each_group(df: DataFrame, keys: list[str], order: list[str], step: Callable[
     Tasks get whole groups, sorted, and hold no more than a batch and one group.
     """
 
+    def steps(rows: pd.DataFrame, start: np.ndarray, size: np.ndarray) -> Iterator[pd.DataFrame]:
+        if (size == 1).any():
+            yield alone(rows.iloc[start[size == 1]])
+        found = [step(rows.iloc[a : a + n].reset_index(drop=True)) for a, n in zip(start[size > 1], size[size > 1], strict=True)]
+        if found:
+            yield pd.concat(found)
+
+    return each_batch(df, keys, order, steps, schema)
+
+
+def each_batch(df: DataFrame, keys: list[str], order: list[str], steps: Callable[[pd.DataFrame, np.ndarray, np.ndarray], Iterator[pd.DataFrame]], schema) -> DataFrame:
+    """steps(rows, start, size) for batches of whole groups, in order: group k has the size[k] rows from start[k] on. For many small
+    groups, whose frames would cost more than what is done with them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
@@ -36,12 +50,7 @@ def each_group(df: DataFrame, keys: list[str], order: list[str], step: Callable[
             code = rows[keys].ne(rows[keys].shift()) & ~(rows[keys].isna() & rows[keys].shift().isna())
             code.iloc[:1] = True
             start = np.flatnonzero(code.any(axis=1).to_numpy())
-            size = np.diff(np.append(start, len(rows)))
-            if (size == 1).any():
-                yield alone(rows.iloc[start[size == 1]])
-            found = [step(rows.iloc[a : a + n].reset_index(drop=True)) for a, n in zip(start[size > 1], size[size > 1], strict=True)]
-            if found:
-                yield pd.concat(found)
+            yield from steps(rows, start, np.diff(np.append(start, len(rows))))
 
         for batch in batches:
             if not len(batch):
