@@ -61,6 +61,13 @@ def run(spark: SparkSession, d: str) -> imports.Run:
     return imports.run(feed(spark, d), headers(spark, d), before(spark, d), dq.today(), dq.now())
 
 
+
+
+def padded(number: str) -> str:
+    """A number of four digits at least in the oracle's SQL, whose lpad cuts longer ones."""
+    return f"CASE WHEN {number} < 10000 THEN lpad(CAST({number} AS VARCHAR), 4, '0') ELSE CAST({number} AS VARCHAR) END"
+
+
 OLD_VALUE = ("name", "kategorie", "lat", "restbreite_m", "gueltig_bis")
 RUN = f"""{fx.with_(SNAPSHOT, FEED, HEADERS)},
     fed AS (SELECT f.*, h."full" FROM feed f JOIN header h USING (source_id)),
@@ -87,7 +94,7 @@ RUN_ROWS = f"""{RUN}
     FROM there t JOIN judged j USING (source_id) LEFT JOIN latest l ON l.target_id = t.obstacle_id LEFT JOIN returned r ON r.target_id = t.obstacle_id
     UNION ALL BY NAME
     SELECT f.source_id, f.externe_id, (SELECT coalesce(max(obstacle_id), 0) FROM before) + row_number() OVER (ORDER BY f.source_id, f.first) AS obstacle_id,
-        concat(lpad(CAST(coalesce(j.top, 0) + row_number() OVER (PARTITION BY f.source_id ORDER BY f.first) AS VARCHAR), 4, '0'), lpad(CAST(f.source_id AS VARCHAR), 4, '0'), strftime(coalesce(f.start0, DATE '{fx.TODAY}'), '%d%m%y')) AS fach_id,
+        concat({padded('coalesce(j.top, 0) + row_number() OVER (PARTITION BY f.source_id ORDER BY f.first)')}, lpad(CAST(f.source_id AS VARCHAR), 4, '0'), strftime(coalesce(f.start0, DATE '{fx.TODAY}'), '%d%m%y')) AS fach_id,
         coalesce(f.start0, DATE '{fx.TODAY}') AS realer_start, {", ".join(f"f.{c}" for c in OLD_VALUE)}, true AS aktiv, 'insert' AS action FROM fresh f JOIN judged j USING (source_id)"""
 RUN_STATS = f"""{RUN} SELECT source_id, found, new, taken - new AS updated, found - taken AS skipped, CASE WHEN reads AND NOT guarded THEN gone ELSE 0 END AS deactivated, reactivated,
     CASE WHEN NOT complete OR guarded THEN 'partial' WHEN "full" AND found = 0 THEN 'warn' ELSE 'ok' END AS status FROM judged"""

@@ -1,11 +1,17 @@
 """What many rows, many groups and crowded places ask for, in small."""
 
+import datetime
 import random
+import time
 
+import duckdb
 import pandas as pd
+import pytest
 
-from gridway.operators import graph
+from gridway.operators import findings, graph, ingest
 from gridway.operators.grouped import each_batch
+from gridway.plans import catalogue, import_queries
+from oracle import SMALL, TABLES, expected, rows
 
 
 def test_small_groups_are_handed_over_together(spark):
@@ -28,3 +34,18 @@ def test_many_small_searches(spark):
                 if a in best:
                     best[b] = min(best.get(b, 1e18), best[a] + km + graph.BLOCKER_KM * (n or 0))
         assert found[t].cost == best.get(5) and (found[t].blockers is None) == (5 not in best)
+
+
+@pytest.mark.parametrize("name", ["import_rows", "stream_import"])
+def test_more_than_9999_new_rows_of_a_source(spark, tmp_path, name):
+    # Orders of one source; an odd sixth of them is unknown before, and all are in the stream.
+    keys = spark.range(75_000 if name == "import_rows" else 20_000).selectExpr(f"id * {import_queries.SOURCES} + 1 AS o_orderkey")
+    orders = keys.selectExpr("o_orderkey", "o_orderkey % 97 AS o_custkey", "'O' AS o_orderstatus", "1D AS o_totalprice", "timestamp_ntz'1996-01-01 00:00:00' AS o_orderdate", "'1' AS o_orderpriority")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/made")
+    made = next((tmp_path / "made").glob("*.parquet"))
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"COPY (SELECT * FROM '{made if t == 'orders' else f'{SMALL}/{t}.parquet'}') TO '{tmp_path}/{t}.parquet'")
+    found = catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert found.fach_id.str.len().max() == 15
+    assert rows(found) == rows(expected(catalogue.ORACLES[name], str(tmp_path)))
