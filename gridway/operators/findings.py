@@ -8,6 +8,8 @@ than what is crowded in one place.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -102,22 +104,40 @@ def dedupe_sources(findings: DataFrame) -> DataFrame:
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         source = rows.quelle.fillna("").str.strip().str.lower().str.replace(r"\s+", " ", regex=True).to_numpy()
-        gone, km, rank = np.zeros(len(rows), bool), rows.km.to_numpy(), rows["rank"].to_numpy()
         own = (rows.herkunft == "eigen").to_numpy()
-        along = Along()
-        for i in np.flatnonzero(~own & ~np.isnan(km)):
-            along.put(int(i), km[i])
-        for i in np.flatnonzero(~own & ~np.isnan(km)):
+        gone = np.zeros(len(rows), bool)
+        met = np.flatnonzero(~own & rows.km.notna().to_numpy() & rows["rank"].notna().to_numpy())
+        if not len(met):
+            return rows
+        # Rows alike in place, source and severity are a class; what is left of each is met from its first one on.
+        likes = pd.DataFrame({"km": rows.km.to_numpy()[met], "rank": rows["rank"].to_numpy()[met], "source": pd.factorize(source[met])[0]}).groupby(["km", "rank", "source"])
+        km, rank, code = (np.array(c) for c in zip(*likes.groups, strict=True))
+        of = likes.ngroup().to_numpy()
+        members = [list(m) for m in np.split(met[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of))[:-1])]
+        low, high = np.searchsorted(km, km - SAME_KM - 1e-9), np.searchsorted(km, km + SAME_KM + 1e-9, "right")
+        head, place = np.array([m[0] for m in members]), [0] * len(members)
+
+        def onward(c: int, until: int) -> None:
+            """Drops a class's rows before a row, and finds the first one left."""
+            m, k = members[c], place[c]
+            while k < len(m) and (gone[m[k]] or m[k] < until):
+                gone[m[k]] = True
+                k += 1
+            place[c], head[c] = k, m[k] if k < len(m) else len(rows)
+
+        for i, c in zip(met.tolist(), of.tolist(), strict=True):
             if gone[i]:
                 continue
-            for j in along.near(km[i]):
-                if i == j or gone[j] or abs(km[i] - km[j]) > SAME_KM or source[i] == source[j]:
-                    continue
-                if rank[i] < rank[j]:
-                    gone[i] = True
-                    break
-                if rank[j] < rank[i]:
-                    gone[j] = True
+            span = slice(low[c], high[c])
+            other = (code[span] != code[c]) & (np.abs(km[span] - km[c]) <= SAME_KM)
+            first = head[span]
+            worse = first[other & (rank[span] > rank[c])].min(initial=len(rows))
+            for k in np.flatnonzero(other & (rank[span] < rank[c]) & (first < worse)):
+                onward(int(low[c] + k), worse)
+            if worse < len(rows):
+                gone[i] = True
+                if head[c] == i:
+                    onward(c, 0)
         return rows[~gone]
 
     return crowded(findings, ["route_id", "kategorie"], pick)

@@ -49,3 +49,22 @@ def test_more_than_9999_new_rows_of_a_source(spark, tmp_path, name):
     found = catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()
     assert found.fach_id.str.len().max() == 15
     assert rows(found) == rows(expected(catalogue.ORACLES[name], str(tmp_path)))
+
+
+def crowd(spark, n):
+    """n findings on one route and category within a hundred metres."""
+    return spark.range(n).selectExpr(
+        "CAST(id AS INT) AS ord", "1 AS route_id", "'baustelle' AS kategorie", "'A' AS titel", "(id * 7) % 10 / 100D AS km", "CAST(1 + id % 3 AS INT) AS rank", "50 + (id * 7) % 10 * 0.0001D AS lat", "8D AS lng",
+        "CASE WHEN id % 2 = 0 THEN concat('g', id) END AS geom", "concat('q', id % 4) AS quelle", "'import' AS herkunft",
+    )
+
+
+def within(seconds, df):
+    begin, n = time.time(), df.count()
+    assert time.time() - begin < seconds
+    return n
+
+
+def test_a_crowd_of_sources(spark):
+    # Every severity occurs in every source, so that the severest alone stay.
+    assert within(60, findings.dedupe_sources(crowd(spark, 40_000))) == 13_333
