@@ -20,6 +20,8 @@ from gridway.operators.grouped import each_group, stretches
 
 # How close two findings of the same place lie.
 SAME_KM, SAME_M, SAME_WIDTH_M = 0.15, 25.0, 0.01
+#: Neighbours of repeated places that a task remembers; others are found anew.
+NEIGHBOURS = 5_000_000
 
 
 def title_key() -> Column:
@@ -225,12 +227,27 @@ def groups_within(findings: DataFrame, metres: float = 600.0) -> DataFrame:
     """
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
+        # Places, by latitude, with the earliest group that has a member there.
         at = np.radians(rows[["lat", "lng"]].to_numpy(float))
-        number = np.zeros(len(rows), np.int64)
-        for i in range(len(rows)):
-            h = np.sin((at[:i, 0] - at[i, 0]) / 2) ** 2 + np.cos(at[:i, 0]) * np.cos(at[i, 0]) * np.sin((at[:i, 1] - at[i, 1]) / 2) ** 2
-            close = 2 * geo.EARTH_KM * np.arcsin(np.sqrt(h)) * 1000 <= metres
-            number[i] = number[:i][close].min() if close.any() else rows.ord.iloc[i]
+        there = np.flatnonzero(~np.isnan(at).any(axis=1))
+        place, of, times = np.unique(at[there], axis=0, return_inverse=True, return_counts=True)
+        high, reach = np.cos(place[:, 0]), metres / 1000 / geo.EARTH_KM * 1.0001
+        low, up = np.searchsorted(place[:, 0], place[:, 0] - reach), np.searchsorted(place[:, 0], place[:, 0] + reach, "right")
+        none = np.iinfo(np.int64).max
+        earliest, number = np.full(len(place), none), rows.ord.to_numpy(np.int64, copy=True)
+        known, held = {}, 0
+        for i, p in zip(there.tolist(), of.ravel().tolist(), strict=True):
+            close = known.get(p)
+            if close is None:
+                span = slice(low[p], up[p])
+                h = np.sin((place[span, 0] - place[p, 0]) / 2) ** 2 + high[span] * high[p] * np.sin((place[span, 1] - place[p, 1]) / 2) ** 2
+                close = low[p] + np.flatnonzero(2 * geo.EARTH_KM * np.arcsin(np.sqrt(h)) * 1000 <= metres)
+                if times[p] > 1 and held + len(close) <= NEIGHBOURS:
+                    known[p], held = close, held + len(close)
+            least = earliest[close].min()
+            if least < none:
+                number[i] = least
+            earliest[p] = min(earliest[p], number[i])
         return rows.assign(group=number)
 
     keys = ["route_id", "kategorie", "title_key"]

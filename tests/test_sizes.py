@@ -68,3 +68,8 @@ def within(seconds, df):
 def test_a_crowd_of_sources(spark):
     # Every severity occurs in every source, so that the severest alone stay.
     assert within(60, findings.dedupe_sources(crowd(spark, 40_000))) == 13_333
+
+
+def test_a_crowd_in_groups(spark):
+    grouped = findings.groups_within(crowd(spark, 80_000)).select("group").distinct()
+    assert within(60, grouped) == 1
