@@ -16,6 +16,8 @@ CATEGORIES = ("bruecke", "engstelle", "baustelle", "sperrung", "gewicht", "bahnu
 DRIFT_LAT, DRIFT_LNG = 0.003, 0.0045
 GUARD_ROWS, GUARD_SHARE = 50, 0.4
 GRACE_DAYS = 7
+#: Days that stand for an open end.
+FAR_DAYS = 1 << 40
 PROFILE = ("restbreite_m", "max_hoehe_m", "max_breite_m", "max_gewicht_t", "vollsperrung", "gesperrt_komplett", "gst_sperre")
 # What messages about the moment say; what they say that notices of works may say as well; and what works say.
 LIVE_ALWAYS = (
@@ -196,12 +198,32 @@ def renumbered(obstacles: DataFrame) -> DataFrame:
     return extra.join(top, "source_id").withColumn("k", F.col("top") + following).select("obstacle_id", "fach_id", F.concat(text.pad_index(F.col("k")), F.substring("fach_id", -10, 10)).alias("new_id"))
 
 
+def lasting(rows: DataFrame, place: list[str]) -> DataFrame:
+    """(place, since, until) of rows' validities, in days, that lie within no other one of their place; open ends are the far past and
+    future. What overlaps any validity of a place overlaps one of these."""
+    day = lambda c, open_end: F.coalesce(F.unix_date(c).cast("long"), F.lit(open_end))
+    spans = rows.select(*place, day("gueltig_von", -FAR_DAYS).alias("since"), day("gueltig_bis", FAR_DAYS).alias("until"))
+    # One row for each start: the last end. Of these, only those count that end later than all that start before.
+    last = spans.groupBy(*place, "since").agg(F.max("until").alias("until"))
+    before = Window.partitionBy(*place).orderBy("since").rowsBetween(Window.unboundedPreceding, -1)
+    return last.withColumn("__before", F.max("until").over(before)).filter("__before IS NULL OR until > __before").drop("__before")
+
+
 def announced_only(future: DataFrame, current: DataFrame, metres: float = 300.0) -> DataFrame:
-    """Announced works that no current row on the same road, within so many metres and overlapping in time, stands for."""
+    """Announced works that no current row on the same road, within so many metres and overlapping in time, stands for.
+
+    Current rows of one place count by their lasting() validities, announced ones of one place and validity are asked for once, so that
+    repeated places do not meet row by row.
+    """
     size = metres / geo.METRES_PER_DEGREE * 2
     cell = lambda c: F.floor(F.col(c) / size).cast("long")
-    around = future.withColumn("cx", F.explode(F.sequence(cell("lng") - 1, cell("lng") + 1))).withColumn("cy", F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1)))
-    there = current.select("road", F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), F.col("gueltig_von").alias("o_von"), F.col("gueltig_bis").alias("o_bis"), cell("lng").alias("cx"), cell("lat").alias("cy"))
-    meets = F.coalesce(F.col("gueltig_von") <= F.col("o_bis"), F.lit(True)) & F.coalesce(F.col("o_von") <= F.col("gueltig_bis"), F.lit(True))
-    known = around.join(there, ["road", "cx", "cy"]).filter((geo.haversine_km(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng")) * 1000 <= metres) & meets).select("obstacle_id").distinct()
-    return future.join(known, "obstacle_id", "left_anti")
+    there = lasting(current, ["road", "lat", "lng"]).withColumnsRenamed({"lat": "o_lat", "lng": "o_lng", "since": "o_since", "until": "o_until"})
+    there = there.withColumns({"cx": F.floor(F.col("o_lng") / size).cast("long"), "cy": F.floor(F.col("o_lat") / size).cast("long")})
+    dated = future.withColumns({"__from": F.coalesce(F.unix_date("gueltig_von").cast("long"), F.lit(-FAR_DAYS)), "__to": F.coalesce(F.unix_date("gueltig_bis").cast("long"), F.lit(FAR_DAYS))})
+    key = ["road", "lat", "lng", "__from", "__to"]
+    asked = dated.select(*key).distinct()
+    around = asked.withColumn("cx", F.explode(F.sequence(cell("lng") - 1, cell("lng") + 1))).withColumn("cy", F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1)))
+    meets = (F.col("__from") <= F.col("o_until")) & (F.col("o_since") <= F.col("__to"))
+    away = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng")) * 1000
+    known = around.join(there, ["road", "cx", "cy"]).filter(meets & (away <= metres)).select(*key).distinct()
+    return dated.join(known, key, "left_anti").drop("__from", "__to")

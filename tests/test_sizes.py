@@ -73,3 +73,24 @@ def test_a_crowd_of_sources(spark):
 def test_a_crowd_in_groups(spark):
     grouped = findings.groups_within(crowd(spark, 80_000)).select("group").distinct()
     assert within(60, grouped) == 1
+
+
+def test_announced_works_of_a_crowded_place(spark):
+    day = "date_add(DATE'2026-01-01', CAST(id % 90 AS INT))"
+    rows = spark.range(80_000).selectExpr("id AS obstacle_id", "'A1' AS road", "50D AS lat", "8D AS lng", f"{day} AS gueltig_von", f"date_add({day}, 5) AS gueltig_bis")
+    late = rows.selectExpr("obstacle_id + 1000000 AS obstacle_id", "road", "lat", "lng", "date_add(gueltig_von, 60) AS gueltig_von", "date_add(gueltig_bis, 60) AS gueltig_bis")
+    # The last current row ends on day 94; announced ones begin on days 60 to 149.
+    found = ingest.announced_only(late, rows)
+    assert within(60, found) == late.filter("gueltig_von > date_add(DATE'2026-01-01', 94)").count()
+
+
+def test_validities_decide_as_rows_do(spark):
+    rng = random.Random(5)
+    some_day = lambda: None if rng.random() < 0.2 else datetime.date(2026, 1, 1) + datetime.timedelta(days=rng.randrange(40))
+    made = lambda n: [(k, rng.choice(["A1", "A2"]), 50 + rng.randrange(3) * 0.01, 8.0, some_day(), some_day()) for k in range(n)]
+    future, current = made(200), made(25)
+    schema = "obstacle_id long, road string, lat double, lng double, gueltig_von date, gueltig_bis date"
+    met = lambda f, c: f[1:3] == c[1:3] and (f[4] is None or c[5] is None or f[4] <= c[5]) and (c[4] is None or f[5] is None or c[4] <= f[5])
+    wanted = {f[0] for f in future if not any(met(f, c) for c in current)}
+    found = ingest.announced_only(spark.createDataFrame(future, schema), spark.createDataFrame(current, schema)).collect()
+    assert {r.obstacle_id for r in found} == wanted and wanted
