@@ -41,35 +41,39 @@ class Along:
         self.cells: dict[int, set[int]] = {}
 
     def put(self, n: int, km: float) -> None:
-        self.cells.setdefault(int(np.floor(km / SAME_KM)), set()).add(n)
+        self.cells.setdefault(math.floor(km / SAME_KM), set()).add(n)
 
     def drop(self, n: int, km: float) -> None:
-        self.cells[int(np.floor(km / SAME_KM))].discard(n)
+        self.cells[math.floor(km / SAME_KM)].discard(n)
 
     def near(self, km: float) -> list[int]:
         """Ascending."""
-        at = int(np.floor(km / SAME_KM))
+        at = math.floor(km / SAME_KM)
         return sorted(n for c in (at - 1, at, at + 1) for n in self.cells.get(c, ()))
 
 
 def representatives(rows: pd.DataFrame, twins, replaces, alone=lambda f: False) -> pd.DataFrame:
-    """The rows that stay when each, in order, meets the first kept one that it is a twin of, and takes its place or goes."""
-    kept: list[dict] = []
-    along = Along()
-    for f in rows.to_dict("records"):
-        mine = [] if alone(f) or pd.isna(f["km"]) else along.near(f["km"])
-        n = next((n for n in mine if abs(kept[n]["km"] - f["km"]) <= SAME_KM and twins(kept[n], f)), None)
+    """The rows that stay when each, in order, meets the first kept one that it is a twin of, and takes its place or goes.
+
+    twins(k, f), replaces(f, k) and alone(f) tell by the places of rows. Rows that are alone are nobody's twins: they stay and are met by none.
+    """
+    kept: list[int] = []
+    along, km = Along(), rows.km.tolist()
+    for f, at in enumerate(km):
+        if at is None or not math.isfinite(at) or alone(f):
+            kept.append(f)
+            continue
+        n = next((n for n in along.near(at) if abs(km[kept[n]] - at) <= SAME_KM and twins(kept[n], f)), None)
         if n is None:
             n = len(kept)
             kept.append(f)
         elif replaces(f, kept[n]):
-            along.drop(n, kept[n]["km"])
+            along.drop(n, km[kept[n]])
             kept[n] = f
         else:
             continue
-        if not pd.isna(f["km"]):
-            along.put(n, f["km"])
-    return pd.DataFrame(kept, columns=rows.columns)
+        along.put(n, at)
+    return rows.iloc[kept]
 
 
 def dedupe_points(findings: DataFrame) -> DataFrame:
@@ -79,8 +83,9 @@ def dedupe_points(findings: DataFrame) -> DataFrame:
     """
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        twins = lambda k, f: not k["geom"] or not f["geom"] or k["geom"] == f["geom"]
-        return representatives(rows, twins, lambda f, k: f["rank"] > k["rank"] or (f["rank"] == k["rank"] and f["geom"] and not k["geom"]))
+        geom, rank = rows.geom.tolist(), rows["rank"].tolist()
+        twins = lambda k, f: not geom[k] or not geom[f] or geom[k] == geom[f]
+        return representatives(rows, twins, lambda f, k: rank[f] > rank[k] or (rank[f] == rank[k] and geom[f] and not geom[k]))
 
     return crowded(findings.withColumn("__key", title_key()), ["route_id", "kategorie", "__key"], pick).drop("__key")
 
@@ -88,15 +93,16 @@ def dedupe_points(findings: DataFrame) -> DataFrame:
 def dedupe_places(findings: DataFrame) -> DataFrame:
     """Drops points of the same route and category within SAME_KM and SAME_M of a kept one; the severer one stays."""
 
-    def close(k: dict, f: dict) -> bool:
-        if k["geom"] or not np.isfinite([k["lat"], k["lng"]]).all():
-            return False
-        a, b = np.radians([k["lat"], k["lng"]]), np.radians([f["lat"], f["lng"]])
-        h = np.sin((b[0] - a[0]) / 2) ** 2 + np.cos(a[0]) * np.cos(b[0]) * np.sin((b[1] - a[1]) / 2) ** 2
-        return 2 * geo.EARTH_KM * np.arcsin(np.sqrt(h)) * 1000 <= SAME_M
-
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        return representatives(rows, close, lambda f, k: f["rank"] > k["rank"], lambda f: bool(f["geom"]) or not np.isfinite([f["lat"], f["lng"]]).all())
+        geom, rank = rows.geom.tolist(), rows["rank"].tolist()
+        at = np.radians(rows[["lat", "lng"]].to_numpy(float))
+        lat, lng, high, placed = at[:, 0].tolist(), at[:, 1].tolist(), np.cos(at[:, 0]).tolist(), np.isfinite(at).all(axis=1).tolist()
+
+        def close(k: int, f: int) -> bool:
+            h = math.sin((lat[f] - lat[k]) / 2) ** 2 + high[k] * high[f] * math.sin((lng[f] - lng[k]) / 2) ** 2
+            return 2 * geo.EARTH_KM * math.asin(math.sqrt(h)) * 1000 <= SAME_M
+
+        return representatives(rows, close, lambda f, k: rank[f] > rank[k], lambda f: bool(geom[f]) or not placed[f])
 
     return crowded(findings, ["route_id", "kategorie"], pick)
 

@@ -75,6 +75,11 @@ def test_a_crowd_in_groups(spark):
     assert within(60, grouped) == 1
 
 
+def test_a_crowd_of_places(spark):
+    # Those with a geometry are nobody's twins; the others are within twenty-five metres of five places.
+    assert 20_000 < within(60, findings.dedupe_places(crowd(spark, 40_000))) <= 20_010
+
+
 def test_announced_works_of_a_crowded_place(spark):
     day = "date_add(DATE'2026-01-01', CAST(id % 90 AS INT))"
     rows = spark.range(80_000).selectExpr("id AS obstacle_id", "'A1' AS road", "50D AS lat", "8D AS lng", f"{day} AS gueltig_von", f"date_add({day}, 5) AS gueltig_bis")
