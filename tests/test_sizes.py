@@ -99,3 +99,12 @@ def test_validities_decide_as_rows_do(spark):
     wanted = {f[0] for f in future if not any(met(f, c) for c in current)}
     found = ingest.announced_only(spark.createDataFrame(future, schema), spark.createDataFrame(current, schema)).collect()
     assert {r.obstacle_id for r in found} == wanted and wanted
+
+
+def test_chains_are_numbered_once_for_their_lines(spark, monkeypatch):
+    links = spark.createDataFrame([("r", k, k + 1 if k < 6 else None, 50.0 + k, 8.0) for k in range(1, 7)], "road string, code bigint, pos bigint, lat double, lng double")
+    pairs = spark.createDataFrame([(1, "r", 2, 4), (2, "r", 5, 3)], "pair_id bigint, road string, a bigint, b bigint")
+    calls, number = [], graph.numbered
+    monkeypatch.setattr(graph, "numbered", lambda df: calls.append(1) or number(df))
+    found = {r.pair_id: [p.lat for p in r.line] for r in graph.chain_lines(links, pairs).collect()}
+    assert found == {1: [52.0, 53.0, 54.0], 2: [55.0, 54.0, 53.0]} and len(calls) == 1
