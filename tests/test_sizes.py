@@ -1,6 +1,7 @@
 """What many rows, many groups and crowded places ask for, in small."""
 
 import datetime
+import heapq
 import random
 import time
 
@@ -108,3 +109,34 @@ def test_chains_are_numbered_once_for_their_lines(spark, monkeypatch):
     monkeypatch.setattr(graph, "numbered", lambda df: calls.append(1) or number(df))
     found = {r.pair_id: [p.lat for p in r.line] for r in graph.chain_lines(links, pairs).collect()}
     assert found == {1: [52.0, 53.0, 54.0], 2: [55.0, 54.0, 53.0]} and len(calls) == 1
+
+
+def test_fronts_of_a_search_grow_by_cost(spark, monkeypatch):
+    # A network in which four hops lead to every one of its nodes.
+    rng = random.Random(8)
+    edges = [(a, rng.randrange(3000), float(rng.randrange(5, 45)), 0, 0) for a in range(3000) for _ in range(10)]
+    trips = [(k, rng.randrange(3000), rng.randrange(3000)) for k in range(6)]
+    sizes, store = [], graph.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        if name == "labels":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", counted)
+    found = graph.cheapest_chains(spark.createDataFrame(edges, "a bigint, b bigint, km double, blockers bigint, zones bigint"), spark.createDataFrame(trips, "trip_id bigint, start bigint, goal bigint")).collect()
+    out = {}
+    for a, b, km, *_ in edges:
+        out.setdefault(a, []).append((b, km))
+    for r in found:
+        _, start, goal = trips[r.trip_id]
+        best, todo = {start: 0.0}, [(0.0, start)]
+        while todo:
+            cost, at = heapq.heappop(todo)
+            for b, km in out[at] if cost == best[at] else ():
+                if cost + km < best.get(b, 1e18):
+                    best[b] = cost + km
+                    heapq.heappush(todo, (cost + km, b))
+        assert r.cost == best.get(goal)
+    assert max(sizes) < len(trips) * 500
