@@ -81,13 +81,32 @@ def near(points: DataFrame, routes: DataFrame, radius_m: float, keys: list[str])
     return best.select(*by, F.col("best.dist_m").alias("dist_m"), geo.half_up(F.col("best.km"), 50).alias("km"), F.col("best.i").alias("seg"))
 
 
+def nearest_of(segs: Column, lat: Column, lng: Column, radius_m: float) -> Column:
+    """(dist_m, i, km) of the nearest of an array of segments within radius_m, the first on ties; geo.on_segment() with each step bound once."""
+    east = F.cos(F.radians(lat)) * geo.METRES_PER_DEGREE
+    x, y = (lambda c: (c - lng) * east), (lambda c: (c - lat) * geo.METRES_PER_DEGREE)
+    ends = F.transform(segs, lambda s: F.struct(s["i"].alias("i"), s["a_km"].alias("a_km"), s["b_km"].alias("b_km"), x(s["a_lng"]).alias("ax"), y(s["a_lat"]).alias("ay"), x(s["b_lng"]).alias("bx"), y(s["b_lat"]).alias("by")))
+    along = F.transform(ends, lambda e: F.struct(e.alias("e"), (e["bx"] - e["ax"]).alias("dx"), (e["by"] - e["ay"]).alias("dy")))
+    long = F.transform(along, lambda s: F.struct(s["e"].alias("e"), s["dx"].alias("dx"), s["dy"].alias("dy"), (s["dx"] * s["dx"] + s["dy"] * s["dy"]).alias("length")))
+    part = lambda s: F.when(s["length"] == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(s["e"]["ax"] * s["dx"] + s["e"]["ay"] * s["dy"]) / s["length"])))
+    at = F.transform(long, lambda s: F.struct(s["e"].alias("e"), s["dx"].alias("dx"), s["dy"].alias("dy"), part(s).alias("t")))
+    foot = F.transform(at, lambda s: F.struct(s["e"].alias("e"), s["t"].alias("t"), (s["e"]["ax"] + s["t"] * s["dx"]).alias("cx"), (s["e"]["ay"] + s["t"] * s["dy"]).alias("cy")))
+    tried = F.transform(foot, lambda s: F.struct(F.sqrt(s["cx"] * s["cx"] + s["cy"] * s["cy"]).alias("dist_m"), s["e"]["i"].alias("i"), (s["e"]["a_km"] + s["t"] * (s["e"]["b_km"] - s["e"]["a_km"])).alias("km")))
+    return F.array_min(F.filter(tried, lambda s: s["dist_m"] <= radius_m))
+
+
 def placed(points: DataFrame, routes: DataFrame, radius_m: float, keys: list[str], carried: list[str]) -> DataFrame:
-    """Each point (keys, carried, route_id, lat, lng) with dist_m and km on its route, both null beyond radius_m."""
-    dist, t = geo.on_segment(*(F.col(c) for c in ("lat", "lng", "a_lat", "a_lng", "b_lat", "b_lng")))
+    """Each point (keys, carried, route_id, lat, lng) with dist_m and km on its route, both null beyond radius_m.
+
+    A cell holds its segments as one row, so that a point stays one row as well: nothing is grouped or sorted by point.
+    """
     by = [*keys, "route_id"]
-    tried = candidates(points.select(*by, *carried, "lat", "lng"), routes, radius_m, "left").withColumns({"dist_m": dist, "km": F.col("a_km") + t * (F.col("b_km") - F.col("a_km"))})
-    best = F.min(F.when(F.col("dist_m") <= radius_m, F.struct("dist_m", "i", "km"))).alias("best")
-    return tried.groupBy(*by).agg(best, *(F.first(c).alias(c) for c in carried)).select(*by, *carried, F.col("best.dist_m").alias("dist_m"), geo.half_up(F.col("best.km"), 50).alias("km"))
+    reach = cell_size(radius_m) if radius_m > 0 else 0.0
+    segs = F.collect_list(F.struct("i", "a_lat", "a_lng", "b_lat", "b_lng", "a_km", "b_km")).alias("segs")
+    cells = segment_cells(segments(routes), 2 * reach, reach).groupBy("route_id", "cx", "cy").agg(segs)
+    met = in_cells(points.select(*by, *carried, "lat", "lng"), 2 * reach).join(cells, ["route_id", "cx", "cy"], "left")
+    best = met.select(*by, *carried, nearest_of(F.col("segs"), F.col("lat"), F.col("lng"), radius_m).alias("best"))
+    return best.select(*by, *carried, F.col("best.dist_m").alias("dist_m"), geo.half_up(F.col("best.km"), 50).alias("km"))
 
 
 def corridor_match(obstacles: DataFrame, vertices: DataFrame, routes: DataFrame, radius_m: float = 20.0) -> DataFrame:

@@ -22,27 +22,36 @@ def pieces(lines: DataFrame) -> DataFrame:
     return rows.withColumns({"km": geo.haversine_km(*args), "course": geo.bearing(*args)}).filter("km > 0")
 
 
-def samples(lines: DataFrame, step_m: float = 12.0) -> DataFrame:
-    """(obstacle_id, j, s, lat, lng, weight_km, course): points along each segment, about step_m apart, both ends included."""
+def paired(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows for each route of their obstacle. Lines are paired before they are cut up into points, as a join sorts what it is given."""
+    return rows.join(pairs.select("obstacle_id", "route_id").distinct(), "obstacle_id")
+
+
+def samples(lines: DataFrame, pairs: DataFrame, step_m: float = 12.0) -> DataFrame:
+    """(obstacle_id, route_id, j, s, lat, lng, weight_km, course): points along each segment, about step_m apart, both ends included."""
     steps = F.greatest(F.lit(1), F.floor(F.col("km") * 1000 / step_m + 0.5).cast("int"))
-    rows = pieces(lines).withColumn("steps", steps).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("steps"))))
+    rows = paired(pieces(lines), pairs).withColumn("steps", steps).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("steps"))))
     t = F.col("s") / F.col("steps")
     at = lambda c: F.col(f"a_{c}") + t * (F.col(f"b_{c}") - F.col(f"a_{c}"))
-    return rows.select("obstacle_id", "j", "s", at("lat").alias("lat"), at("lng").alias("lng"), (F.col("km") / (F.col("steps") + 1)).alias("weight_km"), "course")
+    return rows.select("obstacle_id", "route_id", "j", "s", at("lat").alias("lat"), at("lng").alias("lng"), (F.col("km") / (F.col("steps") + 1)).alias("weight_km"), "course")
 
 
-def placed(points: DataFrame, pairs: DataFrame, routes: DataFrame, radius_m: float, keys: list[str], carried: list[str]) -> DataFrame:
-    """points (keys, carried, lat, lng) for each of their pairs, with dist_m, km and the route's course there, null beyond the radius."""
-    wanted = points.join(pairs.select("obstacle_id", "route_id").distinct(), "obstacle_id")
-    found = corridor.placed(wanted, routes, radius_m, keys, carried)
-    courses = corridor.course_at_km(routes, found.select("route_id", "km").filter("km IS NOT NULL").distinct()).withColumnRenamed("course", "route_course")
-    return found.join(courses, ["route_id", "km"], "left")
+def placed(points: DataFrame, routes: DataFrame, radius_m: float, keys: list[str], carried: list[str]) -> DataFrame:
+    """points (keys, route_id, carried, lat, lng) with dist_m, km and the route's course there, null beyond the radius."""
+    found = corridor.placed(points, routes, radius_m, keys, carried)
+    # Kilometres are multiples of 20 metres: a route's courses are looked up for all of them, so that points are placed only once.
+    marks = corridor.cumulative(routes).groupBy("route_id").agg((F.floor(F.max("cum_km") * 50) + 1).alias("n"))
+    marks = marks.select("route_id", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("n")).select("route_id", (F.col("n") / F.lit(50.0)).alias("km"))
+    courses = corridor.course_at_km(routes, marks).withColumnRenamed("course", "route_course")
+    # Points beyond the radius have no course; numbers of their own keep them from meeting in one task.
+    beyond = -1.0 - F.pmod(F.xxhash64(*keys), F.lit(1 << 20))
+    return found.withColumn("__at", F.coalesce("km", beyond)).join(courses.withColumnRenamed("km", "__at"), ["route_id", "__at"], "left").drop("__at")
 
 
 def relation(lines: DataFrame, pairs: DataFrame, routes: DataFrame, same_m: float = 8.0, reach_m: float = 60.0, opposite: float = 120.0, least_km: float = 0.1) -> DataFrame:
     """(obstacle_id, route_id, relation): parallel if it runs on the route, opposite if beside it the other way, else none."""
     mids = pieces(lines).select("obstacle_id", "j", ((F.col("a_lat") + F.col("b_lat")) / 2).alias("lat"), ((F.col("a_lng") + F.col("b_lng")) / 2).alias("lng"), F.col("km").alias("piece_km"), "course")
-    at = placed(mids, pairs, routes, reach_m, ["obstacle_id", "j"], ["piece_km", "course"])
+    at = placed(paired(mids, pairs), routes, reach_m, ["obstacle_id", "j"], ["piece_km", "course"])
     beside = F.col("dist_m").between(same_m, reach_m) & (F.col("dist_m") > same_m)
     delta = geo.angle_delta(F.col("course"), F.col("route_course"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("piece_km"))), F.lit(0.0))
@@ -54,7 +63,7 @@ def relation(lines: DataFrame, pairs: DataFrame, routes: DataFrame, same_m: floa
 def alignment(lines: DataFrame, pairs: DataFrame, routes: DataFrame, near_m: float = 20.0, same_m: float = 8.0, far_m: float = 60.0, along: float = 40.0, across: float = 50.0) -> DataFrame:
     """Per pair the kilometres that run on the route, along it, across it, and far from it, and the verdicts drawn from them."""
     far = max(far_m, 3 * near_m)
-    at = placed(samples(lines), pairs, routes, far, ["obstacle_id", "j", "s"], ["weight_km", "course"])
+    at = placed(samples(lines, pairs), routes, far, ["obstacle_id", "j", "s"], ["weight_km", "course"])
     folded = geo.folded_angle(F.col("course"), F.col("route_course"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("weight_km"))), F.lit(0.0))
     inside = F.col("dist_m") <= near_m
@@ -79,24 +88,24 @@ def clip(lines: DataFrame, pairs: DataFrame, routes: DataFrame, corridor_m: floa
     per = Window.partitionBy("obstacle_id")
     length = pieces(lines).withColumn("line_m", F.sum("km").over(per) * 1000).withColumn("step", F.greatest(F.lit(15.0), geo.half_up(F.col("line_m") / 300)))
     n = F.greatest(F.lit(1), F.ceil(F.col("km") * 1000 / F.col("step")).cast("int"))
-    dense = length.withColumn("n", n).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    along = per.orderBy("j")
+    numbered = paired(length.withColumn("n", n).withColumns({"before": F.sum("n").over(along) - F.col("n"), "last": F.lead("j").over(along).isNull()}), pairs)
+    # Each piece gives its points but the last, which is the next one's first; the line's last piece gives its end as well.
+    dense = numbered.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - F.when(F.col("last"), 0).otherwise(1))))
     t = F.col("s") / F.col("n")
-    at = lambda c: F.col(f"a_{c}") + t * (F.col(f"b_{c}") - F.col(f"a_{c}"))
-    body = dense.select("obstacle_id", "j", "s", at("lat").alias("lat"), at("lng").alias("lng"), "step")
-    last = length.groupBy("obstacle_id").agg(F.max_by(F.struct(F.col("j"), F.col("b_lat").alias("lat"), F.col("b_lng").alias("lng"), "step"), "j").alias("p"))
-    tail = last.select("obstacle_id", (F.col("p.j") + 1).alias("j"), F.lit(0).alias("s"), "p.lat", "p.lng", "p.step")
-    points = body.unionByName(tail).withColumn("k", F.row_number().over(Window.partitionBy("obstacle_id").orderBy("j", "s")) - 1)
-    wanted = points.join(pairs.select("obstacle_id", "route_id").distinct(), "obstacle_id")
-    flagged = corridor.placed(wanted, routes, reach, ["obstacle_id", "k"], ["step"]).withColumn("inside", F.col("dist_m").isNotNull())
+    at = lambda c: F.when(F.col("s") == F.col("n"), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}") + t * (F.col(f"b_{c}") - F.col(f"a_{c}")))
+    points = dense.select("obstacle_id", "route_id", (F.col("before") + F.col("s")).cast("int").alias("k"), at("lat").alias("lat"), at("lng").alias("lng"), "step")
+    flagged = corridor.placed(points, routes, reach, ["obstacle_id", "k"], ["step"]).select("obstacle_id", "route_id", "k", "step", F.col("dist_m").isNotNull().alias("inside"))
+    # Points are sorted once, dealt anew after their lines were cut up; from there on whole islands are looked at.
     line = Window.partitionBy("obstacle_id", "route_id").orderBy("k")
-    turn = F.when(F.lag("inside").over(line) == F.col("inside"), 0).otherwise(1)
-    islands = flagged.withColumn("turn", turn).withColumn("island", F.sum("turn").over(line))
-    whole = Window.partitionBy("obstacle_id", "route_id")
-    size = F.count("*").over(Window.partitionBy("obstacle_id", "route_id", "island"))
+    turn = lambda window: F.when(F.lag("inside").over(window) == F.col("inside"), 0).otherwise(1)
+    turns = flagged.repartition("obstacle_id", "route_id").withColumn("turn", turn(line)).withColumn("island", F.sum("turn").over(line))
+    islands = turns.groupBy("obstacle_id", "route_id", "island", "inside", "step").agg(F.count("*").alias("size"), F.min("k").alias("first_k"), F.max("k").alias("last_k"))
     bridges = F.greatest(F.lit(1), F.ceil(F.lit(bridge_m) / F.col("step")))
-    filled = islands.withColumns({"size": size, "last_island": F.max("island").over(whole)}).withColumn("inside", F.col("inside") | ((F.col("size") <= bridges) & (F.col("island") > 1) & (F.col("island") < F.col("last_island"))))
-    again = F.when(F.lag("inside").over(line) == F.col("inside"), 0).otherwise(1)
-    runs = filled.withColumn("turn", again).withColumn("run", F.sum("turn").over(line)).filter("inside")
-    out = runs.groupBy("obstacle_id", "route_id", "run").agg(F.count("*").alias("points"), F.min("k").alias("first_n"), F.max("k").alias("last_n")).filter("points >= 2")
-    number = F.row_number().over(Window.partitionBy("obstacle_id", "route_id").orderBy("first_n"))
+    whole = Window.partitionBy("obstacle_id", "route_id")
+    filled = islands.withColumn("last_island", F.max("island").over(whole)).withColumn("inside", F.col("inside") | ((F.col("size") <= bridges) & (F.col("island") > 1) & (F.col("island") < F.col("last_island"))))
+    steps = whole.orderBy("island")
+    runs = filled.withColumn("turn", turn(steps)).withColumn("run", F.sum("turn").over(steps)).filter("inside")
+    out = runs.groupBy("obstacle_id", "route_id", "run").agg(F.sum("size").alias("points"), F.min("first_k").alias("first_n"), F.max("last_k").alias("last_n")).filter("points >= 2")
+    number = F.row_number().over(whole.orderBy("first_n"))
     return out.select("obstacle_id", "route_id", number.alias("run"), "points", "first_n", "last_n")

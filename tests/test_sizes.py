@@ -9,7 +9,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gridway.operators import findings, graph, ingest
+from gridway.operators import corridor, findings, graph, ingest
 from gridway.operators.grouped import each_batch
 from gridway.plans import catalogue, import_queries
 from oracle import SMALL, TABLES, expected, rows
@@ -140,3 +140,11 @@ def test_fronts_of_a_search_grow_by_cost(spark, monkeypatch):
                     heapq.heappush(todo, (cost + km, b))
         assert r.cost == best.get(goal)
     assert max(sizes) < len(trips) * 500
+
+
+def test_points_on_routes_are_not_sorted(spark):
+    routes = spark.createDataFrame([(1, i, 50.0, 8.0 + i * 0.001) for i in range(5)], "route_id int, i int, lat double, lng double")
+    points = spark.createDataFrame([(k, 1, 50.0001 if k % 2 else 50.01, 8.0 + k * 0.001) for k in range(4)], "k int, route_id int, lat double, lng double")
+    found = corridor.placed(points, routes, 20.0, ["k"], [])
+    assert {r.k: r.km is not None for r in found.collect()} == {0: False, 1: True, 2: False, 3: True}
+    assert "SortAggregate" not in found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().sparkPlan().toString()
