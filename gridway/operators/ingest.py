@@ -52,13 +52,18 @@ def reason() -> Column:
 
 def live_message() -> Column:
     """Messages about the traffic of the moment, not about the road."""
-    said = F.lower(F.concat_ws(" ", "name", "beschreibung"))
+    return text.once(F.lower(F.concat_ws(" ", "name", "beschreibung")), _live)
+
+
+def _live(said: Column) -> Column:
     pairs = [f"(?:{text.either(first)}) (?:{text.either(second)})" for first, second in ((BROKEN, VEHICLES), (BURNING, BURNT))]
     # A detour is one for those who know the place if it comes within twenty characters, in the same sentence.
     detour = f"(?:{text.either(DETOURS)})[^.]{{0,20}}umfahr"
-    always = "|".join([text.either(LIVE_ALWAYS), text.words(LIVE_ALWAYS_WORDS), *pairs, detour])
-    maybe = "|".join([text.either(LIVE_MAYBE), text.words(LIVE_MAYBE_STARTS, whole=False), text.words(LIVE_MAYBE_WORDS)])
-    return said.rlike(always) | (said.rlike(maybe) & ~said.rlike(text.either(WORKS)))
+    # Plain words first; patterns only where one of their words stands.
+    where = lambda parts, pattern: text.holds(said, parts) & said.rlike(pattern)
+    always = text.holds(said, LIVE_ALWAYS) | where(LIVE_ALWAYS_WORDS, text.words(LIVE_ALWAYS_WORDS)) | where((*BROKEN, *BURNING), "|".join(pairs)) | where(DETOURS, detour)
+    maybe = text.holds(said, LIVE_MAYBE) | where(LIVE_MAYBE_STARTS, text.words(LIVE_MAYBE_STARTS, whole=False)) | where(LIVE_MAYBE_WORDS, text.words(LIVE_MAYBE_WORDS))
+    return always | (maybe & ~text.holds(said, WORKS))
 
 
 def accepted(items: DataFrame) -> DataFrame:
