@@ -144,6 +144,26 @@ def test_fronts_of_a_search_grow_by_cost(spark, monkeypatch):
     assert max(sizes) < len(trips) * 500
 
 
+def test_dear_roads_wait_and_old_labels_go(spark, monkeypatch):
+    # A start of two thousand roads that are dearer than the whole way.
+    edges = [(0, 1, 5.0), (1, 2, 5.0), (2, 3, 5.0)] + [(0, k, 1000.0) for k in range(100, 2100)] + [(100, 3, 1.0)]
+    stores, store = [], graph.stored
+
+    def held(df, name):
+        out = store(df, name)
+        if name == "labels":
+            stores.append((out.count(), out.inputFiles()[0].rpartition("/")[0]))
+        return out
+
+    monkeypatch.setattr(graph, "stored", held)
+    rows = spark.createDataFrame(edges, "a bigint, b bigint, km double").selectExpr("*", "0L AS blockers", "0L AS zones")
+    trips = spark.createDataFrame([(1, 0, 3), (2, 100, 3), (3, 3, 0)], "trip_id bigint, start bigint, goal bigint")
+    found = {r.trip_id: (r.cost, r.path) for r in graph.cheapest_chains(rows, trips).collect()}
+    assert found == {1: (15.0, [0, 1, 2, 3]), 2: (1.0, [100, 3]), 3: (None, None)}
+    assert len(stores) > 1 and max(n for n, _ in stores) < 100
+    assert sum(spark.read.parquet(folder).count() for _, folder in stores) == 0
+
+
 def test_points_on_routes_are_not_sorted(spark):
     routes = spark.createDataFrame([(1, i, 50.0, 8.0 + i * 0.001) for i in range(5)], "route_id int, i int, lat double, lng double")
     points = spark.createDataFrame([(k, 1, 50.0001 if k % 2 else 50.01, 8.0 + k * 0.001) for k in range(4)], "k int, route_id int, lat double, lng double")
