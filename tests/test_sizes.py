@@ -39,6 +39,11 @@ def test_many_small_searches(spark):
         assert found[t].cost == best.get(5) and (found[t].blockers is None) == (5 not in best)
 
 
+def test_trips_of_searches_are_not_broadcast(spark):
+    plan = catalogue.QUERIES["corridor_search"](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("name", ["import_rows", "stream_import"])
 def test_more_than_9999_new_rows_of_a_source(spark, tmp_path, name):
     # Orders of one source; an odd sixth of them is unknown before, and all are in the stream.
